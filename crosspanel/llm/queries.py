@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import minmax
+from . import minmax, packing
 
-QUERIES = {"op8_minmax_near_dups": minmax.op8_minmax_near_dups}
+QUERIES = {
+    "op2_nnls_packing": packing.op2_nnls_packing,
+    "op8_minmax_near_dups": minmax.op8_minmax_near_dups,
+}
 ORACLE_SQL: dict[str, str] = {}
