@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import minmax, packing
+from . import minmax, packing, quality
 
 QUERIES = {
     "op2_nnls_packing": packing.op2_nnls_packing,
+    "op6_byte_convolution": quality.op6_byte_convolution,
     "op8_minmax_near_dups": minmax.op8_minmax_near_dups,
 }
 ORACLE_SQL: dict[str, str] = {}
