@@ -1,24 +1,56 @@
-"""From raw documents to packed sequences: the stages in order, each on all that its predecessor kept."""
+"""From raw documents to packed sequences: the stages in order, each on all that its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents, extra
+ones included. Null and empty texts are scored like any other text by the first stage; those it keeps pass the middle
+stages untouched and are packed as their end id alone. Empty tables give empty results. doc_id must be unique.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspanel.llm import minmax
+from crosspanel.llm import contamination, lines, minmax, packing, quality
 from crosspanel.llm.shared import settle
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fitted on labelled rows of ``docs``; what it predicts as 0 goes."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of lines that repeat an earlier run are cut; a document with nothing but such lines goes."""
+    return lines.without_repeats(docs, drop_emptied=True)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minmax.keep_one(docs)
+    """Of each group linked by a similarity of 0.8 or more the smallest doc_id stays."""
+    return minmax.keep_one(docs, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return contamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequences."""
+    return packing.pack_documents(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing_stage),
+]
 #: Not expressible in SQL: the classifier is trained and the packing is fitted; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

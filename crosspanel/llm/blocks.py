@@ -18,6 +18,8 @@ U = np.uint64
 BASE, STEP = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All ASCII but letters and digits: for comparisons that punctuation must not disturb.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -79,9 +81,9 @@ def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(((prefix[ends] - prefix[starts]) * back[starts]) ^ ((ends - starts).astype(np.uint64) * U(STEP)))
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row numbers of all words; no word crosses two rows."""
-    inside = ~SPACE[data]
+    inside = ~space[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -99,13 +101,13 @@ def runs(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total ^ U(n))
 
 
-def shingles(data: np.ndarray, offs: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offs: np.ndarray, n: int = 5, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): row i has the n-word shingles hashes[bounds[i]:bounds[i + 1]], in order, repeats kept.
 
     A-Z count as a-z. Fewer than n words: the whole sequence is the one shingle; no word: none.
     """
     low = LOWER[data]
-    starts, ends, row = words(low, offs)
+    starts, ends, row = words(low, offs, space)
     hashed = range_hash(prefix_hash(low), starts, ends)
     rows = len(offs) - 1
     per = np.bincount(row, minlength=rows)
