@@ -136,8 +136,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` without all but the smallest doc_id of each near-duplicate group; columns stay as they are."""
-    kept = near_duplicates(docs, percent).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    gone = settle(near_duplicates(docs, percent).where("NOT kept").select("doc_id"))
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op8_minmax_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

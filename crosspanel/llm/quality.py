@@ -7,7 +7,6 @@ those over all chunks; a logistic unit on both. The gradient reaches the filters
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -163,27 +162,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network
     return fit([bytes(r[2]) for r in got], np.array([r[1] for r in got]))
 
 
-def scored(docs: DataFrame, net: Network) -> DataFrame:
-    """(doc_id, score): the probability of label 1 from the whole text; null counts as empty."""
+def with_score(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
+    """``docs`` with the probability of label 1 from the whole text; null counts as empty. Nothing is shuffled."""
     share = docs.sparkSession.sparkContext.broadcast(net)  # 0.2 MB whatever the input
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offs in slices(batches, most=1 << 20):
-            yield pa.record_batch([rows.column(0), pa.array(score(share.value, data, offs).astype(np.float64))], ["doc_id", "score"])
+    def apply(text: pa.Array) -> pa.Array:
+        batch = pa.record_batch([text], ["text"])
+        return pa.array(np.concatenate([score(share.value, d, o) for _, d, o in slices(iter([batch]), most=1 << 20)] or [np.zeros(0)]), pa.float64())
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(apply, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.withColumn(name, F.arrow_udf(apply, "double")(F.col("text").cast("string")))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of ``docs``; only text is an input of the score."""
     net = train(docs, labels)
-    return scored(docs, net).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return with_score(docs.select("doc_id", "text"), net).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; doc_id must be unique, columns stay as they are."""
-    bad = classify(docs, labels).where("predicted = 0").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that the classifier rejects; columns stay as they are."""
+    return with_score(docs, train(docs, labels), "score_").where(F.col("score_") >= THRESHOLD).select(*docs.columns)
 
 
 def op6_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
