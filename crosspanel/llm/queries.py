@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import contamination, lines, minmax, packing, quality
+from . import contamination, lines, minmax, packing, quality, rules
 
 QUERIES = {
     "op2_nnls_packing": packing.op2_nnls_packing,
     "op4_simhash_decontamination": contamination.op4_simhash_decontamination,
     "op6_byte_convolution": quality.op6_byte_convolution,
     "op8_minmax_near_dups": minmax.op8_minmax_near_dups,
+    "op9_threshold_rules": rules.op9_threshold_rules,
     "op10_line_winnowing": lines.op10_line_winnowing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_threshold_rules": rules.oracle()}
