@@ -34,17 +34,20 @@ def _counted(docs: DataFrame) -> DataFrame:
     """Rows with the contract's counts; each select is one projection on the columns before it."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select("doc_id", text.alias("text_"))
-    words = F.filter(F.split(F.translate("text_", BLANKS, " " * len(BLANKS)), " ", -1), lambda w: w != "")
-    lines = F.filter(F.split("text_", "\n", -1), lambda x: F.translate(x, BLANKS, "") != "")
-    base = base.select("doc_id", "text_", words.alias("words"), lines.alias("lines"), F.length(F.translate("text_", BLANKS, "")).cast("long").alias("word_chars"))
-    n = F.size("words")
+    spaced, symbols = F.col("text_"), F.lit(0)
+    for c in BLANKS[1:]:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    for c in SYMBOLS:
+        symbols = symbols + F.octet_length("text_") - F.octet_length(F.replace("text_", F.lit(c), F.lit("")))
+    words = F.filter(F.split(spaced, " ", -1), lambda w: w != "")
+    lines = F.filter(F.split("text_", "\n", -1), lambda x: F.trim(x, F.lit(BLANKS)) != "")
+    base = base.select("doc_id", words.alias("words"), lines.alias("lines"), symbols.cast("long").alias("n_symbols"))
     base = base.select(
         "doc_id",
         "words",
-        "word_chars",
-        n.alias("n"),
-        n.cast("long").alias("n_words"),
-        (F.length("text_") - F.length(F.translate("text_", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.size("words").cast("long").alias("n_words"),
+        "n_symbols",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),

@@ -29,8 +29,9 @@ WEAK = {
 KINDS = [*BASE, *WEAK]
 #: What a part can be in a credential: access identifiers, secrets, endpoints.
 ROLE = {"assign": "secret", "hex": "secret", "key": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
-#: A text that matches none of this has no part of any kind.
-ANY = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|[A-Za-z0-9+/]{40}|://|(?i:user|login|client_?id|account_?id|access_?key_?id)[a-z]*[\"']?\x20*[:=]"
+#: A text with none of these words in lower case and no printable run of 24 characters has no part of any kind.
+HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key", "akia", "user", "login", "client", "account", "access", "://")
+LONG = r"[!-~]{24}"
 STEP = 64
 
 
@@ -49,7 +50,8 @@ def _spans(df: DataFrame, kind: str) -> DataFrame:
     total = lambda arr: F.aggregate(arr, F.lit(0), lambda s, x: s + x["a"] + x["b"])
     df = df.withColumn("s_", F.transform(F.sequence(F.lit(0), F.expr(f"(size(l_) - 1) div {STEP}")), lambda b: total(F.slice("l_", b * STEP + 1, F.lit(STEP)))))
     df = df.withColumn("s_", F.transform("s_", lambda _, b: F.aggregate(F.slice("s_", F.lit(1), b), F.lit(0), lambda s, x: s + x)))
-    at = lambda i: F.get("s_", F.floor(i / STEP).cast("int")) + total(F.slice("l_", (F.floor(i / STEP) * STEP + 1).cast("int"), i % STEP)) + F.get("l_", i)["a"]
+    # naming s_ twice keeps the optimizer from working it out anew for every match
+    at = lambda i: F.when(i < F.size("s_") * STEP, F.get("s_", F.floor(i / STEP).cast("int"))) + total(F.slice("l_", (F.floor(i / STEP) * STEP + 1).cast("int"), i % STEP)) + F.get("l_", i)["a"]
     df = df.withColumn("p_", F.transform("m_", lambda m, i: F.struct(at(i).alias("start"), F.length(m).alias("size"), F.get("g_", i).alias("g"))))
     spans = F.transform(F.filter("p_", lambda x: x["g"] >= least), lambda x: F.struct(x["start"].cast("long").alias("start"), (x["start"] + x["size"]).cast("long").alias("end")))
     return df.withColumn(kind, F.coalesce(spans, F.array().cast("array<struct<start:bigint,end:bigint>>"))).drop("m_", "g_", "l_", "s_", "p_")
@@ -58,7 +60,11 @@ def _spans(df: DataFrame, kind: str) -> DataFrame:
 def parts(docs: DataFrame) -> DataFrame:
     """doc_id, row_key and, per kind, the array of spans in each row's whole text (null: empty)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.select("doc_id", text.alias("text_")).withColumn("hit_", F.col("text_").rlike(ANY)).withColumn("row_key", F.xxhash64("text_"))
+    df = docs.select("doc_id", text.alias("text_")).withColumn("low_", F.lower("text_"))
+    hit = F.col("text_").rlike(LONG)
+    for word in HINTS:
+        hit = hit | F.col("low_").contains(word)
+    df = df.select("doc_id", "text_", hit.alias("hit_"), F.xxhash64("text_").alias("row_key"))
     for kind in KINDS:
         df = _spans(df, kind)
     return df.select("doc_id", "row_key", *KINDS)
