@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import contamination, lines, minmax, packing, quality, rules
+from . import contamination, lines, minmax, packing, pii, quality, rules, secrets
 
 QUERIES = {
     "op2_nnls_packing": packing.op2_nnls_packing,
     "op4_simhash_decontamination": contamination.op4_simhash_decontamination,
+    "op5_bilstm_crf": pii.op5_bilstm_crf,
     "op6_byte_convolution": quality.op6_byte_convolution,
+    "op7_credential_linking": secrets.op7_credential_linking,
     "op8_minmax_near_dups": minmax.op8_minmax_near_dups,
     "op9_threshold_rules": rules.op9_threshold_rules,
     "op10_line_winnowing": lines.op10_line_winnowing,
