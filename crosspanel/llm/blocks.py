@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 U = np.uint64
 #: Odd multipliers of the polynomial hashes (fixed values; any odd numbers do).
 BASE, STEP = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -35,6 +35,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at), *flat(texts.slice(at, to - at))
             at = to
+        del texts, batch
+        pa.default_memory_pool().release_unused()  # a worker lives on for other operators
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ SIZE, END = 4096, 1
 #: Patterns are fitted on lengths rounded up to SIZE / UNITS tokens and have at most DEPTH documents.
 UNITS, DEPTH = 64, 4
 #: Words whose ids a worker keeps (about 50 bytes each); beyond it the oldest are forgotten.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 600_000
 
 
 class WordIds:
@@ -53,7 +53,9 @@ class WordIds:
         return start, length
 
     def _add(self, hashes: np.ndarray, texts: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = []
+        for at in range(0, len(texts), 2048):
+            ids += [x.ids for x in self.tokenizer.encode_batch_fast(texts[at : at + 2048], add_special_tokens=False)]
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(length.sum())
         if self.used + total > len(self.ids):

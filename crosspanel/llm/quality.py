@@ -168,7 +168,7 @@ def with_score(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
 
     def apply(text: pa.Array) -> pa.Array:
         batch = pa.record_batch([text], ["text"])
-        return pa.array(np.concatenate([score(share.value, d, o) for _, d, o in slices(iter([batch]), most=1 << 20)] or [np.zeros(0)]), pa.float64())
+        return pa.array(np.concatenate([score(share.value, d, o) for _, d, o in slices(iter([batch]), most=1 << 18)] or [np.zeros(0)]), pa.float64())
 
     return docs.withColumn(name, F.arrow_udf(apply, "double")(F.col("text").cast("string")))
 
