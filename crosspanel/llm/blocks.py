@@ -41,7 +41,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not pa.types.is_large_string(texts.type):
-        texts = texts.cast(pa.large_string())
+        texts = texts.cast(pa.large_binary() if pa.types.is_binary(texts.type) else pa.large_string())
     _, where, data = texts.buffers()
     offs = np.frombuffer(where, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import contamination, licences, lines, minmax, packing, pii, quality, rules, secrets
+from . import contamination, licences, lines, minmax, packing, pii, quality, repeats, rules, secrets
 
 QUERIES = {
     "op1_licence_paragraphs": licences.op1_licence_paragraphs,
     "op2_nnls_packing": packing.op2_nnls_packing,
+    "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
     "op4_simhash_decontamination": contamination.op4_simhash_decontamination,
     "op5_bilstm_crf": pii.op5_bilstm_crf,
     "op6_byte_convolution": quality.op6_byte_convolution,
