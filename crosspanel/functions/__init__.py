@@ -1 +1,60 @@
+"""Column expressions shared by the operators."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, Window
+from pyspark.sql import functions as F
+
+EPS = 1e-12
+WINDOWS = (5, 10, 20, 30, 60)
+
+
+def over_time(d: int | None = None):
+    """Rows of one instrument by date; with ``d`` the last d rows up to the current one."""
+    w = Window.partitionBy("instrument").orderBy("date")
+    return w.rowsBetween(-(d - 1), 0) if d else w
+
+
+def on_day(*order: Column | str):
+    """Rows of one date, ordered if asked."""
+    w = Window.partitionBy("date")
+    return w.orderBy(*order) if order else w
+
+
+def full(value: Column, counted: Column, d: int) -> Column:
+    """``value`` where the window of ``d`` rows has no gap in ``counted``, else NULL."""
+    return F.when(F.count(counted).over(over_time(d)) == d, value)
+
+
+def divide(a: Column, b: Column) -> Column:
+    """a / b, NULL for b = 0."""
+    return F.try_divide(a, b)
+
+
+def clip(x: Column, low: float, high: float) -> Column:
+    """NULL stays NULL (greatest and least would skip it)."""
+    return F.when(x < low, F.lit(low)).when(x > high, F.lit(high)).otherwise(x)
+
+
+def r6(x: Column, digits: int = 6) -> Column:
+    """Six digits, without a negative zero: what results are compared by."""
+    return F.round(x, digits) + F.lit(0.0)
+
+
+def day(x: Column | str = "date") -> Column:
+    return F.col(x).cast("string") if isinstance(x, str) else x.cast("string")
+
+
+def covariance(x: Column, y: Column) -> Column:
+    return F.avg(x * y) - F.avg(x) * F.avg(y)
+
+
+def first_rank(score: str, *within: str, descending: bool = False) -> Column:
+    """Ordinal rank from 1; ties by instrument."""
+    by = F.col(score).desc() if descending else F.col(score)
+    return F.row_number().over(Window.partitionBy(*within).orderBy(by, "instrument"))
+
+
+def average_rank(score: str, *within: str) -> Column:
+    """Rank with ties at their mean."""
+    return F.rank().over(Window.partitionBy(*within).orderBy(score)) + (F.count(F.lit(1)).over(Window.partitionBy(*within, score)) - 1) / 2

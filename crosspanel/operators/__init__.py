@@ -1 +1 @@
-
+"""Panel operators: DataFrame in, DataFrame out."""

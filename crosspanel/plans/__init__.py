@@ -1 +1 @@
-
+"""The registered queries and the SQL they are held against."""

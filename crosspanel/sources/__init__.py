@@ -1 +1,140 @@
+"""Bar panels, universes, manifests and ledgers, read from and written to files by Spark."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: The schema of a bar panel, whatever it was read from.
+BARS = T.StructType([T.StructField("instrument", T.StringType()), T.StructField("date", T.DateType()), *(T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume", "amount"))])
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _bars(rows: DataFrame, price: str, order: Column, size: str) -> DataFrame:
+    """One bar per (instrument, date) from single trades; all aggregates combine before the shuffle."""
+    return rows.groupBy("instrument", "date").agg(
+        F.min_by(price, order).alias("open"),
+        F.max(price).alias("high"),
+        F.min(price).alias("low"),
+        F.max_by(price, order).alias("close"),
+        F.sum(size).alias("volume"),
+        F.sum(F.col(price) * F.col(size)).alias("amount"),
+    )
+
+
+def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars of the suppliers' line items, one artificial splice included (instrument 7 from June 1998)."""
+    items = table(spark, sf_dir, "lineitem")
+    splice = F.when((F.col("l_suppkey") == 7) & (F.col("l_shipdate") >= F.lit("1998-06-01").cast("timestamp")), 100.0).otherwise(1.0)
+    rows = items.select(
+        F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("instrument"),
+        F.date_trunc("week", "l_shipdate").cast("date").alias("date"),
+        ((F.lit(92.5) + F.lit(15.0) * F.col("l_extendedprice") / F.lit(105000.0)) * splice).alias("px"),
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").alias("k"),
+        "l_quantity",
+    )
+    return _bars(rows, "px", F.col("k"), "l_quantity")
+
+
+def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of the users' events; volume counts events."""
+    rows = table(spark, sf_dir, "events").select(
+        F.lpad(F.col("user_id").cast("string"), 8, "0").alias("instrument"),
+        F.to_date("ts").alias("date"),
+        "value",
+        F.struct("ts", "event_id").alias("k"),
+        F.lit(1.0).alias("one"),
+    )
+    return _bars(rows, "value", F.col("k"), "one")
+
+
+def read_bars(spark: SparkSession, path: str, instrument: str | None = None, columns: dict[str, str] | None = None) -> DataFrame:
+    """Bars from a directory of parquet files: the instrument is the column ``instrument`` or else the file's name.
+
+    ``columns`` renames; rows without a date or close go, the first row of a repeated (instrument, date) stays; NaN
+    becomes NULL. Unreadable files are skipped if the session sets ``spark.sql.files.ignoreCorruptFiles``.
+    """
+    df = spark.read.parquet(path).withColumnsRenamed(columns or {})
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.parquet$", 1)
+    df = df.withColumn("instrument", F.col(instrument) if instrument else name)
+    doubles = {c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c, k in df.dtypes if k == "double"}
+    df = df.withColumns(doubles).withColumn("date", F.to_date("date")).dropna(subset=["date", "close"])
+    return first_of(df, ["instrument", "date"], [c for c in df.columns if c not in ("instrument", "date")])
+
+
+def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key: the smallest by ``order``, chosen by a map-side minimum."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min(F.struct(*order, *(c for c in rest if c not in order))).alias("r_")).select(*keys, *(F.col(f"r_.{c}").alias(c) for c in rest))
+
+
+def adjusted(bars: DataFrame) -> DataFrame:
+    """Adjusted prices: a factor of 1 % a year since 1995 on open, high, low and close; volume stays."""
+    factor = 1 + F.lit(0.01) * (F.year("date") - 1995)
+    out = bars.withColumn("factor", factor).withColumn("raw_close", F.col("close"))
+    for c in ("open", "high", "low", "close"):
+        out = out.withColumn(c, F.col(c) * F.col("factor"))
+    return out.withColumn("vwap", (F.col("high") + F.col("low") + F.col("close")) / 3)
+
+
+def by_factor(bars: DataFrame, adj_close: str = "adj_close") -> DataFrame:
+    """Adjusted prices of bars that carry an adjusted close; a close of zero gives NULL."""
+    factor = F.try_divide(F.col(adj_close), F.col("close"))
+    return bars.withColumn("factor", factor).withColumns({c: F.col(c) * F.col("factor") for c in ("open", "high", "low")}).withColumn("close", F.col(adj_close))
+
+
+def unpivot_batch(wide: DataFrame, date: str, fields: list[str]) -> DataFrame:
+    """(instrument, date, fields...) from columns named ``field|instrument``: a downloaded batch made long."""
+    names = sorted({c.split("|", 1)[1] for c in wide.columns if "|" in c})
+    each = F.array(*(F.struct(F.lit(n).alias("instrument"), *((F.col(f"`{f}|{n}`") if f"{f}|{n}" in wide.columns else F.lit(None)).cast("double").alias(f) for f in fields)) for n in names))
+    return wide.select(F.col(date).alias("date"), F.explode(each).alias("r")).select("r.instrument", "date", *(f"r.{f}" for f in fields)).dropna(how="all", subset=fields)
+
+
+def read_universe(spark: SparkSession, path: str) -> DataFrame:
+    """Symbols of a text file: one a line, ``#`` starts a comment, blank lines count for nothing."""
+    symbol = F.trim(F.split("value", "#")[0])
+    return spark.read.text(path).select(symbol.alias("symbol")).where("symbol <> ''").distinct()
+
+
+MANIFEST = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("status", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("last_date", T.DateType())])
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).option("header", True).csv(path)
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    manifest.select(*MANIFEST.fieldNames()).write.mode("overwrite").option("header", True).csv(path)
+
+
+def upsert_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of ``new``, and those of ``old`` for other tickers."""
+    return old.join(new.select("ticker"), "ticker", "left_anti").unionByName(new)
+
+
+def still_to_do(universe: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Tickers of ``universe`` that no row of ``manifest`` says ok about."""
+    return universe.join(manifest.where("status = 'ok'").select("ticker"), "ticker", "left_anti")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """One row per result of a JSON-lines ledger whose lines hold an array ``results``; old lines may lack fields."""
+    lines = spark.read.json(path)
+    rest = [c for c in lines.columns if c != "results"]
+    return lines.select(*rest, F.posexplode("results").alias("position", "r")).select(*rest, "position", "r.*")
+
+
+def append_ledger(rows: DataFrame, keys: list[str], path: str) -> None:
+    """One line per ``keys``, its rows as the array ``results``."""
+    rest = [c for c in rows.columns if c not in keys]
+    rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("results")).write.mode("append").json(path)
+
+
+def write_panel(panel: DataFrame, path: str, by: str | None = None) -> None:
+    """Parquet, overwritten as a whole by Spark's commit protocol; ``by`` partitions the files."""
+    writer = panel.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
