@@ -119,7 +119,7 @@ def _spread(shards: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, places) of the minimizers that at least two documents have."""
+    """(doc_id, place) of the minimizers that at least two documents have."""
     for table in groups(batches, ["shard"]):
         hs, docs, places = [], [], []
         done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -144,30 +144,28 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.repeat(low != high, count) & (doc >= 0) | np.repeat(low < 0, count) & (doc >= 0)
             done.append((doc[keep], place[keep]))
         for doc, place in done:
-            order = np.argsort(doc, kind="stable")
-            doc, place = doc[order], place[order]
-            own, n = np.unique(doc, return_counts=True)
-            edge = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            yield pa.record_batch([pa.array(own), pa.ListArray.from_arrays(pa.array(edge), pa.array(place.astype(np.int32)))], ["doc_id", "places"])
+            yield pa.record_batch([pa.array(doc), pa.array(place.astype(np.int32))], ["doc_id", "place"])
 
 
 def _passages(shards: int):
-    """Rows (shard, h, doc_id, start, text) of passages; without text: start to stop of doc_id is a repeat already."""
+    """Rows (shard, h, doc_id, start, left, text) of passages, the minimizer at text[left]; without text: start to stop
+    of doc_id is a repeat already."""
+
+    names = ["shard", "h", "doc_id", "start", "left", "text", "stop"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offs in slices(iter([batch])):
-                own = [np.unique(np.concatenate(x)) if len(x) else np.zeros(0, np.int64) for x in ([np.asarray(v, np.int64) for v in row] for row in rows.column(2).to_pylist())]
-                n = np.array([len(x) for x in own])
-                row = np.repeat(np.arange(len(own)), n)
-                at = (np.concatenate(own) if len(own) else np.zeros(0, np.int64)) + offs[row]
+                lists = rows.column(2)
+                row = pc.list_parent_indices(lists).to_numpy()
+                at = lists.flatten().to_numpy().astype(np.int64) + offs[row]
                 doc = rows.column(0).to_numpy(zero_copy_only=False)[row]
                 low, high = np.maximum(at - REACH, offs[row]), np.minimum(at + K + REACH, offs[row + 1])
                 prefix = prefix_hash(data)
                 h = range_hash(prefix, at, at + K)
                 around = range_hash(prefix, low, high)
                 order = np.lexsort((at, doc, around, h))
-                h, around, doc, low, high, row = (x[order] for x in (h, around, doc, low, high, row))
+                h, around, doc, low, high, row, at = (x[order] for x in (h, around, doc, low, high, row, at))
                 head = np.concatenate([[True], (h[1:] != h[:-1]) | (around[1:] != around[:-1])]) if len(h) else np.zeros(0, bool)
                 least = doc[np.flatnonzero(head)][np.cumsum(head) - 1] if len(h) else doc
                 sent, known = np.flatnonzero(doc == least), np.flatnonzero(doc > least)
@@ -177,7 +175,7 @@ def _passages(shards: int):
                 texts = pa.Array.from_buffers(pa.binary(), len(sent), [None, pa.py_buffer(edge.astype(np.int32).tobytes()), pa.py_buffer(text.tobytes())])
                 shard = ((h >> U(48)).astype(np.int64) % shards)[sent]
                 first = low - offs[row]
-                yield pa.record_batch([pa.array(shard, pa.int32()), pa.array(h[sent].view(np.int64)), pa.array(doc[sent]), pa.array(first[sent], pa.int32()), texts, pa.nulls(len(sent), pa.int32())], ["shard", "h", "doc_id", "start", "text", "stop"])
+                yield pa.record_batch([pa.array(shard, pa.int32()), pa.array(h[sent].view(np.int64)), pa.array(doc[sent]), pa.array(first[sent], pa.int32()), pa.array((at - low)[sent], pa.int32()), texts, pa.nulls(len(sent), pa.int32())], names)
                 if len(known):  # spans of a document may be joined before they travel
                     order = np.lexsort((first[known], doc[known]))
                     k = known[order]
@@ -188,7 +186,7 @@ def _passages(shards: int):
                     np.maximum.at(stop, g, b)
                     f = np.flatnonzero(new)
                     m = len(f)
-                    yield pa.record_batch([pa.array(d[f] % shards, pa.int32()), pa.nulls(m, pa.int64()), pa.array(d[f]), pa.array(a[f], pa.int32()), pa.nulls(m, pa.binary()), pa.array(stop, pa.int32())], ["shard", "h", "doc_id", "start", "text", "stop"])
+                    yield pa.record_batch([pa.array(d[f] % shards, pa.int32()), pa.nulls(m, pa.int64()), pa.array(d[f]), pa.array(a[f], pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(stop, pa.int32())], names)
 
     return cut
 
@@ -213,6 +211,30 @@ def repeats_in(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.
     return passage, p[f] - edge[passage], p[last] + LENGTH - edge[passage]
 
 
+def _in_two(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether documents other than a row's own have its key."""
+    order = np.argsort(key, kind="stable")
+    k, d = key[order], doc[order]
+    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    out = np.zeros(len(key), bool)
+    out[order] = np.repeat(np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head), np.diff(np.append(head, len(k))))
+    return out
+
+
+def _may_match(h: np.ndarray, doc: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Passages that can share LENGTH bytes around their minimizer with another document's: such a string reaches
+    half of REACH beyond the minimizer on one side at least, so that side's bytes must be shared."""
+    out = np.zeros(len(h), bool)
+    many = np.flatnonzero(_in_two(h, doc)) if len(h) else np.zeros(0, np.int64)
+    half, prefix = REACH // 2, prefix_hash(data)
+    at = begin + left
+    for low, high in ((at - half, at + K), (at, at + K + half)):
+        ok = many[(low >= begin)[many] & (high <= begin + size)[many]]
+        if len(ok):
+            out[ok] |= _in_two(range_hash(prefix, low[ok], high[ok]), doc[ok])
+    return np.flatnonzero(out)
+
+
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in groups(batches, ["shard"]):
         known = table.filter(pc.is_null(table["text"]))
@@ -231,6 +253,9 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later = np.flatnonzero(doc > least)
         yield pa.record_batch([pa.array(doc[later]), pa.array(start[later], pa.int32()), pa.array((start + size)[later], pa.int32())], ["doc_id", "start", "stop"])
         stay = np.flatnonzero(doc == least)
+        stay = stay[_may_match(h[stay], doc[stay], data, offs[:-1][stay], size[stay], rows["left"].to_numpy().astype(np.int64)[stay])]
+        if not len(stay):
+            continue
         edge = np.concatenate([[0], np.cumsum(size[stay])])
         text = data[np.repeat(offs[:-1][stay] - edge[:-1], size[stay]) + np.arange(edge[-1])]
         passage, a, b = repeats_in(text, size[stay], doc[stay])
@@ -265,11 +290,11 @@ def removed_spans(docs: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame
     texts = docs.join(small(copies), "doc_id", "left_anti").where(F.octet_length("text") >= LENGTH).select("doc_id", "text")
     shards = max(1, int(size * 2 / (REACH + 2)) // SHARD_ROWS)
     spread = texts.mapInArrow(_spread(shards), "shard int, h binary, doc binary, n binary, place binary")
-    shared = spread.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shared, "doc_id long, places array<int>")
-    places = settle(shared.groupBy("doc_id").agg(F.collect_list("places").alias("places")))
-    total = places.agg(F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda s, x: s + F.size(x)))).first()[0] or 0
+    shared = spread.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shared, "doc_id long, place int")
+    places = settle(shared.groupBy("doc_id").agg(F.collect_list("place").alias("places")))
+    total = places.agg(F.sum(F.size("places").cast("long"))).first()[0] or 0
     shards = max(1, total * (K + 2 * REACH) // SHARD_BYTES)
-    rows = texts.join(places, "doc_id").mapInArrow(_passages(shards), "shard int, h long, doc_id long, start int, text binary, stop int")
+    rows = texts.join(places, "doc_id").mapInArrow(_passages(shards), "shard int, h long, doc_id long, start int, left int, text binary, stop int")
     spans = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_decide, "doc_id long, start int, stop int")
     return copies, spans
 
