@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import mix, powers, prefix_hash, range_hash, slices, words
-from .shared import documents, settle
+from .shared import documents, fresh, quoted, settle
 
 MIN_WORDS = 50
 STEP = 0xD6E8FEB86659FD93
@@ -119,14 +119,14 @@ def without_repeats(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     doc_id must be unique. Texts without repeats, null and blank ones come out as they are. A text that loses all its
     words is a copy of what stands earlier: it stays as what is left of it, or its row goes with ``drop_emptied``.
     """
+    key, cut, was = fresh(docs, "cut_id"), fresh(docs, "cut_spans"), fresh(docs, "was_cut")
     coded = F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")
-    spans = repeated_lines(docs).groupBy(F.col("doc_id").alias("cut_id_")).agg(F.collect_set(coded).alias("cut_spans_"))
-    joined = docs.join(spans, docs["doc_id"] == F.col("cut_id_"), "left")
-    text = F.pandas_udf(_cut, "string")(docs["text"].cast("string"), F.col("cut_spans_")).alias("text")
-    out = joined.select(*(text if c == "text" else docs[c] for c in docs.columns), F.col("cut_id_").isNotNull().alias("was_cut_"))
+    spans = repeated_lines(docs).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(coded).alias(cut))
+    joined = docs.join(spans, docs["doc_id"] == F.col(key), "left").withColumn(was, F.col(key).isNotNull())
+    out = joined.withColumn("text", F.pandas_udf(_cut, "string")(F.col("text").cast("string"), F.col(cut)))
     if drop_emptied:
-        out = out.where("NOT (was_cut_ AND trim(BOTH ' \t\n\r\f' FROM text) = '')")
-    return out.drop("was_cut_")
+        out = out.where(~(F.col(was) & (F.trim(F.col("text"), F.lit(" \t\n\r\f\v")) == "")))
+    return out.select(*quoted(*docs.columns))
 
 
 def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

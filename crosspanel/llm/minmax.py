@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import STEP, U, groups, mix, shingles, slices
-from .shared import connected_components, documents, settle, small
+from .shared import connected_components, documents, quoted, settle, small
 
 #: 60 permutations give 120 signature values in 24 bands of 5: at similarity 0.85 a pair shares no band with
 #: probability (1 - 0.85**5)**24 = 8e-7.
@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` without all but the smallest doc_id of each near-duplicate group; columns stay as they are."""
     gone = settle(near_duplicates(docs, percent).where("NOT kept").select("doc_id"))
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(gone), "doc_id", "left_anti").select(*quoted(*docs.columns))
 
 
 def op8_minmax_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

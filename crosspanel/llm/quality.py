@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import slices
-from .shared import documents
+from .shared import documents, fresh, quoted
 
 TAPS, STRIDE, FILTERS = 8, 4, 24
 #: Windows in half a chunk; a chunk is two neighbouring halves.
@@ -181,7 +181,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; columns stay as they are."""
-    return with_score(docs, train(docs, labels), "score_").where(F.col("score_") >= THRESHOLD).select(*docs.columns)
+    name = fresh(docs, "score")
+    return with_score(docs, train(docs, labels), name).where(F.col(name) >= THRESHOLD).select(*quoted(*docs.columns))
 
 
 def op6_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
