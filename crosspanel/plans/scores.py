@@ -247,7 +247,8 @@ GRID_SQL = f"{PREDS_SQL}, {_spans}, grid AS (SELECT *, CAST(unnest([0.1, 0.2, 0.
 
 
 def grid_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.long_short(portfolio.hysteresis(portfolio.variants(predictions(spark, sf_dir), GRID_SPANS), 0.1, "q_exit", KEYS), KEYS)
+    # every span reads the same predictions: kept in executors' memory or on their disks, rebuilt if one is lost
+    return portfolio.long_short(portfolio.hysteresis(portfolio.variants(predictions(spark, sf_dir).persist(), GRID_SPANS), 0.1, "q_exit", KEYS), KEYS)
 
 
 @register("variant_grid", f"{GRID_SQL}, {CURVE_SQL.format(k='span, q_exit,')} SELECT span, q_exit, cost, days, {_r(CURVE)} FROM curve")

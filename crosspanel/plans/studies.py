@@ -54,7 +54,7 @@ NULL = ["observed", "null_mean", "null_95", "p"]
 
 @register("perm_null", f"{PERM_SQL} SELECT reps, {_r(NULL)} FROM res")
 def perm_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = portfolio.dense_days(portfolio.ema(predictions(spark, sf_dir), 5))
+    ranked = portfolio.dense_days(portfolio.ema(predictions(spark, sf_dir), 5)).persist()
     held = portfolio.hysteresis(ranked, 0.1, 0.2)
     seen = resample.net_of(portfolio.long_short(held)).agg(F.avg("net").alias("net_bps"))
     null = resample.null_of_holdings(held, resample.permuted(ranked, PERM_REPS))
@@ -76,8 +76,8 @@ SELECT reps, {_r(NULL)} FROM res""",
 )
 def selection_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best of the grid per permutation; all variants of a permutation share it."""
-    grid = portfolio.variants(predictions(spark, sf_dir), GRID_SPANS)
-    held = portfolio.hysteresis(grid, 0.1, "q_exit", KEYS)
+    grid = portfolio.variants(predictions(spark, sf_dir).persist(), GRID_SPANS)
+    held = portfolio.hysteresis(grid, 0.1, "q_exit", KEYS).persist()
     seen = resample.net_of(portfolio.long_short(held, KEYS)).groupBy(*KEYS).agg(F.avg("net").alias("net_bps")).agg(F.max("net_bps").alias("net_bps"))
     shuffled = resample.permuted(grid.select("date", "instrument", "label_raw").distinct(), SEL_REPS)
     null = resample.null_of_holdings(held, shuffled, KEYS).groupBy("rep").agg(F.max("net_bps").alias("net_bps"))
@@ -236,7 +236,7 @@ def ridge_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel_rows = feat.features(panel(spark, sf_dir), RIDGE, ["open", "high", "low", "close", "vwap", "raw_close", "volume", "amount", "factor"])
     rows = robust_z(lab.labels(lab.with_flags(panel_rows)), {m: m for m in RIDGE}, fill=0.0).where("label_raw IS NOT NULL")
     calendar = rows.select("date").distinct().withColumn("day", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")).cast("long"))
-    rows = rows.join(calendar, "date")
+    rows = rows.join(calendar, "date").select("date", "day", "instrument", *RIDGE, "label", "label_raw").persist()  # read twice per fold
     plan = models.folds(calendar, **FOLD_ARGS).orderBy("test_year").collect()  # one row per year
     preds = models.ridge_walk(rows, RIDGE, "label", plan)
     return _rounded(metrics.daily_ic(preds, ("test_year", "alpha", "date")).groupBy("test_year", "alpha").agg(F.count(F.lit(1)).alias("days"), F.avg("rank_ic").alias("mean")), ["test_year", "alpha", "days"], ["mean"])
