@@ -97,7 +97,7 @@ UNKNOWN = [
 ]
 BITS, WINDOW = 15, 64
 #: Paragraphs of the unknown class taken from the documents at most (from those with the smallest hash).
-TRAIN_PARAGRAPHS, VARIANTS = 2000, 40
+TRAIN_PARAGRAPHS, VARIANTS = 800, 40
 #: Share of a template's word pairs that confirms a prediction.
 CONFIRM = 0.6
 
@@ -260,7 +260,7 @@ def scan(model: Model, data: np.ndarray, offs: np.ndarray) -> list[list[tuple[in
 def train(docs: DataFrame) -> Model:
     """Fit against lines of a bounded sample of ``docs``, taken as the unknown class."""
     line = F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line")
-    rows = docs.select("doc_id", line).where("length(trim(line)) > 0").select("doc_id", F.substring("line", 1, 600).alias("line"))
+    rows = docs.select("doc_id", line).where("length(trim(line)) > 0").select("doc_id", F.substring("line", 1, 400).alias("line"))
     got = rows.orderBy(F.xxhash64("doc_id", "line"), "doc_id", "line").limit(TRAIN_PARAGRAPHS).collect()
     return fit(sorted(r[1] for r in got))
 

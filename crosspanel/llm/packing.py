@@ -26,7 +26,7 @@ SIZE, END = 4096, 1
 #: Patterns are fitted on lengths rounded up to SIZE / UNITS tokens and have at most DEPTH documents.
 UNITS, DEPTH = 64, 4
 #: Words whose ids a worker keeps (about 50 bytes each); beyond it the oldest are forgotten.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
 
 
 class WordIds:
