@@ -129,6 +129,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     edges = dealt.repartition("cc", "bi", "bj").sortWithinPartitions("cc", "bi", "bj").mapInArrow(_verifier(percent), "a long, b long")
     component = connected_components(edges)
     rep = same.select("d1", "d2", "n_shingles", F.col("doc_id").alias("node")).join(component, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("root", "node").alias("component_id"))
+    rep = settle(rep)  # both sides of the join are plain tables: a hot group of copies may be split
     linked = filled.select("doc_id", "n_shingles", "d1", "d2").join(rep, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     alone = made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))

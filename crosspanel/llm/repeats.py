@@ -285,7 +285,7 @@ def removed_spans(docs: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame
     """(copies, spans): doc_ids of whole copies of a smaller document, and (doc_id, start, stop) byte spans that
     repeat in the other documents (spans may overlap). ``own``: doc_id, n_bytes, sha256 of ``docs``, settled."""
     firsts = own.where(f"n_bytes >= {LENGTH}").groupBy("sha256", "n_bytes").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = settle(own.join(firsts, ["sha256", "n_bytes"]).where("doc_id > least").select("doc_id"))
+    copies = settle(own.join(small(settle(firsts)), ["sha256", "n_bytes"]).where("doc_id > least").select("doc_id"))
     size = own.agg(F.sum("n_bytes")).first()[0] or 0
     texts = docs.join(small(copies), "doc_id", "left_anti").where(F.octet_length("text") >= LENGTH).select("doc_id", "text")
     shards = max(1, int(size * 2 / (REACH + 2)) // SHARD_ROWS)
