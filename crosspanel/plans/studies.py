@@ -284,3 +284,74 @@ def ledger_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("bars_gated", f"WITH {BARS_SQL}, {PREP_SQL}, {FLAGS_SQL} SELECT CAST(year(date) AS BIGINT) AS year, count(*) AS n, sum(CASE WHEN can_buy THEN 1 ELSE 0 END)::BIGINT AS buyable, sum(CASE WHEN can_sell THEN 1 ELSE 0 END)::BIGINT AS sellable FROM flags GROUP BY ALL")
 def bars_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.with_flags(panel(spark, sf_dir)).groupBy(F.year("date").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.count_if("can_buy").alias("buyable"), F.count_if("can_sell").alias("sellable"))
+
+
+HORIZONS = (1, 5, 10)
+
+
+def _horizon_sql() -> str:
+    from .scores import labels_sql
+
+    parts = []
+    for h in HORIZONS:
+        part = labels_sql("vwap", "entry", h)
+        for name in ("rtn", "raw", "lab"):
+            part = part.replace(f"{name} AS (", f"{name}{h} AS (").replace(f"FROM {name})", f"FROM {name}{h})")
+        parts.append(part)
+    score = f"sc AS (SELECT instrument, date, {rolling_sql('ROC', 5)} AS pred FROM prep {FRAMES})"
+    ics = " UNION ALL ".join(f"SELECT CAST({h} AS BIGINT) AS horizon, date, corr(rp, rl) AS x FROM (SELECT l.date, row_number() OVER (PARTITION BY l.date ORDER BY pred, l.instrument) AS rp, row_number() OVER (PARTITION BY l.date ORDER BY label_raw, l.instrument) AS rl FROM lab{h} l JOIN sc ON sc.instrument = l.instrument AND sc.date = l.date WHERE label_raw IS NOT NULL AND pred IS NOT NULL) GROUP BY date HAVING count(*) >= 5" for h in HORIZONS)
+    return f"WITH {BARS_SQL}, {PREP_SQL}, {FLAGS_SQL}, {', '.join(parts)}, {score}, ic AS ({ics}) SELECT horizon, count(x) AS days, {R6.format('avg(x)')} AS mean FROM ic GROUP BY horizon"
+
+
+@register("horizon_sweep", _horizon_sql())
+def horizon_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of one score with labels of several horizons; the panel is made once."""
+    keep = ["open", "high", "low", "close", "vwap", "raw_close", "volume", "amount", "factor"]
+    flagged = lab.with_flags(feat.features(panel(spark, sf_dir), ["ROC5"], keep)).persist()
+    out = None
+    for h in HORIZONS:
+        one = lab.labels(flagged, "vwap", "entry", h).select("instrument", "date", F.col("ROC5").alias("pred"), "label_raw", F.lit(h).cast("long").alias("horizon"))
+        out = one if out is None else out.unionByName(one)
+    return _rounded(metrics.daily_ic(out, ("horizon", "date")).groupBy("horizon").agg(F.count("rank_ic").alias("days"), F.avg("rank_ic").alias("mean")), ["horizon", "days"], ["mean"])
+
+
+@register("random_baseline", f"{PREDS_SQL.replace('f.pred, l.label_raw', 'CAST(md5(f.instrument || CAST(f.date AS VARCHAR)) AS VARCHAR) AS pred, l.label_raw')}, rr AS (SELECT date, row_number() OVER (PARTITION BY date ORDER BY pred, instrument) AS rp, row_number() OVER (PARTITION BY date ORDER BY label_raw, instrument) AS rl FROM preds), dd AS (SELECT date, corr(rp, rl) AS x FROM rr GROUP BY date HAVING count(*) >= 5) SELECT count(x) AS days, {R6.format('avg(x)')} AS mean FROM dd")
+def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score without information: ranks of a hash of instrument and date."""
+    from ..functions import first_rank
+
+    preds = predictions(spark, sf_dir).withColumn("pred", F.md5(F.concat("instrument", F.col("date").cast("string")).cast("binary")))
+    ranked = preds.withColumns({"rp": first_rank("pred", "date"), "rl": first_rank("label_raw", "date")})
+    daily = ranked.groupBy("date").agg(F.count(F.lit(1)).alias("n"), metrics.pearson("rp", "rl").alias("x")).where("n >= 5")
+    return daily.agg(F.count("x").alias("days"), r6(F.avg("x")).alias("mean"))
+
+
+@register("meta_features", f"{BASE_SQL}, {preds_sql('ROC5', 'pa')}, {preds_sql('RSV10', 'pb')}, m AS (SELECT a.instrument, a.date, a.pred AS a, b.pred AS b FROM pa a JOIN pb b ON a.instrument = b.instrument AND a.date = b.date) SELECT instrument, {D}, round(({_avg_rank('a')}) / count(*) OVER (PARTITION BY date) - 0.5, 6) + 0.0 AS a, round(({_avg_rank('b')}) / count(*) OVER (PARTITION BY date) - 0.5, 6) + 0.0 AS b FROM m")
+def meta_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs of a stacked model: centred average percent ranks of two scores on their common rows."""
+    from pyspark.sql import Window
+
+    from ..functions import average_rank
+
+    both = audit.aligned({"a": predictions(spark, sf_dir), "b": predictions(spark, sf_dir, "RSV10")})
+    n = F.count(F.lit(1)).over(Window.partitionBy("date"))
+    return both.select("instrument", day().alias("date"), *(r6(average_rank(c, "date") / n - 0.5).alias(c) for c in ("a", "b")))
+
+
+@register("fold_summary", f"{PREDS_SQL}, {IC_SQL}, y AS (SELECT year(date) AS y, avg(rank_ic) AS x FROM daily GROUP BY ALL), s AS (SELECT count(*) AS folds, avg(x) AS mean, median(x) AS median, min(x) AS low, max(x) AS high, sum(CASE WHEN x > 0 THEN 1 ELSE 0 END) AS positive FROM y) SELECT folds, CAST(positive AS BIGINT) AS positive, {_r(['mean', 'median', 'low', 'high'])} FROM s")
+def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over test years: mean, median, extremes and how many are positive."""
+    year = metrics.daily_ic(predictions(spark, sf_dir)).groupBy(F.year("date").alias("y")).agg(F.avg("rank_ic").alias("x"))
+    agg = year.agg(F.count(F.lit(1)).alias("folds"), F.count_if(F.col("x") > 0).alias("positive"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.min("x").alias("low"), F.max("x").alias("high"))
+    return _rounded(agg, ["folds", "positive"], ["mean", "median", "low", "high"])
+
+
+@register("self_check", f"{PREDS_SQL}, {IC_SQL} SELECT CAST(year(date) AS BIGINT) AS test_year, true AS agrees FROM daily GROUP BY ALL")
+def self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly rank correlation from a logged ledger against the same number made anew, within 1e-9."""
+    preds = predictions(spark, sf_dir).persist()
+    log = metrics.daily_ic(preds).groupBy(F.year("date").cast("long").alias("test_year")).agg(F.avg("rank_ic").alias("logged"))
+    line = log.select(F.to_json(F.struct("test_year", "logged")).alias("j"))
+    logged = line.select(F.from_json("j", "test_year long, logged double").alias("l")).select("l.*")
+    again = metrics.daily_ic(preds, ("test_year", "date")).groupBy("test_year").agg(F.avg("rank_ic").alias("now"))
+    return logged.join(again, "test_year", "left").select("test_year", F.coalesce(F.abs(F.col("logged") - F.col("now")) <= 1e-9, F.lit(False)).alias("agrees"))

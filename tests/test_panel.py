@@ -148,3 +148,11 @@ def test_linear_models(spark):
     path = models.ridge_path(sums, ["a", "b", "c"], "y", (0.0, 10.0))
     assert path[0.0] == pytest.approx([1.0, -2.0, 0.5])
     assert path[10.0] == pytest.approx(np.linalg.solve(x.T @ x + 10 * np.eye(3), x.T @ y))
+
+
+def test_boosted_trees_find_a_step(spark):
+    rows = spark.range(600).selectExpr("CAST(id % 20 AS STRING) AS instrument", "id div 20 + 1 AS day", "date_add(date'2000-01-01', CAST(id div 20 AS INT)) AS date", "CAST((id * 7919) % 100 AS DOUBLE) AS a", "CASE WHEN id % 50 = 0 THEN NULL ELSE 1.0 END AS b")
+    rows = rows.selectExpr("*", "CASE WHEN a > 50 THEN 1.0 ELSE -1.0 END AS label", "CASE WHEN a > 50 THEN 1.0 ELSE -1.0 END AS label_raw")
+    fold = {"test_year": 2000, "fit_end": 18, "val_start": 20, "val_end": 23, "test_start": 25, "test_end": 30}
+    got = models.boosted_walk(rows, ["a", "b"], "label", [fold], trees=3, depth=2).collect()
+    assert len(got) == 120 and all((r.pred > 0) == (r.label_raw > 0) for r in got)
