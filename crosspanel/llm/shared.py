@@ -56,16 +56,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b): root is the smallest node it reaches.
 
     Large-star/small-star contraction: each round is two groupings with map-side minima, the edge list never
-    grows beyond the nodes' stars, and each round is settled, so lineage stays short. Empty edges give no rows.
+    grows beyond the nodes' stars, and each step is settled, so lineage stays short and both sides of a join are plain
+    tables: minima are broadcast while they are few, beyond that a hot node's rows may be split. Empty edges give no rows.
     """
     work = settle(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct())
     while True:
         # large star: every neighbour above the node moves to the smallest neighbour
         both = work.union(work.selectExpr("v AS u", "u AS v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = small(settle(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))))
         large = both.where("v > u").join(low, "u").selectExpr("v AS u", "m AS v").where("u <> v").distinct()
+        large = settle(large)
         # small star: the lower neighbours and the node itself move to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = small(settle(large.groupBy("u").agg(F.min("v").alias("m"))))
         joined = large.join(low, "u")
         after = settle(joined.selectExpr("v AS u", "m AS v").union(joined.selectExpr("u", "m AS v")).where("u <> v").distinct())
         sums = [d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (work, after)]
