@@ -4,7 +4,12 @@ Words are maximal runs of letters, digits and non-ASCII characters in lower case
 run of ``c`` consecutive shingles of a benchmark item has a 64-bit fingerprint, c being the largest window size not
 above ``COVER`` of the item's shingles, so a copy that lost words at its ends still holds whole windows. Every run of
 c shingles in every document has one too. Fingerprints within ``RADIUS`` bits agree in one of RADIUS + 1 blocks
-(pigeonhole), which a table per block finds; what it finds is aligned with the item and compared on full sets.
+(pigeonhole), which a table per block finds.
+
+An edit in the middle moves every such window, so windows of one shingle (their SimHash is the shingle's hash) make the
+search complete: similarity >= ``SIMILARITY`` leaves at most 1 - SIMILARITY of the item's weight without a partner, so
+of the rarest shingles that weigh more than that together at least one is in the passage. All stretches of the item's
+length around what was found are compared on full sets, so each pair gets the largest similarity of any stretch.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from .blocks import PUNCTUATION, U, shingles, slices
 from .shared import documents, quoted, settle, small
 
 SIMILARITY, COVER, RADIUS = 0.8, 0.8, 3
+#: Rounding of float sums.
+EPSILON = 1e-9
 #: Window sizes in shingles (fixed values; at most 127, as counts share a word by bytes).
 WINDOWS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96)
 #: Items searched for in one pass over the documents; more items make more passes.
@@ -52,10 +59,13 @@ def simhash(sums: list[np.ndarray], size: int) -> np.ndarray:
 class Items:
     ids: list
     sets: list[np.ndarray]  # sorted shingles of each item
+    counts: list[int]  # how many shingles a stretch has that is compared with the item
     totals: np.ndarray  # weight of each item's set
     known: np.ndarray  # all shingles, sorted, and their weights
     weight: np.ndarray
     tables: dict[int, tuple]  # window size -> fingerprints, item, offset, then per block: order and 2**16 + 1 bounds
+    seeds: np.ndarray  # windows of one shingle, sorted, and their items
+    seed_item: np.ndarray
 
     @staticmethod
     def of(ids: list, texts: list[str]) -> Items:
@@ -83,7 +93,16 @@ class Items:
                 blocks.append((order, np.searchsorted(key[order], np.arange((1 << 16) + 1))))
             tables[c] = (f, item, offset, blocks)
         at = [np.searchsorted(known, s) for s in sets]
-        return Items(ids, sets, np.array([weight[a].sum() for a in at]), known, weight, tables)
+        totals = np.array([weight[a].sum() for a in at])
+        seeds, seed_item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, (v, a) in enumerate(zip(sets, at, strict=True)):
+            order = np.argsort(-weight[a], kind="stable")  # rarest first
+            enough = np.searchsorted(np.cumsum(weight[a][order]), (1 - SIMILARITY + EPSILON) * totals[i], side="right") + 1
+            seeds.append(v[order[:enough]])
+            seed_item.append(np.full(len(seeds[-1]), i))
+        seed, item = np.concatenate(seeds), np.concatenate(seed_item)
+        order = np.argsort(seed, kind="stable")
+        return Items(ids, sets, [len(v) for v in sets], totals, known, weight, tables, seed[order], item[order])
 
     def weights(self, s: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, s), max(0, len(self.known) - 1))
@@ -96,7 +115,7 @@ class Items:
             return best
         sums = counters(value)
         row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        starts = set()
+        ranges: dict[tuple[int, int], set[tuple[int, int]]] = {}  # (row, item) -> first and last start of stretches
         for c, (prints, item, offset, blocks) in self.tables.items():
             if len(value) < c:
                 continue
@@ -110,16 +129,60 @@ class Items:
                 at, hit = np.repeat(at, many), order[place]
                 near = np.bitwise_count(mine[at] ^ prints[hit]) <= RADIUS
                 at, hit = at[near], hit[near]
-                starts |= set(zip(row[at].tolist(), item[hit].tolist(), (at - offset[hit]).tolist(), strict=True))
-        for r, i, start in starts:
-            low, high = max(start, int(bounds[r])), min(start + len(self.sets[i]), int(bounds[r + 1]))
-            own = np.unique(value[low:high])
-            shared = self.weights(np.intersect1d(own, self.sets[i], assume_unique=True)).sum()
-            similarity = shared / (self.weights(own).sum() + self.totals[i] - shared)
-            if similarity >= SIMILARITY:
-                best[r, i] = max(best.get((r, i), 0.0), float(similarity))
+                for r, i, start in zip(row[at].tolist(), item[hit].tolist(), (at - offset[hit]).tolist(), strict=True):
+                    ranges.setdefault((r, i), set()).add((start, start))
+        low = np.searchsorted(self.seeds, value)
+        at = np.flatnonzero(self.seeds[np.minimum(low, len(self.seeds) - 1)] == value)
+        low, many = low[at], np.searchsorted(self.seeds, value[at], side="right") - low[at]
+        place = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        at = np.repeat(at, many)
+        for r, i, p in zip(row[at].tolist(), self.seed_item[place].tolist(), at.tolist(), strict=True):
+            ranges.setdefault((r, i), set()).add((p - self.counts[i] + 1, p))
+        for (r, i), found in ranges.items():
+            similarity = max(self.closest(value, int(bounds[r]), int(bounds[r + 1]), i, *x) for x in joined(found))
+            if similarity >= SIMILARITY - EPSILON:
+                best[r, i] = similarity
         return best
 
+    def closest(self, value: np.ndarray, begin: int, end: int, i: int, first: int, last: int) -> float:
+        """Largest similarity to item i of the stretches of its length that start at ``first`` to ``last``, cut at the
+        text's ends ``begin`` and ``end``; 0 where even all of them together hold too little of the item."""
+        size, items = self.counts[i], self.sets[i]
+        low, high = max(first, begin), min(last + size, end)
+        own, at = np.unique(value[low:high], return_inverse=True)
+        mine = items[np.minimum(np.searchsorted(items, own), len(items) - 1)] == own
+        weight = self.weights(own)
+        if weight[mine].sum() < (SIMILARITY - EPSILON) * self.totals[i]:
+            return 0.0
+        # a shingle counts in the stretches from behind its previous place on, so once in each
+        place = np.arange(low, high)
+        order = np.argsort(at, kind="stable")
+        again = at[order][1:] == at[order][:-1]
+        behind = np.full(high - low, first)
+        behind[order[1:][again]] = place[order[:-1][again]] + 1
+        since, until = np.maximum(behind, np.maximum(place - size + 1, first)), np.minimum(place, last)
+        ok = since <= until
+        total, shared = np.zeros(last - first + 2), np.zeros(last - first + 2)
+        for sums, w in ((total, weight[at]), (shared, np.where(mine, weight, 0.0)[at])):
+            np.add.at(sums, since[ok] - first, w[ok])
+            np.add.at(sums, until[ok] + 1 - first, -w[ok])
+        total, shared = np.cumsum(total)[:-1], np.cumsum(shared)[:-1]
+        start = first + int(np.argmax(shared / (total + self.totals[i] - shared)))
+        own = np.unique(value[max(start, begin) : min(start + size, end)])
+        both = self.weights(np.intersect1d(own, items, assume_unique=True)).sum()
+        return float(both / (self.weights(own).sum() + self.totals[i] - both))
+
+
+def joined(ranges: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same numbers in ranges (first, last) that do not touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity): the items of ``benchmark`` (item_id, text) that ``docs`` (doc_id, text) hold.

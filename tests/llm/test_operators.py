@@ -307,3 +307,45 @@ def test_quality(spark, docs, empty):
     assert len(some) == len(rows()) and all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.3) for x in some)
     assert quality.classify(empty, labels).count() == 0
     assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+def brute(items, texts):
+    """(text, item) -> largest weighted Jaccard similarity of any stretch of the item's length."""
+    cut = lambda t: [tuple(w[j : j + 5]) for w in [re.findall(r"[^\W_]+", t.lower())] for j in range(max(1, len(w) - 4))]
+    lists = [cut(t) for t in items]
+    holders = defaultdict(int)
+    for x in lists:
+        for g in set(x):
+            holders[g] += 1
+    weigh = lambda s: sum(np.log1p(len(items) / holders.get(g, 1)) for g in s)
+    out = {}
+    for d, t in enumerate(texts):
+        x = cut(t)
+        for i, own in enumerate(lists):
+            mine = set(own)
+            for s in range(1 - len(own), len(x)):
+                part = set(x[max(0, s) : s + len(own)])
+                if len(part & mine) > len(mine) / 4:
+                    out[d, i] = max(out.get((d, i), 0), weigh(part & mine) / weigh(part | mine))
+    return {k: v for k, v in out.items() if v >= 0.8 - 1e-9}
+
+
+def contaminated_in(spark, items, texts):
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = contamination.contaminated(table, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert len(found) == len({(r.doc_id, r.item_id) for r in found})
+    return {(r.doc_id, r.item_id): r.similarity for r in found}
+
+
+def test_contamination_with_edits_in_the_middle(spark):
+    r = random.Random(11)
+    items = [passage(5000 + n, n) for n in (9, 25, 49, 54, 64, 84, 104, 124)]
+    texts = []
+    for k in range(160):
+        w = items[k % 8].split()
+        for _ in range(r.randrange(1, 4)):
+            at = r.randrange(len(w))
+            w[at : at + r.randrange(2)] = ["changed" + str(r.randrange(99))] * r.randrange(2)
+        texts.append(" ".join([passage(6000 + k, r.randrange(40)), *w, passage(7000 + k, r.randrange(40))]))
+    want, got = brute(items, texts), contaminated_in(spark, items, texts)
+    assert len(want) > 60 and got == pytest.approx(want)
