@@ -59,7 +59,7 @@ def simhash(sums: list[np.ndarray], size: int) -> np.ndarray:
 class Items:
     ids: list
     sets: list[np.ndarray]  # sorted shingles of each item
-    counts: list[int]  # how many shingles a stretch has that is compared with the item
+    counts: list[int]  # shingles of each item with repeats: the length of what it is compared with
     totals: np.ndarray  # weight of each item's set
     known: np.ndarray  # all shingles, sorted, and their weights
     weight: np.ndarray
@@ -102,7 +102,7 @@ class Items:
             seed_item.append(np.full(len(seeds[-1]), i))
         seed, item = np.concatenate(seeds), np.concatenate(seed_item)
         order = np.argsort(seed, kind="stable")
-        return Items(ids, sets, [len(v) for v in sets], totals, known, weight, tables, seed[order], item[order])
+        return Items(ids, sets, [len(v) for v in parts], totals, known, weight, tables, seed[order], item[order])
 
     def weights(self, s: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, s), max(0, len(self.known) - 1))

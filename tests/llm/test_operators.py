@@ -349,3 +349,12 @@ def test_contamination_with_edits_in_the_middle(spark):
         texts.append(" ".join([passage(6000 + k, r.randrange(40)), *w, passage(7000 + k, r.randrange(40))]))
     want, got = brute(items, texts), contaminated_in(spark, items, texts)
     assert len(want) > 60 and got == pytest.approx(want)
+
+
+def test_contamination_by_items_that_repeat_text(spark):
+    phrase = passage(31, 10)
+    items = [" ".join([phrase] * 3 + [passage(32, 30)]), "\n".join([passage(33, 6)] * 12), " ".join([passage(38, 15), *[phrase] * 4, passage(39, 15)])]
+    texts = [" ".join([passage(35, 20), items[0], passage(36, 20)]), passage(37, 9) + "\n" + items[1], items[0].replace(phrase, "other words", 1), passage(34, 20) + " " + items[2]]
+    got = contaminated_in(spark, items, texts)
+    assert got == pytest.approx(brute(items, texts))
+    assert got[0, 0] == got[1, 1] == got[3, 2] == pytest.approx(1)
