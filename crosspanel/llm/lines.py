@@ -1,27 +1,32 @@
-"""Line dedup by winnowing: window minima over line hashes are fingerprints; equal ones are joined, extended, cut.
-
-A window is a run of consecutive lines with at least ``MIN_WORDS`` words together, as short as possible for its first
-line; the smallest line hash in it is its fingerprint, so any repeated run of that many words is sure to share one.
-Positions join on the fingerprint and the content around it: the window itself, and the window grown line by line to
-where the next window ends. Backwards a repeated run needs no growing: each of its lines that can start a window does.
-A run that stands at an earlier place, (doc_id, line) being the order, is deleted with all that it was grown by.
+"""Line dedup by fingerprints of line windows: equal ones are joined, extended word by word into partial lines, cut.
+
+A line window is a run of whole lines with at least ``SEED_WORDS`` words together, as short as possible for its first
+line; the hash of its words is its fingerprint, and none is left out. A repeated run of words that holds a whole line
+window shares its fingerprint, and it can only end within the next window that is not shared and begin within the one
+before. So what lies between these, partial lines included, is compared word by word: each run of ``MIN_WORDS`` words
+there that also stands at an earlier place, (doc_id, word) being the order, is cut, and runs that overlap or touch join
+to the full length of the repeat. No pairs of documents are made: a run needs its earliest place only.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import mix, powers, prefix_hash, range_hash, slices, words
-from .shared import documents, fresh, quoted, settle
+from .blocks import U, mix, powers, prefix_hash, range_hash, slices, words
+from .shared import documents, fresh, quoted
 
-MIN_WORDS = 50
+MIN_WORDS, SEED_WORDS = 50, 8
 STEP = 0xD6E8FEB86659FD93
+#: Bits that tell which fingerprints are shared (a fixed size, whatever the data): a bit set by chance costs time only.
+FILTER_BITS = 1 << 27
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
 def line_table(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,88 +45,125 @@ def line_table(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row, start, end, n
 
 
-def windows(data: np.ndarray, offs: np.ndarray, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
-    """One entry per window and per growth of it: row, first and last line (from 0 within the text), fingerprint and
-    content hash. Lines are compared without white space at both ends."""
-    row, start, end, n = line_table(data, offs)
-    # trimmed ends: first and last word of the line
-    begins, stops, _ = words(data, offs)
-    lo, hi = np.searchsorted(begins, start), np.searchsorted(begins, end)
-    full = hi > lo
-    left, right = start.copy(), start.copy()
-    left[full], right[full] = begins[lo[full]], stops[hi[full] - 1]
-    hashed = range_hash(prefix_hash(data), left, right)
-    total = np.concatenate([[0], np.cumsum(n)])
-    limit = np.searchsorted(row, row, side="right")  # first line of the next text
-    last = np.searchsorted(total, total[:-1] + min_words) - 1  # smallest j with words(i..j) >= min_words
-    ok = (last < limit) & full  # a window starts at a line with words
-    i, j = np.flatnonzero(ok), last[ok]
-    # line hashes as a polynomial over lines give the content of a window; minima by a sparse table
-    weight = powers(STEP, len(hashed) + 1)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * weight[: len(hashed)], dtype=np.uint64)])
-    back = powers(pow(STEP, -1, 1 << 64), len(hashed) + 1)
-    level, table = 0, [hashed]
-    while len(i) and (2 << level) <= int((j - i + 1).max()):
-        t = table[-1].copy()
-        t[: -(1 << level)] = np.minimum(t[: -(1 << level)], table[-1][1 << level :])
-        table.append(t)
-        level += 1
-    span = np.frexp((j - i + 1).astype(np.float64))[1] - 1
-    stacked = np.stack(table)
-    low = np.minimum(stacked[span, i], stacked[span, j + 1 - (1 << span)])
-    # grown: each run to a line x > j with words(i + 1 .. x) < min_words; from there on the next window tells
-    following = np.minimum(np.append(last[1:], len(row)), limit)  # end of the next line's window or of the text
-    to = np.maximum(following[i], j + 1)
-    times = to - j
-    i, first_end, low = np.repeat(i, times), np.repeat(j, times), np.repeat(low, times)
-    j = first_end + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
-    content = mix((prefix[j + 1] - prefix[i]) * back[i] ^ (j - i + 1).astype(np.uint64))
-    base = np.searchsorted(row, row[i])
-    return {"row": row[i], "first": i - base, "last": j - base, "print": low, "content": content}
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offs in slices(batches):
-        w = windows(data, offs)
-        yield pa.record_batch([rows.column(0).take(pa.array(w["row"])), pa.array(w["first"], pa.int32()), pa.array(w["last"], pa.int32()), pa.array(w["print"].view(np.int64)), pa.array(w["content"].view(np.int64))], ["doc_id", "first", "last", "print", "content"])
-
-
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last): line ranges (0-based, inclusive) of ``docs`` that repeat an earlier run of lines.
-
-    Earlier means a smaller doc_id, or the same document further up. Lines count as equal if they agree without
-    white space at their ends; a run has at least ``MIN_WORDS`` words. Null or empty texts have no runs. A run
-    shared by any number of documents meets in map-side minima only, and in a join whose hot keys Spark may split.
+class Windows:
+    """Words and line windows of a slice of texts."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
+        begins, stops, self.word_row = words(data, offs)
+        hashed = range_hash(prefix_hash(data), begins, stops)
+        # word hashes as a polynomial over words give the content of any run
+        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * powers(STEP, len(hashed) + 1)[: len(hashed)], dtype=np.uint64)])
+        self.first_word = np.searchsorted(self.word_row, np.arange(len(offs)))
+        row, start, end, n = line_table(data, offs)
+        full = n > 0  # lines without words are in no window
+        self.row, self.low = row[full], np.searchsorted(begins, start[full])
+        self.high = self.low + n[full]
+        last = np.searchsorted(self.high, self.low + SEED_WORDS)  # first line with which there are enough words
+        inside = np.searchsorted(self.row, self.row, side="right")  # first line of the next text
+        self.whole = last < inside
+        self.last, self.limit = np.where(self.whole, last, inside - 1), inside
+        self.prints = self.content(self.low[self.whole], self.high[self.last[self.whole]])
+
+    def content(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        back = powers(pow(STEP, -1, 1 << 64), len(self.prefix))
+        return mix((self.prefix[high] - self.prefix[low]) * back[low] ^ (high - low).astype(np.uint64))
+
+    def runs(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first word within the text, content) of all runs of MIN_WORDS words that a repeat around a ``shared``
+        line window may hold."""
+        at = np.flatnonzero(self.whole)[shared]
+        before = np.where((at > 0) & (self.row[at - 1] == self.row[at]), at - 1, at)
+        after = self.last[np.minimum(at + 1, self.limit[at] - 1)]
+        depth = np.zeros(len(self.prefix) + 1, np.int64)
+        np.add.at(depth, self.low[before], 1)
+        np.add.at(depth, self.high[np.maximum(after, self.last[at])], -1)
+        open_ = np.concatenate([[0], np.cumsum(np.cumsum(depth)[: len(self.word_row)] > 0)])
+        low = np.arange(max(0, len(self.word_row) - MIN_WORDS + 1))
+        low = low[(open_[low + MIN_WORDS] - open_[low] == MIN_WORDS) & (self.word_row[low] == self.word_row[low + MIN_WORDS - 1])]
+        row = self.word_row[low]
+        return row, low - self.first_word[row], self.content(low, low + MIN_WORDS)
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, data, offs in slices(batches):
+        yield pa.record_batch([pa.array(Windows(data, offs).prints.view(np.int64))], ["print"])
+
+
+def repeated_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, word): runs of ``MIN_WORDS`` words of ``docs``, by their first word from 0, that repeat an earlier run.
+
+    Earlier means a smaller doc_id, or the same document further up. Only repeats that hold a whole line window are
+    looked for; white space and line ends do not count. Null or empty texts have no runs. All places of one run are
+    sorted in one task and streamed through it: one shuffle, and no memory that grows with their number.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = settle(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_windows, f"doc_id {kind}, first int, last int, print long, content long"))
-    origin = found.groupBy("print", "content").agg(F.min(F.struct("doc_id", "first")).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return found.join(origin, ["print", "content"]).where("struct(doc_id, first) > origin").select("doc_id", "first", "last")
-
-
-def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-    """Texts without the lines of ``spans`` (first << 32 | last, inclusive); None leaves a text as it is."""
-
-    def one(t: str, s: np.ndarray) -> str:
-        lines = t.split("\n")
-        depth = np.zeros(len(lines) + 1, np.int64)
-        np.add.at(depth, s >> 32, 1)
-        np.add.at(depth, (s & 0xFFFFFFFF) + 1, -1)
-        gone = np.cumsum(depth)
-        return "\n".join(x for x, g in zip(lines, gone[:-1].tolist(), strict=True) if not g)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    shared = texts.select("text").mapInArrow(_prints, "print long").groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bit = F.pmod(F.col("print"), F.lit(FILTER_BITS)) + 1
+    parts = shared.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts.collect():  # FILTER_BITS at most
+        bits[4096 * (r["k"] - 1) : 4096 * r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    known = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = known.value
+        for rows, data, offs in slices(batches):
+            w = Windows(data, offs)
+            at = (w.prints % U(FILTER_BITS)).astype(np.int64)  # a power of two: as pmod of the signed number
+            row, word, content = w.runs((have[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+            yield pa.record_batch([rows.column(0).take(pa.array(row)), pa.array(word, pa.int32()), pa.array(content.view(np.int64))], ["doc_id", "word", "content"])
+
+    found = texts.mapInArrow(search, f"doc_id {kind}, word int, content long")
+    place = F.row_number().over(Window.partitionBy("content").orderBy("doc_id", "word"))  # read as a stream, none is kept
+    return found.withColumn("place", place).where("place > 1").select("doc_id", "word")
+
+
+def _cut(text: pd.Series, runs: pd.Series) -> pd.Series:
+    """Texts without the runs of MIN_WORDS words that begin at the words ``runs``; None leaves a text as it is.
+
+    A line that loses all its words goes, as do lines without words inside a cut and after one that reaches the text's
+    last word. Of other lines what stays is left with the white space before it.
+    """
 
-    return pd.Series([t if s is None else one(t, np.asarray(s, np.int64)) for t, s in zip(text, spans, strict=True)], dtype=object)
+    def one(t: str, first: np.ndarray) -> str:
+        place = [m.span() for m in WORD.finditer(t)]
+        depth = np.zeros(len(place) + 1, np.int64)
+        np.add.at(depth, first, 1)
+        np.add.at(depth, first + MIN_WORDS, -1)
+        gone = [*(np.cumsum(depth)[:-1] > 0).tolist(), True]  # behind the last word nothing stays that a cut reaches
+        out, k, at = [], 0, 0
+        for line in t.split("\n"):
+            low, end = k, at + len(line)
+            while k < len(place) and place[k][1] <= end:
+                k += 1
+            own = gone[low:k]
+            if low == k:
+                if not (low and gone[low - 1] and gone[low]):
+                    out.append(line)
+            elif not any(own):
+                out.append(line)
+            elif not all(own):
+                kept, to = "", at
+                for j in range(low, k):
+                    if not gone[j]:
+                        kept += t[to : place[j][1]]
+                    to = place[j][1]
+                out.append(kept if gone[k - 1] else kept + t[to:end])
+            at = end + 1
+        return "\n".join(out)
+
+    return pd.Series([t if s is None else one(t, np.asarray(s, np.int64)) for t, s in zip(text, runs, strict=True)], dtype=object)
 
 
 def without_repeats(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
-    """``docs`` with the repeated lines cut out of text.
+    """``docs`` with the repeated runs cut out of text.
 
     doc_id must be unique. Texts without repeats, null and blank ones come out as they are. A text that loses all its
     words is a copy of what stands earlier: it stays as what is left of it, or its row goes with ``drop_emptied``.
     """
     key, cut, was = fresh(docs, "cut_id"), fresh(docs, "cut_spans"), fresh(docs, "was_cut")
-    coded = F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")
-    spans = repeated_lines(docs).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(coded).alias(cut))
+    spans = repeated_words(docs).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("word").alias(cut))
     joined = docs.join(spans, docs["doc_id"] == F.col(key), "left").withColumn(was, F.col(key).isNotNull())
     out = joined.withColumn("text", F.pandas_udf(_cut, "string")(F.col("text").cast("string"), F.col(cut)))
     if drop_emptied:

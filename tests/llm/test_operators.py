@@ -358,3 +358,24 @@ def test_contamination_by_items_that_repeat_text(spark):
     got = contaminated_in(spark, items, texts)
     assert got == pytest.approx(brute(items, texts))
     assert got[0, 0] == got[1, 1] == got[3, 2] == pytest.approx(1)
+
+
+def test_lines_extend_into_partial_lines(spark):
+    first, last, body = passage(61, 25), passage(62, 25), "\n".join(passage(63 + i, 10) for i in range(2))
+    far = passage(66, 300)
+    texts = [
+        f"{first}\n{body}\n{last}",
+        f"left over {first}\n{body}\n{last} more to say",
+        f"{first.replace(first.split()[3], 'changed', 1)}\n\n{body}\n{last}\n",
+        f"{passage(67, 12)}\n{far}",
+        f"{passage(67, 12)}\n{far} and on",
+        f"nothing here\n{body}\nnothing there",
+        f"{body} {first}",
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.without_repeats(table).collect()}
+    assert [got[i] for i in (0, 3, 5, 6)] == [texts[i] for i in (0, 3, 5, 6)]
+    assert got[1] == "left over\n more to say"
+    words, at = texts[2].split(), max(i for i, w in enumerate(first.split()) if w != texts[2].split()[i])
+    assert got[2] == " ".join(words[: at + 1])
+    assert got[4] == " and on"
