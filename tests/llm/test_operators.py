@@ -146,22 +146,15 @@ def test_repeats(docs, empty):
     assert repeats.without_repeats(empty).count() == 0
 
 
-def repeated(text_rows):
+def repeated(text_rows, n=50):
+    """(words, cut) by doc_id: numbers of the words in a run of n words that stands at an earlier place too."""
+    split = {i: WORD.findall(t or "") for i, t in text_rows}
     first, cut = {}, defaultdict(set)
-    split = {i: (t or "").split("\n") for i, t in text_rows}
-    for again in (False, True):
-        for i in sorted(split):
-            own = [x.strip(" \t\r\f\v") for x in split[i]]
-            n = [len(WORD.findall(x)) for x in own]
-            for a in range(len(own)):
-                total = 0
-                for b in range(a, len(own)):
-                    total += n[b]
-                    if n[a] and total >= 50:
-                        k = tuple(own[a : b + 1])
-                        if again and first[k] < (i, a):
-                            cut[i] |= set(range(a, b + 1))
-                        first.setdefault(k, (i, a))
+    for i in sorted(split):
+        for a in range(len(split[i]) - n + 1):
+            k = tuple(split[i][a : a + n])
+            if first.setdefault(k, (i, a)) < (i, a):
+                cut[i] |= set(range(a, a + n))
     return split, cut
 
 
@@ -169,14 +162,67 @@ def test_lines(docs, empty):
     split, cut = repeated(rows())
     got = {r.doc_id: r.text for r in lines.without_repeats(docs).collect()}
     for i, t in rows():
-        want = t if not cut[i] else "\n".join(x for k, x in enumerate(split[i]) if k not in cut[i])
-        assert got[i] == want, i
+        if cut[i]:
+            assert WORD.findall(got[i]) == [w for k, w in enumerate(split[i]) if k not in cut[i]], i
+        else:
+            assert got[i] == t
     kept = lines.without_repeats(docs, drop_emptied=True)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, t in rows() if not (cut[i] and len(cut[i]) == len(split[i]))}
     assert lines.without_repeats(empty).count() == 0
 
 
+def test_lines_beyond_the_broadcast(docs, monkeypatch):
+    want = {r.doc_id: r.text for r in lines.without_repeats(docs).collect()}
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", -1)
+    assert {r.doc_id: r.text for r in lines.without_repeats(docs).collect()} == want
+
+
+def test_line_report(spark):
+    """The query's own columns, by hand."""
+    long = "\n".join(passage(70 + i, 10) for i in range(7))
+    texts = [long, "a title\n\n" + long + "\n\nan end", None, "", "one\ntwo", long]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.kept for r in lines.with_kept(table, "kept").collect()}
+    assert got == {0: None, 1: "a title\n\n\nan end", 2: None, 3: None, 4: None, 5: ""}
+
+
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_fingerprints_are_few_and_find_repeats(spark, wrapped):
+    """Passages glued into other lines: just the repeats are cut. Where lines break elsewhere some may stay."""
+    r = random.Random(8)
+
+    def broken(t, one_in):
+        return "".join(x + ("\n" if r.random() < 1 / one_in else " ") for x in t.split())
+
+    shared = [broken(passage(5000 + i, 70 + i), 9) for i in range(12)]
+    texts = []
+    for i in range(150):
+        here = shared[r.randrange(12)]
+        parts = [broken(passage(1000 + i, r.randrange(5, 90)), 9), here, broken(passage(2000 + i, r.randrange(5, 60)), 9)]
+        texts.append(broken(" ".join(parts), (5, 15, 10**6)[i % 3]) if wrapped else "".join(parts))
+    split, cut = repeated(list(enumerate(texts)))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    lost = total = 0
+    for row in lines.without_repeats(table).collect():
+        want, kept = [w for k, w in enumerate(split[row.doc_id]) if k not in cut[row.doc_id]], WORD.findall(row.text)
+        total, lost = total + len(cut[row.doc_id]), lost + len(kept) - len(want)
+        at = iter(kept)
+        assert all(w in at for w in want)
+    assert total > 5000 and lost <= (0.1 if wrapped else 0.001) * total
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    runs = lines.Runs(data, np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]))
+    assert 2 * len(runs.fingerprints()[0]) < len(runs.prints) and 8 * len(runs.fingerprints()[0]) < len(runs.start)
+
+
+def test_lines_with_repeated_ids(spark):
+    one, two = passage(81, 70), passage(82, 70)
+    table = spark.createDataFrame([(5, one), (5, one), (5, two), (6, one + "\n" + two), (None, one), (7, two), (8, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text or "") for r in lines.without_repeats(table).collect())
+    assert got == sorted([(5, one), (5, one), (5, two), (6, ""), (0, one), (7, ""), (8, "")])
+    assert lines.without_repeats(table, drop_emptied=True).count() == 5
+
+
 def test_contamination(spark, docs, empty):
     item, other = passage(2, 120).split()[20:60], passage(900, 40)
     items = spark.createDataFrame([(1, " ".join(item)), (2, other), (3, None), (4, ""), (5, "one two"), (6, " ".join(item[2:]) + ", new end")], "item_id long, text string")
