@@ -96,7 +96,7 @@ def _spread(shards: int):
             marks = np.unique(h[many])
             decided = (doc[many], place[many])
             h, doc, place = np.concatenate([h[~many], marks]), np.concatenate([doc[~many], np.full(len(marks), -1)]), np.concatenate([place[~many], np.zeros(len(marks), np.int64)])
-            shard = (h >> U(48)).astype(np.int64) % shards
+            shard = (mix(h) % U(shards)).astype(np.int64)
             order = np.lexsort((doc, shard))
             h, doc, place, shard = h[order], doc[order], place[order], shard[order]
             cut = np.searchsorted(shard, np.arange(shards + 1))
@@ -173,7 +173,7 @@ def _passages(shards: int):
                 edge = np.concatenate([[0], np.cumsum(size)])
                 text = data[np.repeat(low[sent] - edge[:-1], size) + np.arange(edge[-1])]
                 texts = pa.Array.from_buffers(pa.binary(), len(sent), [None, pa.py_buffer(edge.astype(np.int32).tobytes()), pa.py_buffer(text.tobytes())])
-                shard = ((h >> U(48)).astype(np.int64) % shards)[sent]
+                shard = (mix(h[sent]) % U(shards)).astype(np.int64)
                 first = low - offs[row]
                 yield pa.record_batch([pa.array(shard, pa.int32()), pa.array(h[sent].view(np.int64)), pa.array(doc[sent]), pa.array(first[sent], pa.int32()), pa.array((at - low)[sent], pa.int32()), texts, pa.nulls(len(sent), pa.int32())], names)
                 if len(known):  # spans of a document may be joined before they travel
@@ -194,7 +194,7 @@ def _passages(shards: int):
 def repeats_in(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passage, start, stop) of the parts of passages, one after another in ``text``, that are covered by a string
     which starts in a passage of a smaller document too."""
-    sa = suffix_array(text)
+    sa = suffix_array(text, LENGTH)
     same = shares_prefix(text, sa, LENGTH)[sa]
     edge = np.concatenate([[0], np.cumsum(size)])
     owner = np.repeat(np.arange(len(size)), size)

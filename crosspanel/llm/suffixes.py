@@ -1,8 +1,9 @@
 """Suffix arrays by induced sorting in numpy, and permuted common prefixes up to a given length.
 
 The byte level works bucket by bucket: all suffixes that a bucket's scan induces into itself come in rounds, those for
-other buckets by one stable partition. Reduced strings (names of leftmost-smaller substrings) have large alphabets
-and few symbols; they are sorted by the same induction on plain lists, recursively.
+other buckets by one stable partition. Leftmost-smaller substrings are named in their induced order; where names repeat,
+the substrings are sorted recursively: each level names pairs of the level below and so orders twice as many substrings,
+until all names differ or the names cover the length that matters.
 """
 
 from __future__ import annotations
@@ -66,58 +67,24 @@ def _induce(t: np.ndarray, is_s: np.ndarray, leftmost: np.ndarray) -> np.ndarray
     return np.concatenate([x for c in range(256) for x in (large[c][0], small[c][0][::-1])])
 
 
-def _sort_names(s: list[int], k: int) -> list[int]:
-    """Suffix array of a list of names below ``k``."""
-    n = len(s)
-    is_s = bytearray(n)
-    for i in range(n - 2, -1, -1):
-        is_s[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and is_s[i + 1])
-    first = [0] * (k + 1)
-    for c in s:
-        first[c + 1] += 1
-    for c in range(k):
-        first[c + 1] += first[c]
-    leftmost = [i for i in range(1, n) if is_s[i] and not is_s[i - 1]]
-
-    def induce(order: list[int]) -> list[int]:
-        sa, tail, head = [-1] * n, first[1:], first[:-1]
-        for p in reversed(order):
-            tail[s[p]] -= 1
-            sa[tail[s[p]]] = p
-        sa[head[s[-1]]] = n - 1
-        head[s[-1]] += 1
-        for p in sa:  # the list grows to the right of the scan
-            if p > 0 and not is_s[p - 1]:
-                c = s[p - 1]
-                sa[head[c]] = p - 1
-                head[c] += 1
-        tail = first[1:]
-        for i in range(n - 1, -1, -1):
-            p = sa[i]
-            if p > 0 and is_s[p - 1]:
-                c = s[p - 1]
-                tail[c] -= 1
-                sa[tail[c]] = p - 1
-        return sa
+def _sort_names(names: np.ndarray, count: int, reach: int, depth: int) -> np.ndarray:
+    """Order of the suffixes of ``names`` (numbers below ``count``, each standing for ``reach`` substrings from its
+    place on) by their first ``depth`` substrings."""
+    n = len(names)
+    if count == n or reach >= depth:
+        return np.argsort(names, kind="stable")
+    after = np.zeros(n, np.int64)  # beyond the end is smallest
+    after[: max(0, n - reach)] = names[reach:] + 1
+    pairs = names * (count + 1) + after
+    distinct, higher = np.unique(pairs, return_inverse=True)
+    return _sort_names(higher, len(distinct), 2 * reach, depth)
 
-    sa = induce(leftmost)
-    if len(leftmost) < 2:
-        return sa
-    end = dict(zip(leftmost, [*leftmost[1:], n - 1], strict=True))
-    name, names, last = 0, {}, None
-    for p in sa:
-        if p in end:
-            own = s[p : end[p] + 1]
-            if last is not None and (own != last or end[p] == n - 1):
-                name += 1
-            names[p], last = name, None if end[p] == n - 1 and p == leftmost[-1] else own
-    reduced = [names[p] for p in leftmost]
-    order = _sort_names(reduced, name + 1) if name + 1 < len(leftmost) else sorted(range(len(reduced)), key=reduced.__getitem__)
-    return induce([leftmost[i] for i in order])
-
-
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of the bytes ``t`` in ascending order; a suffix that is a prefix of another comes first."""
+
+def suffix_array(t: np.ndarray, length: int | None = None) -> np.ndarray:
+    """Starts of the suffixes of the bytes ``t`` in ascending order; a suffix that is a prefix of another comes first.
+
+    With ``length`` only the first ``length`` bytes decide: suffixes that share them stand together in any order.
+    """
     n = len(t)
     if n < 2:
         return np.arange(n)
@@ -138,7 +105,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     reduced = np.zeros(len(leftmost), np.int64)
     reduced[place[order]] = name
     if name[-1] + 1 < len(leftmost):
-        order = leftmost[np.array(_sort_names(reduced.tolist(), int(name[-1]) + 1))]
+        # two neighbouring leftmost-smaller suffixes are two bytes apart at least
+        order = leftmost[_sort_names(reduced, int(name[-1]) + 1, 1, n if length is None else length // 2 + 1)]
     return _induce(t, is_s, order)
 
 
