@@ -231,7 +231,7 @@ def without_runs(t: str, cuts: np.ndarray) -> str:
 
 
 def _cut(text: pa.Array, cuts: pa.Array) -> pa.Array:
-    return pa.array([t.as_py() if not c.is_valid else without_runs(t.as_py(), c.values.to_numpy()) for t, c in zip(text, cuts, strict=True)], pa.string())
+    return pa.array([without_runs(t.as_py(), c.values.to_numpy()) if c.is_valid else None for t, c in zip(text, cuts, strict=True)], pa.string())
 
 
 def with_kept(docs: DataFrame, kept: str) -> DataFrame:
@@ -243,7 +243,8 @@ def with_kept(docs: DataFrame, kept: str) -> DataFrame:
     touched = docs.join(ids, docs["doc_id"] == ids[key], "left_semi").withColumn(version, number)
     runs = runs.select(F.col("doc_id").alias(key), F.col("version").alias(version + "_"), F.col("cuts").alias(cuts))
     joined = touched.join(runs, (touched["doc_id"] == runs[key]) & (touched[version] == runs[version + "_"]), "left")
-    cut = joined.withColumn(kept, F.when(F.col(cuts).isNotNull(), F.arrow_udf(_cut, "string")(F.col("text").cast("string"), F.col(cuts))))
+    once = F.arrow_udf(_cut, "string").asNondeterministic()  # else a filter on ``kept`` would have it run twice
+    cut = joined.withColumn(kept, once(F.col("text").cast("string"), F.col(cuts)))
     same = docs.join(ids, docs["doc_id"] == ids[key], "left_anti").withColumn(kept, F.lit(None).cast("string"))
     return cut.select(*quoted(*docs.columns, kept)).union(same.select(*quoted(*docs.columns, kept)))
 
