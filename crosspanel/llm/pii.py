@@ -1,9 +1,11 @@
 """Personal data: the contract's patterns, and spans that a trained BiLSTM-CRF adds to them.
 
-The network reads overlapping windows of ``WINDOW`` characters and is trained here, on spans labelled by the patterns
-in a bounded sample of the documents and on generated ones in more ways of writing. A window without a digit or @
-cannot hold any of the four kinds and is not decoded. Spans of neighbouring windows are reconciled per text: where
-they overlap, the one farther from its window's edges stays, and a pattern's span always does.
+The network reads overlapping windows of ``WINDOW`` characters and is trained here, on labelled spans: windows of a
+bounded sample of the documents, labelled by the patterns, and generated texts in more ways of writing (addresses that
+are spelled out, numbers without +, kinds that stand side by side so that the patterns take them for one and drop it).
+A window without a digit, @ or the word dot holds no kind in any of these ways and is not decoded. Spans of
+neighbouring windows are reconciled per text: where they overlap, the one farther from its window's edges stays, and a
+pattern's span always does. What a kind's own rule refutes (parts over 255, check digit, number of digits) is not added.
 """
 
 from __future__ import annotations
@@ -18,15 +20,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, sampled
 from .tagger import Tagger, classes
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
-#: Documents whose windows train the network at most (those with the smallest hash), generated windows, epochs.
-TRAIN_DOCS, TRAIN_MADE, EPOCHS = 200, 800, 8
+#: Bounds of the training sample: documents (by hash of doc_id), their windows, generated texts, epochs.
+TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_MADE, EPOCHS = 300, 600, 2000, 13
 #: Mean tag probability that a span of the network must reach to be reported.
-SURE = 0.95
+SURE = 0.8
+#: Texts that can hold a window worth decoding (for Arrow), and bytes of text decoded together.
+HINT = r"[0-9@]| dot |[\[(]at[\])]"
+TOGETHER = 1 << 18
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -34,6 +39,9 @@ _DOTTED = re.compile(r"[0-9][0-9.]*\.[0-9.]*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]")
+SPELLED = (" dot ", "(at)", "[at]")
+_SPELLED = re.compile("|".join(map(re.escape, SPELLED)))
+_LONG = re.compile(r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -76,14 +84,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def windows_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, codes): the windows on the grid of ``STRIDE`` whose text has a digit or @, padded with code 0."""
+    """(starts, classes): starts of the windows on the grid of ``STRIDE`` that hold a digit, @ or dot, and the class of
+    every character, with zeros for a window behind the end."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     hot = np.flatnonzero((codes >= 48) & (codes <= 57) | (codes == 64))
+    if any(x in text for x in SPELLED):
+        hot = np.concatenate([hot, [m.start() for m in _SPELLED.finditer(text)]])
     first = np.unique(hot // STRIDE)
     grid = np.unique(np.concatenate([first, np.maximum(first - 1, 0)])) if len(hot) else np.zeros(0, np.int64)
-    starts = grid * STRIDE
-    padded = np.concatenate([codes, np.zeros(WINDOW, np.uint32)])
-    return starts, padded[starts[:, None] + np.arange(WINDOW)]
+    return grid.astype(np.int64) * STRIDE, np.concatenate([classes(codes), np.zeros(WINDOW, np.uint8)])
+
+
+def cut_windows(starts: np.ndarray, all_classes: np.ndarray) -> np.ndarray:
+    return all_classes[starts[:, None] + np.arange(WINDOW)]
 
 
 def tags_of(start: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
@@ -98,96 +111,145 @@ def tags_of(start: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return y
 
 
+def labels_of(text: str) -> list[tuple[int, int, int]]:
+    """The patterns' spans, and 16 digits whatever their check digit: the network learns shapes, ``_holds`` checks."""
+    base = base_spans(text)
+    return base + [(2, m.start(), m.end()) for m in _LONG.finditer(text) if all(m.end() <= a or m.start() >= b for _, a, b in base)]
+
+
 def made_examples(words: list[str], n: int, seed: int = 9) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Generated texts with labelled spans, in ways of writing that the patterns know and some that they do not;
     a third hold look-alikes (hashes, years, amounts, versions, times) that are not personal data."""
     rng = np.random.default_rng(seed)
     num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     word = lambda: words[int(rng.integers(len(words)))]
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
 
     def card() -> str:
         body = num(15)
         body += next(str(d) for d in range(10) if luhn(body + str(d)))
-        sep = ("", " ", "-")[int(rng.integers(3))]
-        return sep.join(body[i : i + 4] for i in range(0, 16, 4))
+        return pick(("", "", " ", "-")).join(body[i : i + 4] for i in range(0, 16, 4))
 
     def email() -> str:
-        name = re.sub(r"[^A-Za-z]", "", word()) or "a"
-        return f"{name}{('.', '_', '')[int(rng.integers(3))]}{num(int(rng.integers(0, 3)))}@{('mail', 'post', 'example')[int(rng.integers(3))]}{num(int(rng.integers(0, 2)))}.{('com', 'org', 'net', 'example.com')[int(rng.integers(4))]}"
+        name = f"{re.sub(r'[^A-Za-z]', '', word()) or 'a'}{pick(('.', '_', ''))}{num(int(rng.integers(0, 3)))}".strip("._") or "a"
+        host, end = f"{pick(('mail', 'post', 'example'))}{num(int(rng.integers(0, 2)))}", pick(("com", "org", "net"))
+        return pick((f"{name}@{host}.{end}", f"{name}@{host}.example.{end}", f"{name} at {host} dot {end}", f"{name} (at) {host}.{end}", f"{name}[at]{host}.{end}"))
 
-    phones = (lambda: f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", lambda: f"+{num(2)} {num(3)} {num(7)}", lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"+{num(11)}")
-    makers = (email, lambda: ".".join(str(int(x)) for x in rng.integers(0, 256, 4)), card)
-    fakes = (lambda: "".join("0123456789abcdef"[int(x)] for x in rng.integers(0, 16, 40)), lambda: str(int(rng.integers(1900, 2030))), lambda: f"{num(2)}.{num(2)}", lambda: f"{num(2)}:{num(2)}:{num(2)}", lambda: f"v{num(1)}.{num(1)}.{num(1)}", lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"20{num(2)}-{num(2)}-{num(2)}", lambda: num(int(rng.integers(5, 13))))
+    phones = (lambda: f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", lambda: f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", lambda: f"+{num(2)} {num(3)} {num(7)}", lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"+{num(11)}")
+    makers = (email, lambda: ".".join(str(int(x)) for x in rng.integers(0, 256, 4)), card, lambda: pick(phones)())
+    fakes = (lambda: "".join("0123456789abcdef"[int(x)] for x in rng.integers(0, 16, 40)), lambda: str(int(rng.integers(1900, 2030))), lambda: f"{num(2)}.{num(2)}", lambda: f"{num(2)}:{num(2)}:{num(2)}", lambda: f"v{num(1)}.{num(1)}.{num(1)}", lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"20{num(2)}-{num(2)}-{num(2)}", lambda: num(int(rng.integers(5, 13))), lambda: f"a dot {word()}", lambda: f"at {word()}")
     out = []
     for _ in range(n):
         text, spans = "", []
         for _ in range(int(rng.integers(2, 8))):
-            text += word() + (" ", " ", ". ", "\n")[int(rng.integers(4))]
+            text += word() + pick((" ", " ", ". ", "\n"))
         for _ in range(int(rng.integers(1, 3))):
-            kind = int(rng.integers(6))
-            if kind < 4:
-                piece = makers[kind]() if kind < 3 else phones[int(rng.integers(len(phones)))]()
-                spans.append((kind, len(text), len(text) + len(piece)))
+            if rng.random() < 2 / 3:
+                for _ in range(1 + (rng.random() < 0.3)):  # side by side in three of ten
+                    kind = int(rng.integers(4))
+                    piece = makers[kind]()
+                    spans.append((kind, len(text), len(text) + len(piece)))
+                    text += piece + " "
+                text = text[:-1]
             else:
-                piece = fakes[int(rng.integers(len(fakes)))]()
-                piece = ('token = "%s"' % piece, piece, f"{piece};")[int(rng.integers(3))]
-            text += piece + ("", ".", ",", "###", "$$$")[int(rng.integers(5))] + " " + " ".join(word() for _ in range(int(rng.integers(1, 6)))) + " "
+                piece = pick(fakes)()
+                text += pick(('token = "%s"' % piece, piece, f"{piece};"))
+            text += pick(("", "", ".", ",", "###", "$$$")) + " " + " ".join(word() for _ in range(int(rng.integers(1, 6)))) + " "
         out.append((text, spans))
     return out
 
 
-def train(docs: DataFrame) -> Tagger:
-    """Fit on at most ``TRAIN_DOCS`` documents with a digit or @ and on ``TRAIN_MADE`` generated texts."""
-    text = F.col("text").cast("string")
-    # windows of the sample are cut on the executors: around the first digit or @, bounded in length
-    near = F.regexp_extract(text, r"(?s)(.{0,400}[0-9@].{0,400})", 1)
-    rows = docs.where(text.rlike("[0-9@]")).select("doc_id", near.alias("near")).orderBy(F.xxhash64("doc_id", "near"), "doc_id", "near").limit(TRAIN_DOCS).collect()
-    sample = [(r[1], base_spans(r[1])) for r in rows]
-    words = sorted({w for t, _ in sample for w in t.split() if w.isalpha()}) or ["the", "and", "of", "to"]
-    xs, ys = [], []
-    for t, spans in [*sample, *made_examples(words, TRAIN_MADE)]:
-        starts, codes = windows_of(t)
-        xs.append(classes(codes) * (codes > 0))
+def fit(windows: list[tuple[np.ndarray, np.ndarray]], words: list[str], made: int = TRAIN_MADE, epochs: int = EPOCHS) -> Tagger:
+    """A network trained on ``windows`` (classes, tags) and on ``made`` generated texts around ``words``."""
+    xs, ys = [x for x, _ in windows], [y for _, y in windows]
+    for t, spans in made_examples(words, made):
+        starts, all_classes = windows_of(t)
+        xs += list(cut_windows(starts, all_classes))
         ys += [tags_of(int(s), spans) for s in starts]
     net = Tagger(1 + 2 * len(KINDS))
-    net.fit(np.concatenate(xs), np.stack(ys), EPOCHS)
+    net.fit(np.stack(xs), np.stack(ys), epochs)
     return net
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled windows of whole texts, and a word of each for generated texts."""
+    for batch in batches:
+        for text in batch.column(0):
+            t = text.as_py()
+            starts, all_classes = windows_of(t)
+            spans = labels_of(t)
+            for s in starts.tolist():
+                w = next((w for w in t[s : s + WINDOW].split()[1:-1] if w.isalpha()), "")
+                yield pa.record_batch([pa.array([w]), pa.array([all_classes[s : s + WINDOW].tobytes()]), pa.array([tags_of(s, spans).astype(np.uint8).tobytes()])], ["word", "x", "y"])
+
+
+def train(docs: DataFrame) -> Tagger:
+    """Fit on ``TRAIN_WINDOWS`` windows of ``TRAIN_DOCS`` documents at most, and on ``TRAIN_MADE`` generated texts."""
+    some = sampled(docs.where("text IS NOT NULL"), TRAIN_DOCS, "doc_id").select(F.col("text").cast("string").alias("text"))
+    rows = some.mapInArrow(_labelled, "word string, x binary, y binary").orderBy(F.xxhash64("x"), "x", "word").limit(TRAIN_WINDOWS).collect()
+    windows = [(np.frombuffer(r[1], np.uint8), np.frombuffer(r[2], np.uint8).astype(np.int64)) for r in rows]
+    return fit(windows, sorted({r[0] for r in rows} - {""}) or ["the", "and", "of", "to"])
+
+
+def _holds(kind: int, piece: str) -> bool:
+    """Whether a span of the network can be of its kind."""
+    digits = _DIGITS.sub("", piece)
+    if kind == 0:
+        return bool(re.fullmatch(r"[\w.%+-]+ ?(?:@|\(at\)|\[at\]| at ) ?[\w-]+(?: ?(?:\.| dot ) ?[\w-]+)+", piece))
+    if kind == 1:
+        return bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", piece)) and all(int(x) <= 255 for x in piece.split("."))
+    if kind == 2:
+        return bool(re.fullmatch(r"[0-9](?:[ -]?[0-9])+", piece)) and 16 <= len(digits) <= 19 and luhn(digits)
+    return bool(re.fullmatch(r"[+(]?[0-9][ ().0-9-]+[0-9]", piece)) and 8 <= len(digits) <= 15 and len(digits) < len(piece)
+
+
 def network_spans(net: Tagger, texts: list[str], bases: list[list]) -> list[list[tuple[int, int, int]]]:
     """Per text the reconciled spans of the network that no pattern's span overlaps."""
-    found = [windows_of(t) for t in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(s) for s, _ in found])
-    starts, codes = np.concatenate([s for s, _ in found]), np.concatenate([c for _, c in found])
     out: list[list] = [[] for _ in texts]
-    for at in range(0, len(codes), 256):
-        e = net.emissions(classes(codes[at : at + 256]) * (codes[at : at + 256] > 0))
-        path, prob = net.decode(e), net.marginals(e)[0]
-        for i in np.flatnonzero(path.any(1)):
+    waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def decode(owner: np.ndarray, starts: np.ndarray, x: np.ndarray) -> None:
+        e = net.emissions(x)
+        path = net.decode(e)
+        some = np.flatnonzero(path.any(1))
+        if not len(some):
+            return
+        prob = net.marginals(e[:, some])[0]
+        for at, i in enumerate(some):
             y, j = path[i], 0
             while j < WINDOW:
                 if y[j] % 2 == 1:  # a begin tag
                     kind, k = (int(y[j]) - 1) // 2, j + 1
                     while k < WINDOW and y[k] == y[j] + 1:
                         k += 1
-                    sure = float(np.mean([prob[x, i, y[x]] for x in range(j, k)]))
-                    if sure >= SURE:
-                        w = int(starts[at + i])
-                        out[owner[at + i]].append((min(j + (w == 0) * WINDOW, WINDOW - k), kind, w + j, w + k))
+                    if float(np.mean([prob[t, at, y[t]] for t in range(j, k)])) >= SURE:
+                        w = int(starts[i])
+                        out[owner[i]].append((min(j + (w == 0) * WINDOW, WINDOW - k), kind, w + j, w + k))
                     j = k
                 else:
                     j += 1
-    least = {0: 6, 1: 7, 2: 16, 3: 7}
+
+    def flush() -> None:
+        if waiting:
+            decode(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+            waiting.clear()
+
+    for n, t in enumerate(texts):
+        starts, all_classes = windows_of(t)
+        for at in range(0, len(starts), 256):  # a long text's windows are cut as they are needed
+            some = starts[at : at + 256]
+            waiting.append((np.full(len(some), n), some, cut_windows(some, all_classes)))
+            if sum(len(x[1]) for x in waiting) >= 256:
+                flush()
+    flush()
     kept = []
     for t, spans, base in zip(texts, out, bases, strict=True):
         taken = [(a, b) for _, a, b in base]
         good = []
         for _, kind, a, b in sorted(spans, key=lambda x: (-x[0], x[2])):
             b = min(b, len(t))
-            digits = sum(c.isdigit() for c in t[a:b])
             whole = not (a and t[a - 1].isalnum() and t[a].isalnum()) and not (b < len(t) and t[b].isalnum() and t[b - 1].isalnum())
-            ok = whole and b - a >= least[kind] and (kind == 0 and "@" in t[a:b] or kind and digits >= {1: 4, 2: 16, 3: 10}[kind])
-            if ok and all(b <= x or a >= y for x, y in taken):
+            if whole and _holds(kind, t[a:b]) and all(b <= x or a >= y for x, y in taken):
                 taken.append((a, b))
                 good.append((kind, a, b))
         kept.append(sorted(good))
@@ -202,9 +264,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """Spans per row of ``docs`` (doc_id, text): see ``op5_bilstm_crf``.
 
     Null and empty texts have none; extra columns are ignored, repeated rows answered each; an empty table trains on
-    generated texts and gives no rows. Nothing is shuffled.
+    generated texts and gives no rows. Long texts are decoded some windows at a time. Nothing is shuffled.
     """
-    share = docs.sparkSession.sparkContext.broadcast(train(docs))  # some 10,000 numbers whatever the input
+    share = docs.sparkSession.sparkContext.broadcast(train(docs).light())  # some 10,000 numbers whatever the input
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,13 +274,13 @@ def personal_data(docs: DataFrame) -> DataFrame:
             n = len(texts)
             base: list[list] = [[] for _ in range(n)]
             added: list[list] = [[] for _ in range(n)]
-            hot = np.flatnonzero(pc.match_substring_regex(texts, "[0-9@]").to_numpy(zero_copy_only=False))
-            for at in range(0, len(hot), 64):
-                some = hot[at : at + 64]
-                own = texts.take(pa.array(some)).to_pylist()
-                for i, t in zip(some, own, strict=True):
+            hot = np.flatnonzero(pc.match_substring_regex(texts, HINT).to_numpy(zero_copy_only=False))
+            size = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)[hot])
+            for part in np.split(hot, np.flatnonzero(np.diff(size // TOGETHER)) + 1):
+                own = [texts[i].as_py() for i in part]
+                for i, t in zip(part, own, strict=True):
                     base[i] = base_spans(t)
-                for i, spans in zip(some, network_spans(share.value, own, [base[i] for i in some]), strict=True):
+                for i, spans in zip(part, network_spans(share.value, own, [base[i] for i in part]), strict=True):
                     added[i] = spans
             columns = [batch.column(0), *(pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in range(len(KINDS)))]
             columns += [pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b in base]), pa.array([_joined(b + a) for b, a in zip(base, added, strict=True)])]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is set (tests, a laptop) a temporary one is made and set."""
+    """The session's checkpoint folder. Where none is set and all runs in one process (tests, a laptop) one is made; on
+    a cluster a folder of one machine would not do, so that is an error."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="crosspanel-"))
         known = sc.getCheckpointDir()
     return known.rstrip("/")
@@ -40,6 +44,14 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def sampled(df: DataFrame, most: int, *key: str) -> DataFrame:
+    """About ``most`` rows of ``df``, chosen by the hash of ``key``: all of them if it has no more. The range of hashes is
+    sized by a count first, so no task keeps or sends more than its share of the sample."""
+    n = df.count()
+    grain = 1 << 40
+    return df if n <= most else df.where(F.pmod(F.xxhash64(*quoted(*key)), F.lit(grain)) < math.ceil(grain * most / n))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a longer one if ``df`` has a column of that name already."""
     taken = {c.lower() for c in df.columns}

@@ -12,7 +12,7 @@ HIDDEN = 20
 
 def classes(codes: np.ndarray) -> np.ndarray:
     """Class numbers of code points: 0 padding, digits, a-z, A-Z, other non-ASCII, other, then those of OWN."""
-    table = np.full(129, 5, np.int64)
+    table = np.full(129, 5, np.uint8)
     table[48:58], table[97:123], table[65:91], table[128] = 1, 2, 3, 4
     for i, c in enumerate(OWN):
         table[ord(c)] = 6 + i
@@ -20,79 +20,104 @@ def classes(codes: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class Tagger:
-    """``tags`` labels; inputs are (batch, time) class numbers, all windows of one length (padding is class 0)."""
+    """``tags`` labels; inputs are (batch, time) class numbers, all windows of one length (padding is class 0).
+
+    Both directions run side by side: the first axis of their weights and states is the direction, and the backward
+    one reads reversed time.
+    """
 
     def __init__(self, tags: int, hidden: int = HIDDEN, seed: int = 3):
         rng = np.random.default_rng(seed)
         h = hidden
         self.hidden = h
+        bias = np.r_[np.zeros(h), np.ones(h), np.zeros(2 * h)]
         self.params = {
-            "in_f": rng.normal(0, 0.3, (CLASSES, 4 * h)),
-            "in_b": rng.normal(0, 0.3, (CLASSES, 4 * h)),
-            "re_f": rng.normal(0, 1 / np.sqrt(h), (h, 4 * h)),
-            "re_b": rng.normal(0, 1 / np.sqrt(h), (h, 4 * h)),
-            "bi_f": np.r_[np.zeros(h), np.ones(h), np.zeros(2 * h)],
-            "bi_b": np.r_[np.zeros(h), np.ones(h), np.zeros(2 * h)],
+            "in": rng.normal(0, 0.3, (2, CLASSES, 4 * h)),
+            "re": rng.normal(0, 1 / np.sqrt(h), (2, h, 4 * h)),
+            "bias": np.stack([bias, bias])[:, None],
             "out": rng.normal(0, 1 / np.sqrt(2 * h), (2 * h, tags)),
             "out_b": np.zeros(tags),
             "trans": rng.normal(0, 0.1, (tags, tags)),
             "start": np.zeros(tags),
         }
 
-    def _run(self, x: np.ndarray, side: str) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+        """(time, batch, 2 * hidden) states of both directions, and per step what going back needs."""
         p, h = self.params, self.hidden
         n, t = x.shape
-        out, kept = np.zeros((t, n, h)), []
-        hid, cell = np.zeros((n, h)), np.zeros((n, h))
-        for s in range(t) if side == "f" else range(t - 1, -1, -1):
-            z = p[f"in_{side}"][x[:, s]] + hid @ p[f"re_{side}"] + p[f"bi_{side}"]
-            g = _sigmoid(z[:, : 3 * h])
-            i, f, o, c = g[:, :h], g[:, h : 2 * h], g[:, 2 * h :], np.tanh(z[:, 3 * h :])
+        kind = p["in"].dtype
+        out, kept = np.zeros((t, 2, n, h), kind), []
+        hid, cell = np.zeros((2, n, h), kind), np.zeros((2, n, h), kind)
+        given = p["in"] + p["bias"]
+        for s in range(t):
+            z = hid @ p["re"]
+            z[0] += given[0][x[:, s]]
+            z[1] += given[1][x[:, t - 1 - s]]
+            g = _sigmoid(z[:, :, : 3 * h])
+            i, f, o, c = g[:, :, :h], g[:, :, h : 2 * h], g[:, :, 2 * h :], np.tanh(z[:, :, 3 * h :])
             before, old = cell, hid
             cell = f * cell + i * c
             th = np.tanh(cell)
             hid = o * th
             out[s] = hid
-            kept.append((s, i, f, o, c, th, before, old))
-        return out, kept
-
-    def _back(self, x: np.ndarray, side: str, kept: list, grad: np.ndarray, grads: dict) -> None:
-        p, h = self.params, self.hidden
-        dh, dc = np.zeros(grad.shape[1:]), np.zeros(grad.shape[1:])
-        for s, i, f, o, c, th, before, old in reversed(kept):
-            dh = dh + grad[s]
+            if keep:
+                kept.append((i, f, o, c, th, before, old))
+        return np.concatenate([out[:, 0], out[::-1, 1]], 2), kept
+
+    def _back(self, x: np.ndarray, kept: list, grad: np.ndarray) -> dict:
+        """Gradients of the input, recurrent and bias weights from those of the states."""
+        p, (t, n, _) = self.params, grad.shape
+        h = self.hidden
+        both = np.stack([grad[:, :, :h], grad[::-1, :, h:]], 1)
+        kind = p["re"].dtype
+        dh, dc = np.zeros((2, n, h), kind), np.zeros((2, n, h), kind)
+        steps, re = np.zeros((2, t, n, 4 * h), kind), np.zeros_like(p["re"])
+        back = p["re"].transpose(0, 2, 1)
+        for s in range(t - 1, -1, -1):
+            i, f, o, c, th, before, old = kept[s]
+            dh = dh + both[s]
             dc = dc + dh * o * (1 - th * th)
-            dz = np.concatenate([dc * c * i * (1 - i), dc * before * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - c * c)], 1)
-            np.add.at(grads[f"in_{side}"], x[:, s], dz)
-            grads[f"re_{side}"] += old.T @ dz
-            grads[f"bi_{side}"] += dz.sum(0)
-            dh, dc = dz @ p[f"re_{side}"].T, dc * f
+            dz = np.concatenate([dc * c * i * (1 - i), dc * before * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - c * c)], 2)
+            steps[:, s] = dz
+            re += old.transpose(0, 2, 1) @ dz
+            dh, dc = dz @ back, dc * f
+        hot = np.eye(CLASSES, dtype=kind)[x.T].reshape(t * n, CLASSES)
+        turned = np.eye(CLASSES, dtype=kind)[x.T[::-1]].reshape(t * n, CLASSES)
+        given = np.stack([hot.T @ steps[0].reshape(t * n, -1), turned.T @ steps[1].reshape(t * n, -1)])
+        return {"in": given, "re": re, "bias": steps.sum((1, 2))[:, None]}
+
+    def light(self) -> Tagger:
+        """The same network in single precision, for decoding."""
+        other = Tagger.__new__(Tagger)
+        other.hidden, other.params = self.hidden, {k: v.astype(np.float32) for k, v in self.params.items()}
+        return other
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """(time, batch, tags)"""
-        both = np.concatenate([self._run(x, "f")[0], self._run(x, "b")[0]], 2)
-        return both @ self.params["out"] + self.params["out_b"]
+        return self._run(x)[0] @ self.params["out"] + self.params["out_b"]
 
-    def marginals(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tag probabilities (time, batch, tags) by forward-backward; also log Z, alpha and beta."""
+    def marginals(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tag probabilities (time, batch, tags) by forward-backward, scaled at every step; also log Z and the expected
+        numbers of transitions, summed over the batch."""
         tr, t = self.params["trans"], len(e)
-        a, b = np.zeros_like(e), np.zeros_like(e)
-        a[0] = e[0] + self.params["start"]
-        for s in range(1, t):
-            a[s] = e[s] + _logsumexp(a[s - 1][:, :, None] + tr, 1)
-        for s in range(t - 2, -1, -1):
-            b[s] = _logsumexp(tr + (e[s + 1] + b[s + 1])[:, None, :], 2)
-        z = _logsumexp(a[-1], 1)
-        return np.exp(a + b - z[None, :, None]), z, a, b
+        top = e.max(2, keepdims=True)
+        given, move = np.exp(e - top), np.exp(tr)
+        a, b, scale = np.zeros_like(e), np.ones_like(e), np.zeros_like(top)
+        for s in range(t):
+            now = given[s] * (np.exp(self.params["start"]) if s == 0 else a[s - 1] @ move)
+            scale[s] = now.sum(1, keepdims=True)
+            a[s] = now / scale[s]
+        moves = np.zeros_like(tr)
+        for s in range(t - 1, 0, -1):
+            ahead = given[s] * b[s] / scale[s]
+            b[s - 1] = ahead @ move.T
+            moves += a[s - 1].T @ ahead
+        return a * b, (np.log(scale) + top).sum((0, 2)), moves * move
+
 
     def decode(self, e: np.ndarray) -> np.ndarray:
         """The most probable tag sequences, (batch, time)."""
@@ -110,32 +135,25 @@ class Tagger:
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log likelihood of tags ``y`` and its gradients."""
         p, (n, t) = self.params, x.shape
-        of, kf = self._run(x, "f")
-        ob, kb = self._run(x, "b")
-        both = np.concatenate([of, ob], 2)
+        both, kept = self._run(x, keep=True)
         e = both @ p["out"] + p["out_b"]
-        prob, z, a, b = self.marginals(e)
+        prob, z, moves = self.marginals(e)
         rows = np.arange(n)
-        gold = p["start"][y[:, 0]] + sum(e[s, rows, y[:, s]] for s in range(t)) + sum(p["trans"][y[:, s - 1], y[:, s]] for s in range(1, t))
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
+        gold = p["start"][y[:, 0]] + e[np.arange(t)[:, None], rows, y.T].sum(0) + p["trans"][y[:, :-1], y[:, 1:]].sum(1)
         de = prob.copy()
-        for s in range(t):
-            de[s, rows, y[:, s]] -= 1
-        for s in range(1, t):
-            pair = np.exp(a[s - 1][:, :, None] + p["trans"] + (e[s] + b[s])[:, None, :] - z[:, None, None])
-            grads["trans"] += pair.sum(0)
-            np.add.at(grads["trans"], (y[:, s - 1], y[:, s]), -1)
+        de[np.arange(t)[:, None], rows, y.T] -= 1
+        np.add.at(moves, (y[:, :-1], y[:, 1:]), -1)
+        grads = {"trans": moves}
         grads["start"] = de[0].sum(0)
-        grads["out"] = np.einsum("tnh,tnk->hk", both, de)
+        grads["out"] = np.tensordot(both, de, ((0, 1), (0, 1)))
         grads["out_b"] = de.sum((0, 1))
-        d = de @ p["out"].T
-        self._back(x, "f", kf, d[:, :, : self.hidden], grads)
-        self._back(x, "b", kb, d[:, :, self.hidden :], grads)
+        grads |= self._back(x, kept, de @ p["out"].T)
         return float((z - gold).mean()), {k: g / n for k, g in grads.items()}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.02, seed: int = 4) -> float:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 128, rate: float = 0.03, seed: int = 4) -> float:
         """Adam with gradient clipping; returns the last epoch's mean loss."""
         rng, step, loss = np.random.default_rng(seed), 0, 0.0
+        self.params = self.light().params
         m = {k: np.zeros_like(v) for k, v in self.params.items()}
         v = {k: np.zeros_like(q) for k, q in self.params.items()}
         for epoch in range(epochs):
