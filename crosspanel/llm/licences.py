@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .blocks import LOWER, PUNCTUATION, U, prefix_hash, range_hash, runs, slices, words
 from .lines import line_table
-from .shared import documents
+from .shared import documents, sampled
 
 #: Notices by family (fixed values: customary short notices and telling sentences of public licences).
 TEMPLATES = {
@@ -96,7 +96,7 @@ UNKNOWN = [
     "Permission is required to copy this work",
 ]
 BITS, WINDOW = 15, 64
-#: Paragraphs of the unknown class taken from the documents at most (from those with the smallest hash).
+#: Documents, and paragraphs of the unknown class from them, at most.
 TRAIN_PARAGRAPHS, VARIANTS = 800, 40
 #: Share of a template's word pairs that confirms a prediction.
 CONFIRM = 0.6
@@ -258,10 +258,14 @@ def scan(model: Model, data: np.ndarray, offs: np.ndarray) -> list[list[tuple[in
 
 
 def train(docs: DataFrame) -> Model:
-    """Fit against lines of a bounded sample of ``docs``, taken as the unknown class."""
-    line = F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line")
-    rows = docs.select("doc_id", line).where("length(trim(line)) > 0").select("doc_id", F.substring("line", 1, 400).alias("line"))
-    got = rows.orderBy(F.xxhash64("doc_id", "line"), "doc_id", "line").limit(TRAIN_PARAGRAPHS).collect()
+    """Fit against paragraphs, taken as the unknown class: of ``TRAIN_PARAGRAPHS`` documents at most (by hash of doc_id)
+    all lines in stretches of up to ``WINDOW`` words, and of those ``TRAIN_PARAGRAPHS`` at most, by hash."""
+    some = sampled(docs.where("text IS NOT NULL"), TRAIN_PARAGRAPHS, "doc_id")
+    line = some.select("doc_id", F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line")).where("length(trim(line)) > 0")
+    split = line.select("doc_id", F.split(F.trim("line"), r"\s+").alias("w"))
+    part = split.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"), F.lit(WINDOW))).alias("at"))
+    parts = part.select("doc_id", F.array_join(F.slice("w", F.col("at"), F.lit(WINDOW)), " ").alias("part"))
+    got = parts.orderBy(F.xxhash64("doc_id", "part"), "doc_id", "part").limit(TRAIN_PARAGRAPHS).collect()
     return fit(sorted(r[1] for r in got))
 
 
