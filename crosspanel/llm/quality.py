@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import slices
-from .shared import documents, fresh, quoted
+from .shared import documents, fresh, quoted, sampled
 
 TAPS, STRIDE, FILTERS = 8, 4, 24
-#: Windows in half a chunk; a chunk is two neighbouring halves.
-HALF = 128
-#: Labelled rows to fit on at most (those with the smallest hash of doc_id), and bytes of each that fitting looks at:
-#: evenly spread halves. Scoring has no such bounds.
-TRAIN_ROWS, TRAIN_HALVES = 4000, 16
+#: Windows in half a chunk; a chunk is two neighbouring halves. Halves whose responses are held at once.
+HALF, AT_ONCE = 128, 128
+#: Labelled rows to fit on at most (by hash of doc_id), each with its whole text. Scoring has no such bound.
+TRAIN_ROWS = 4000
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.02, 1e-4
 THRESHOLD = 0.3
 
@@ -70,8 +69,12 @@ def chunks_of(halves: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def score(net: Network, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     quads, starts, rows = layout(data, offs)
-    # the window after a text's last one is the zero row before the next text: it never exceeds a padded window
-    pooled = np.maximum.reduceat(net.responses(np.concatenate([quads, np.zeros((1, STRIDE), np.uint8)])), starts, 0)
+    quads = np.concatenate([quads, np.zeros((1, STRIDE), np.uint8)])
+    pooled = np.zeros((len(starts), FILTERS), np.float32)
+    for k in range(0, len(starts), AT_ONCE):
+        # the window after a text's last one is the zero row before the next text: it never exceeds a padded window
+        low, high = starts[k], starts[k + AT_ONCE] if k + AT_ONCE < len(starts) else len(quads) - 1
+        pooled[k : k + AT_ONCE] = np.maximum.reduceat(net.responses(quads[low : high + 1]), starts[k : k + AT_ONCE] - low, 0)
     chunk, first = chunks_of(np.maximum(pooled, 0), rows)
     count = np.diff(np.append(first, len(chunk)))
     features = np.concatenate([np.add.reduceat(chunk, first, 0) / count[:, None], np.maximum.reduceat(chunk, first, 0)], 1)
@@ -85,23 +88,18 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Network:
     if not len(labels) or labels.min() == labels.max():
         net.top[-1] = 0.0 if not len(labels) else (4.0 if labels[0] else -4.0)
         return net
-    half = HALF * STRIDE
-    cut = []
-    for t in texts:
-        n = -(-len(t) // half)
-        cut.append(t if n <= TRAIN_HALVES else b"".join(t[i * half : (i + 1) * half] for i in np.linspace(0, n - 1, TRAIN_HALVES).astype(int)))
     share = labels.mean()
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     net.top[:-1] = rng.normal(0, 0.05, 2 * FILTERS)
     params = [net.taps, net.bias, net.top]
     m, v, step = [np.zeros(p.shape) for p in params], [np.zeros(p.shape) for p in params], 0
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(cut))
+        order = rng.permutation(len(texts))
         rate = RATE * (1 - epoch / EPOCHS)
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
-            data = np.frombuffer(b"".join(cut[i] for i in part), np.uint8)
-            offs = np.concatenate([[0], np.cumsum([len(cut[i]) for i in part])])
+            data = np.frombuffer(b"".join(texts[i] for i in part), np.uint8)
+            offs = np.concatenate([[0], np.cumsum([len(texts[i]) for i in part])])
             quads, starts, rows = layout(data, offs)
             quads = np.concatenate([quads, np.zeros((1, STRIDE), np.uint8)])
             z = net.responses(quads)
@@ -150,15 +148,10 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network:
     """Fit on at most ``rows`` labelled documents that are not held out; rows without a label or text take no part."""
     known = labels.where("quality IS NOT NULL").select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out())
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
+    chosen = sampled(known, rows, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     pairs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    # bytes beyond those that fitting looks at stay where they are
-    half, span = HALF * STRIDE, TRAIN_HALVES
-    raw = F.encode("text", "UTF-8")
-    n = F.ceil(F.length(raw) / half)
-    spread = F.concat(*(F.substring(raw, (F.floor((n - 1) * i / (span - 1)) * half + 1).cast("int"), F.lit(half)) for i in range(span)))
-    got = pairs.select("doc_id", "quality", F.when(n <= span, raw).otherwise(spread).alias("raw")).collect()
-    got.sort(key=lambda r: (r[0], r[1]))
+    got = pairs.select("doc_id", "quality", F.encode("text", "UTF-8").alias("raw")).orderBy(F.xxhash64("doc_id", "raw"), "doc_id", "quality").limit(rows).collect()
+    got.sort(key=lambda r: (r[0], r[1], r[2]))
     return fit([bytes(r[2]) for r in got], np.array([r[1] for r in got]))
 
 
@@ -174,13 +167,18 @@ def with_score(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of ``docs``; only text is an input of the score."""
+    """(doc_id, held_out, score, predicted) per row of ``docs``; only text is an input of the score.
+
+    Null and empty texts are scored as empty ones, repeated rows each; extra columns are ignored; an empty table gives
+    no rows, and without usable labels the score is 0.5 everywhere.
+    """
     net = train(docs, labels)
     return with_score(docs.select("doc_id", "text"), net).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; columns stay as they are."""
+    """``docs`` without the rows that the classifier rejects; columns stay as they are. Null and empty texts are judged as
+    empty ones, repeated rows each; an empty table stays empty."""
     name = fresh(docs, "score")
     return with_score(docs, train(docs, labels), name).where(F.col(name) >= THRESHOLD).select(*quoted(*docs.columns))
 
