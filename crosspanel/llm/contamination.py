@@ -63,20 +63,24 @@ class Items:
     totals: np.ndarray  # weight of each item's set
     known: np.ndarray  # all shingles, sorted, and their weights
     weight: np.ndarray
+    rare: float  # weight of shingles that an item does not have
     tables: dict[int, tuple]  # window size -> fingerprints, item, offset, then per block: order and 2**16 + 1 bounds
     seeds: np.ndarray  # windows of one shingle, sorted, and their items
     seed_item: np.ndarray
 
     @staticmethod
-    def of(ids: list, texts: list[str]) -> Items:
-        rows = [x for x in slices(iter([pa.record_batch([pc.utf8_lower(pa.array(texts, pa.string()))], ["text"])]))]
+    def of(ids: list, texts: list[str], total: int, common: dict[int, int]) -> Items:
+        """Items of one pass; ``total`` is the number of items of all passes, and ``common`` tells how many of those hold
+        a shingle (signed) where more than one does."""
         parts = []
-        for _, data, offs in rows:
+        for _, data, offs in slices(iter([pa.record_batch([pc.utf8_lower(pa.array(texts, pa.string()))], ["text"])])):
             value, bounds = shingles(data, offs, space=PUNCTUATION)
             parts += [value[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         sets = [np.unique(v) for v in parts]
-        known, holders = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-        weight = np.log1p(max(1, len(ids)) / holders)  # rare shingles tell more than those of many items
+        known = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]))
+        holders = np.array([common.get(x, 1) for x in known.view(np.int64).tolist()])
+        rare = float(np.log1p(max(1, total)))
+        weight = np.log1p(max(1, total) / holders) if len(known) else np.zeros(0)  # rare shingles tell more than those of many items
         prints: dict[int, list] = {}
         for i, v in enumerate(parts):
             if len(v):
@@ -102,11 +106,13 @@ class Items:
             seed_item.append(np.full(len(seeds[-1]), i))
         seed, item = np.concatenate(seeds), np.concatenate(seed_item)
         order = np.argsort(seed, kind="stable")
-        return Items(ids, sets, [len(v) for v in parts], totals, known, weight, tables, seed[order], item[order])
+        return Items(ids, sets, [len(v) for v in parts], totals, known, weight, rare, tables, seed[order], item[order])
 
-    def weights(self, s: np.ndarray) -> np.ndarray:
+    def weights(self, s: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        """Weights of shingles; those that are not ``mine`` (the item's) weigh as if no item had them, so that a pair's
+        similarity does not depend on which other items are searched for with it."""
         at = np.minimum(np.searchsorted(self.known, s), max(0, len(self.known) - 1))
-        return np.where(self.known[at] == s, self.weight[at], np.log1p(max(1, len(self.ids))))
+        return np.where(mine, self.weight[at], self.rare)
 
     def matches(self, value: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], float]:
         """(row, item) -> largest weighted Jaccard similarity, at least ``SIMILARITY``."""
@@ -151,7 +157,7 @@ class Items:
         low, high = max(first, begin), min(last + size, end)
         own, at = np.unique(value[low:high], return_inverse=True)
         mine = items[np.minimum(np.searchsorted(items, own), len(items) - 1)] == own
-        weight = self.weights(own)
+        weight = self.weights(own, mine)
         if weight[mine].sum() < (SIMILARITY - EPSILON) * self.totals[i]:
             return 0.0
         # a shingle counts in the stretches from behind its previous place on, so once in each
@@ -169,8 +175,10 @@ class Items:
         total, shared = np.cumsum(total)[:-1], np.cumsum(shared)[:-1]
         start = first + int(np.argmax(shared / (total + self.totals[i] - shared)))
         own = np.unique(value[max(start, begin) : min(start + size, end)])
-        both = self.weights(np.intersect1d(own, items, assume_unique=True)).sum()
-        return float(both / (self.weights(own).sum() + self.totals[i] - both))
+        mine = items[np.minimum(np.searchsorted(items, own), len(items) - 1)] == own
+        weight = self.weights(own, mine)
+        both = weight[mine].sum()
+        return float(both / (weight.sum() + self.totals[i] - both))
 
 
 def joined(ranges: set[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -184,22 +192,37 @@ def joined(ranges: set[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, shingle): the distinct shingles of each item."""
+    lowered = (pa.record_batch([b.column(0), pc.utf8_lower(b.column(1))], ["part", "text"]) for b in batches)
+    for rows, data, offs in slices(lowered):
+        value, bounds = shingles(data, offs, space=PUNCTUATION)
+        sets = [np.unique(value[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        part = np.repeat(rows.column(0).to_numpy(), [len(x) for x in sets])
+        yield pa.record_batch([pa.array(part, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["part", "shingle"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity): the items of ``benchmark`` (item_id, text) that ``docs`` (doc_id, text) hold.
 
     Null or wordless texts and items match nothing; equal items are all reported; repeated rows report repeatedly.
     The items of one pass (``PASS_ITEMS``, ``PASS_BYTES``) are broadcast; a larger benchmark is searched for in as
-    many passes as it needs, so no side grows with the data and nothing is shuffled.
+    many passes as it needs, with weights counted over all items, so the result does not depend on the passes. Only
+    the items' shingles are shuffled. A document of any length is searched whole.
     """
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     n, size = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     passes = max(1, math.ceil(n / PASS_ITEMS), math.ceil((size or 0) / PASS_BYTES))
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, similarity double"
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)).cast("int"))
+    held = settle(items.select("part", "text").mapInArrow(_shingles_of, "part int, shingle long"))
+    common = settle(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.collect_set("part").alias("parts")).where("n > 1"))
     out = None
     for k in range(passes):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
+        rows = items.where(F.col("part") == k).collect()
         rows.sort(key=lambda r: (str(r[0]), r[1]))
-        share = docs.sparkSession.sparkContext.broadcast(Items.of([r[0] for r in rows], [r[1] for r in rows]))
+        shared = dict(common.where(F.array_contains("parts", k)).select("shingle", "n").collect())  # of this pass's items
+        share = docs.sparkSession.sparkContext.broadcast(Items.of([r[0] for r in rows], [r[1] for r in rows], n, shared))
 
         def search(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:
             own = share.value
