@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from .blocks import STEP, U, groups, mix, shingles, slices
 from .shared import connected_components, documents, quoted, settle, small
 
-#: 60 permutations give 120 signature values in 24 bands of 5: at similarity 0.85 a pair shares no band with
-#: probability (1 - 0.85**5)**24 = 8e-7.
+#: 60 permutations give 120 signature values in 24 bands of 5: a pair shares no band with probability
+#: (1 - 0.85**5)**24 = 8e-7 at similarity 0.85, and with 7e-5 at 0.8.
 PERMUTATIONS, ROWS = 60, 5
 SHINGLE_WORDS = 5
-#: Distinct texts compared in one task; a larger candidate group is dealt as pairs of blocks.
-BLOCK = 512
+#: Distinct texts, and shingles of them, in a block (about); a larger candidate group is dealt as pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 
 
 def signatures(value: np.ndarray, bounds: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
@@ -111,7 +111,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Equal sets collapse first (one representative each), so groups of copies never meet in one task. Bands link
     representatives into candidate groups through each bucket's smallest member (no pairs are listed). Within a
     candidate group all texts are compared on full shingle sets, in blocks of ``BLOCK`` texts. Null or empty
-    texts have no set and link with nothing; extra columns are ignored; doc_id must be unique.
+    texts have no set and link with nothing; extra columns are ignored; an empty table gives no rows. Rows that share a
+    doc_id are told apart by their sets only: equal ones are one text, and others are linked as documents of that id.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = settle(docs.mapInArrow(_digest, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
@@ -121,7 +122,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     keyed = same.select("doc_id", F.explode("bands").alias("key"))
     lead = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     candidates = connected_components(keyed.join(lead, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")))
-    sized = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    weighed = candidates.join(same.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
+    sized = weighed.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     member = settle(candidates.join(sized, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("cc"), "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block")))
     dealt = docs.join(small(member), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("cc", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "doc_id", "text")

@@ -65,6 +65,24 @@ def test_near_duplicates(docs, empty):
     assert minmax.keep_one(docs).columns == docs.columns
 
 
+def test_near_duplicates_of_planted_copies(spark, monkeypatch):
+    """Copies with words changed until the similarity is 0.80 to 0.95: those over the line are linked, all of them."""
+    monkeypatch.setattr(minmax, "BLOCK", 64)
+    r, texts = random.Random(3), []
+    for i in range(200):
+        w = passage(10_000 + i, r.randrange(60, 260)).split()
+        own = list(w)
+        for _ in range(r.randrange(1, max(2, len(w) // 45))):
+            own[r.randrange(len(own))] = "changed" + str(r.randrange(10**6))
+        texts += [" ".join(w), " ".join(own)]
+    shingled = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in minmax.near_duplicates(table).collect()}
+    near = {i for i in range(0, 400, 2) if 100 * len(shingled[i] & shingled[i + 1]) >= 85 * len(shingled[i] | shingled[i + 1])}
+    assert 40 < len(near) < 190
+    assert {i for i in range(0, 400, 2) if got[i] == got[i + 1]} == near
+
+
 def test_signature_is_unbiased():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
