@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-12
@@ -21,11 +21,6 @@ def on_day(*order: Column | str):
     return w.orderBy(*order) if order else w
 
 
-def full(value: Column, counted: Column, d: int) -> Column:
-    """``value`` where the window of ``d`` rows has no gap in ``counted``, else NULL."""
-    return F.when(F.count(counted).over(over_time(d)) == d, value)
-
-
 def divide(a: Column, b: Column) -> Column:
     """a / b, NULL for b = 0."""
     return F.try_divide(a, b)
@@ -45,10 +40,6 @@ def day(x: Column | str = "date") -> Column:
     return F.col(x).cast("string") if isinstance(x, str) else x.cast("string")
 
 
-def covariance(x: Column, y: Column) -> Column:
-    return F.avg(x * y) - F.avg(x) * F.avg(y)
-
-
 def first_rank(score: str, *within: str, descending: bool = False) -> Column:
     """Ordinal rank from 1; ties by instrument."""
     by = F.col(score).desc() if descending else F.col(score)
@@ -58,3 +49,19 @@ def first_rank(score: str, *within: str, descending: bool = False) -> Column:
 def average_rank(score: str, *within: str) -> Column:
     """Rank with ties at their mean."""
     return F.rank().over(Window.partitionBy(*within).orderBy(score)) + (F.count(F.lit(1)).over(Window.partitionBy(*within, score)) - 1) / 2
+
+
+def finished(small: DataFrame, *kept: DataFrame) -> DataFrame:
+    """``small`` (a summary of a few rows) worked out now, so that what was persisted for it is released."""
+    rows, schema = small.collect(), small.schema
+    for df in kept:
+        df.unpersist()
+    return small.sparkSession.createDataFrame(rows, schema)
+
+
+def unique_by(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with at most one row per ``keys``: a repeated key is an error when the rows are read."""
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"), *(F.first(c).alias(c) for c in rest))
+    checked = F.when(F.col("n_") > 1, F.raise_error(F.concat_ws(" ", F.lit("repeated key"), *(F.col(k).cast("string") for k in keys))).cast("long")).otherwise(F.col("n_"))
+    return one.withColumn("n_", checked).where("n_ = 1").select(*df.columns)

@@ -19,6 +19,22 @@ def limit_shares(preds: DataFrame, flags: DataFrame) -> DataFrame:
     share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double"))
     return both.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), share("lim_up_t1").alias("up_t1"), share("lim_dn_t2").alias("dn_t2"), share("lim_up_t2").alias("up_t2"), share("oneword_t1").alias("oneword"))
 
+def gated_spreads(preds: DataFrame, flags: DataFrame) -> DataFrame:
+    """One row in bps: top decile, bottom decile as it is, without entries that a limit forbids, and without failed exits
+    as well (which overstates it), with the spreads and what each filter changes.
+
+    A short is opened at t + 1 unless the price is limit-down then (can_sell), and closed at t + 2 unless limit-up.
+    """
+    both = with_decile(preds).where(F.col("decile").isin(0, 9)).join(flags, ["instrument", "date"], "left")
+    opened, closed = F.coalesce("short_open", F.lit(False)), F.coalesce("short_close", F.lit(False))
+    low = F.col("decile") == 0
+    legs = {"top": ~low, "raw": low, "entry": low & opened, "exits": low & opened & closed}
+    day = both.groupBy("date").agg(*(F.avg(F.when(c, F.col("label_raw"))).alias(k) for k, c in legs.items()))
+    mean = day.agg(*((F.avg(k) * 1e4).alias(k) for k in legs))
+    spread = {f"spread_{k}": F.col("top") - F.col(k) for k in ("raw", "entry", "exits")}
+    return mean.withColumns(spread).withColumn("entry_cost", F.col("spread_entry") - F.col("spread_raw"))
+
+
 def exposure(both: DataFrame) -> DataFrame:
     """(date, n, beta, r2, spearman) of pred on factor for days of at least 20 names where both vary."""
     z = standard(standard(both, "pred", "pz"), "factor", "fz").withColumns({"rp": average_rank("pred", "date"), "rf": average_rank("factor", "date")})
@@ -31,6 +47,28 @@ def earlier_beta(daily: DataFrame) -> DataFrame:
     w = Window.partitionBy(F.lit(0)).orderBy("year").rowsBetween(Window.unboundedPreceding, -1)  # one row per year
     return year.select("year", (F.sum("s").over(w) / F.sum("n").over(w)).alias("beta"))
 
+def yearly_exposure(daily: DataFrame) -> DataFrame:
+    """(year, days, beta, r2, spearman): means of the daily exposure by year."""
+    return daily.groupBy(F.year("date").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("days"), F.avg("beta").alias("beta"), F.avg("r2").alias("r2"), F.avg("spearman").alias("spearman"))
+
+
+def reversal_variants(both: DataFrame, daily: DataFrame) -> DataFrame:
+    """(kind, rows of ``both`` with another pred) side by side, on years that have an earlier one: the score's z (raw),
+    without the factor by the beta of earlier years (nested) and by that of all years (leaky, an upper bound only), and
+    the factor alone (factor)."""
+    z = standard(standard(both, "pred", "pz"), "factor", "fz").withColumn("year", F.year("date").cast("long"))
+    z = z.join(F.broadcast(earlier_beta(daily).where("beta IS NOT NULL")), "year").crossJoin(F.broadcast(daily.agg(F.avg("beta").alias("all_"))))  # a row per year, one row
+    kinds = {"raw": F.col("pz"), "nested": F.col("pz") - F.col("beta") * F.col("fz"), "leaky": F.col("pz") - F.col("all_") * F.col("fz"), "factor": F.col("fz")}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("pred")) for k, v in kinds.items())))
+    return z.withColumn("k_", each).drop("pred", "pz", "fz", "beta", "all_", "year").select("*", "k_.*").drop("k_")
+
+
+def dropped_years(both: DataFrame, daily: DataFrame) -> DataFrame:
+    """Years of ``both`` that no earlier year gives a beta for."""
+    have = earlier_beta(daily).where("beta IS NOT NULL").select("year")
+    return both.select(F.year("date").cast("long").alias("year")).distinct().exceptAll(have)
+
+
 def orthogonal(both: DataFrame, betas: DataFrame) -> DataFrame:
     """``both`` with pred replaced by pred_z - beta of earlier years * factor_z; rows of years without one go."""
     z = standard(standard(both, "pred", "pz"), "factor", "fz").withColumn("year", F.year("date").cast("long"))
@@ -41,6 +79,27 @@ def aligned(pool: dict[str, DataFrame], value: str = "pred") -> DataFrame:
     parts = [df.select("date", "instrument", F.col(value).alias(m)) for m, df in pool.items()]
     return reduce(lambda a, b: a.join(b, ["date", "instrument"]), parts)
 
+def pool_rows(pool: DataFrame, members: list[str]) -> DataFrame:
+    """One row: keys that any member has, keys that all have, and their share. ``pool``: date, instrument, members."""
+    some = F.coalesce(*(F.col(m) for m in members)).isNotNull()
+    every = F.lit(True)
+    for m in members:
+        every = every & F.col(m).isNotNull()
+    return pool.agg(F.count_if(some).alias("n_union"), F.count_if(every).alias("n_common")).withColumn("share", F.col("n_common") / F.col("n_union"))
+
+
+def off_diagonal(pairs: DataFrame) -> DataFrame:
+    """One row: number, mean, least and largest of the correlations of different members."""
+    return pairs.where("a <> b").agg(F.count("rho").alias("pairs"), F.avg("rho").alias("mean"), F.min("rho").alias("low"), F.max("rho").alias("high"))
+
+
+def checked_pair(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(date, instrument, a, b): rows that both models have; an error if either has one that the other lacks."""
+    both = one.select("date", "instrument", F.col("pred").alias("a"), F.lit(1).alias("l_")).join(two.select("date", "instrument", F.col("pred").alias("b"), F.lit(1).alias("r_")), ["date", "instrument"], "full")
+    alone = F.col("l_").isNull() | F.col("r_").isNull()
+    return both.withColumn("a", F.when(alone, F.raise_error(F.lit("the models' rows differ")).cast("double")).otherwise(F.col("a"))).drop("l_", "r_")
+
+
 def pool_correlation(wide: DataFrame, members: list[str]) -> DataFrame:
     """(a, b, days, rho) for all pairs: mean over days (of at least 20 names) of the rank correlation.
 
@@ -52,5 +111,3 @@ def pool_correlation(wide: DataFrame, members: list[str]) -> DataFrame:
     day = ranked.groupBy("date").agg(*(pearson(f"r_{a}", f"r_{b}").alias(f"{a}|{b}") for a, b in pairs))
     long = day.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("x")) for a, b in pairs))).alias("p")).select("p.*")
     return long.groupBy("a", "b").agg(F.count("x").alias("days"), F.avg("x").alias("rho"))
-
-__all__ = ["EPS", "aligned", "earlier_beta", "exposure", "limit_shares", "orthogonal", "pool_correlation"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import divide, over_time
+from ..functions import divide, over_time, unique_by
 from .normalize import robust_z
 
 CAP = 0.8
@@ -20,6 +20,51 @@ def with_flags(bars: DataFrame) -> DataFrame:
     return df.withColumn("can_buy", F.coalesce(F.col("pct_change") < F.col("limit"), F.lit(False))).withColumn("can_sell", F.coalesce(F.col("pct_change") > -F.col("limit"), F.lit(False)))
 
 
+#: Boards by the first characters of a code, their daily limits in per cent, and the day from which the growth board has
+#: the wider one (fixed values).
+BOARDS = {"star": ("688", "689"), "growth": ("300", "301")}
+LIMITS = {"special": 4.8, "wide": 19.8, "main": 9.8}
+GROWTH_FROM = "2020-08-24"
+
+
+def board_of(code: Column) -> Column:
+    head = F.substring(code, 1, 3)
+    return F.when(head.isin(*BOARDS["star"]), "star").when(head.isin(*BOARDS["growth"]), "growth").otherwise("main")
+
+
+def limit_of(board: Column, date: Column, special: Column, growth_from: str = GROWTH_FROM) -> Column:
+    """The limit of a row: special treatment first, then the board, the growth board from ``growth_from`` on."""
+    wide = (board == "star") | ((board == "growth") & (date >= F.lit(growth_from).cast("date")))
+    return F.when(F.coalesce(special, F.lit(False)), LIMITS["special"]).when(wide, LIMITS["wide"]).otherwise(LIMITS["main"])
+
+
+def tradable(change: Column, limit: Column) -> tuple[Column, Column]:
+    """(can_buy, can_sell); a missing change is neither."""
+    return F.coalesce(change < limit, F.lit(False)), F.coalesce(change > -limit, F.lit(False))
+
+
+def with_external_label(panel: DataFrame, external: DataFrame, columns: tuple[str, ...] = ("label", "label_raw")) -> DataFrame:
+    """``panel`` with its labels replaced by those of ``external`` (instrument, date, columns), rows without one gone.
+
+    The old labels go first and the filter comes last: rows that only the other label has must not be lost.
+    """
+    new = unique_by(external.select("instrument", "date", *columns), "instrument", "date")
+    return panel.drop(*columns).join(new, ["instrument", "date"], "left").where(F.col(columns[-1]).isNotNull())
+
+
+def with_joined_flags(panel: DataFrame, flags: DataFrame) -> DataFrame:
+    """``panel`` with can_buy and can_sell of ``flags`` (one row per instrument and date); rows without one can neither."""
+    own = unique_by(flags.select("instrument", "date", "can_buy", "can_sell"), "instrument", "date")
+    out = panel.drop("can_buy", "can_sell").join(own, ["instrument", "date"], "left")
+    return out.fillna(False, subset=["can_buy", "can_sell"])
+
+
+def coverage(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+    """(n, covered): rows of ``left``, and the share of them that ``right`` has ``column`` for."""
+    have = left.select("instrument", "date").join(right.select("instrument", "date", F.col(column).alias("x_")), ["instrument", "date"], "left")
+    return have.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("x_").isNotNull().cast("double")).alias("covered"))
+
+
 def price(kind: str) -> Column:
     """close, hlc3 (adjusted) or vwap (amount per volume, adjusted)."""
     return {"close": F.col("close"), "hlc3": F.col("vwap"), "vwap": divide(F.col("amount"), F.col("volume")) * F.col("factor")}[kind]

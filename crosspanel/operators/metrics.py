@@ -29,9 +29,25 @@ def ic_summary(daily: DataFrame, keys: tuple[str, ...] = (), column: str = "rank
     return agg.withColumn("icir", F.try_divide("mean", "sd")).withColumn("t", F.col("icir") * F.sqrt("days"))
 
 
-def apply_cap(preds: DataFrame, cap: float) -> DataFrame:
-    """Rows of at most ``cap`` absolute return; 0 or less keeps all."""
-    return preds.where(F.abs("label_raw") <= cap) if cap > 0 else preds
+#: The cap of each market where none is asked for.
+CAPS = {"us": 0.8, "cn": 0.0}
+
+
+def market_of(name: str) -> str:
+    """The market that a file's name tells: cn if it has _cn, else us."""
+    return "cn" if "_cn" in name.rsplit("/", 1)[-1] else "us"
+
+
+def apply_cap(preds: DataFrame, market: str = "us", cap: float | None = None) -> DataFrame:
+    """Rows of at most ``cap`` absolute return (the market's where None); 0 or less keeps all."""
+    most = CAPS[market] if cap is None else cap
+    return preds.where(F.abs("label_raw") <= most) if most > 0 else preds
+
+
+def decile_table(preds: DataFrame, n: int = 10) -> DataFrame:
+    """(date, d0 ... d9): each day's mean return by decile; a decile without rows is NULL and keeps its column."""
+    daily = with_decile(preds, n).groupBy("date").pivot("decile", list(range(n))).agg(F.avg("label_raw"))
+    return daily.select("date", *(F.col(str(k)).alias(f"d{k}") for k in range(n)))
 
 
 def with_decile(preds: DataFrame, n: int = 10, keys: tuple[str, ...] = ("date",)) -> DataFrame:

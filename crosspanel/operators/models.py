@@ -1,9 +1,13 @@
-"""Walk-forward folds, ridge regression from distributed normal equations, and epoch rules over validation curves."""
+"""Walk-forward folds, linear models from distributed sums of products, and rules over validation curves."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ALPHAS = tuple(10.0**k for k in range(10))
@@ -25,94 +29,229 @@ def folds(dates: DataFrame, val_days: int = 120, embargo: int = 2, min_history_y
     return ok.select("test_year", "fit_end", "val_start", "val_end", "test_start", "test_end", "n_fit", "n_val", "n_test")
 
 
-def moments(rows: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Count, means and deviations (below 1e-12: 1) per column."""
-    sd = lambda c: F.when(F.stddev_pop(c) < 1e-12, 1.0).otherwise(F.stddev_pop(c))
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in columns), *(sd(c).alias(f"sd_{c}") for c in columns))
-
+def gram(rows: DataFrame, columns: list[str], target: str, key: str) -> DataFrame:
+    """(key, i, sums): for the numbers 1, columns and target of each row, the sums of products of the i-th with all; per
+    value of ``key``.
 
-def normal_equations(rows: DataFrame, columns: list[str], target: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, i, j, value): all sums of products of columns and target, each combined map-side in one grouping."""
+    Each batch of rows is one product of matrices in its task, a partition sends one square per key, and these are
+    added up. Missing columns count as 0; rows without a target take no part.
+    """
     names = [*columns, target]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    one = rows.groupBy(*keys).agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in pairs))
-    each = F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"`{a}|{b}`").alias("value")) for a, b in pairs))
-    return one.select(*keys, F.explode(each).alias("p")).select(*keys, "p.*")
-
-
-def ridge_path(sums: list, columns: list[str], target: str, alphas: tuple[float, ...] = ALPHAS) -> dict[float, np.ndarray]:
-    """Weights per alpha from collected normal equations (a square of the number of columns, whatever the rows);
-    a singular system is solved by least squares."""
-    at = {n: i for i, n in enumerate(columns)}
-    gram, right = np.zeros((len(columns),) * 2), np.zeros(len(columns))
-    for a, b, value in sums:
-        if b == target and a in at:
-            right[at[a]] = value
-        elif b in at:
-            gram[at[a], at[b]] = gram[at[b], at[a]] = value
-    out = {}
-    for alpha in alphas:
-        m = gram + alpha * np.eye(len(columns))
-        try:
-            out[alpha] = np.linalg.solve(m, right)
-        except np.linalg.LinAlgError:
-            out[alpha] = np.linalg.lstsq(m, right, rcond=None)[0]
-    return out
+    size = len(names) + 1
 
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            z = np.column_stack([np.ones(batch.num_rows), *(np.nan_to_num(batch.column(i + 1).to_numpy(zero_copy_only=False).astype(float)) for i in range(len(names)))])
+            for k in np.unique(own).tolist():
+                part = z[own == k]
+                found[k] = found.get(k, 0.0) + part.T @ part
+        for k, g in found.items():
+            yield pa.record_batch([pa.array([k] * size, pa.int64()), pa.array(range(size), pa.int32()), pa.array(g.tolist())], ["key", "i", "sums"])
 
-def linear(columns: list[str], weights: np.ndarray) -> Column:
-    """The dot product as a column expression."""
-    out = F.lit(0.0)
-    for c, w in zip(columns, weights, strict=True):
-        out = out + F.coalesce(F.col(c), F.lit(0.0)) * float(w)
-    return out
+    each = rows.where(F.col(target).isNotNull()).select(F.col(key).cast("long").alias("key"), *names).mapInArrow(products, "key long, i int, sums array<double>")
+    add = lambda s, x: F.zip_with(s, x, lambda u, v: u + v)
+    return each.groupBy("key", "i").agg(F.collect_list("sums").alias("all")).select(F.col("key").alias(key), "i", F.aggregate("all", F.array_repeat(F.lit(0.0), size), add).alias("sums"))
 
 
-def ridge_walk(rows: DataFrame, columns: list[str], target: str, fold_rows: list, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
-    """(test_year, alpha, date, instrument, pred, label_raw) of every fold: fitted on its fit days, alpha chosen by mean
-    daily rank correlation on its validation days, predicted once on its test days.
+def squares(sums: DataFrame, key: str) -> dict[int, np.ndarray]:
+    """The collected squares of ``gram`` per key: their size depends on the number of columns only."""
+    out: dict[int, list] = {}
+    for r in sums.orderBy(key, "i").collect():
+        out.setdefault(r[key], []).append(r["sums"])
+    return {k: np.array(v) for k, v in out.items()}
 
-    ``rows``: date, day (dense number), instrument, columns, target, label_raw. Only sums reach the driver, a fixed
-    number per fold.
-    """
-    from .metrics import daily_ic
 
-    out = None
+@dataclass
+class Moments:
+    """What a linear fit needs of a sample: means, deviations, and products of standardised columns and centred target."""
+
+    mean: np.ndarray
+    sd: np.ndarray
+    xx: np.ndarray
+    xy: np.ndarray
+    n: float
+
+    @staticmethod
+    def of(square: np.ndarray) -> Moments:
+        """From sums: deviations under 1e-12 count as 1."""
+        n, inner = square[0, 0], slice(1, -1)
+        mean, target = square[0, inner] / n, square[0, -1] / n
+        sd = np.sqrt(np.maximum(np.diag(square)[inner] / n - mean**2, 0.0))
+        sd[sd < 1e-12] = 1.0
+        xx = (square[inner, inner] - n * np.outer(mean, mean)) / np.outer(sd, sd)
+        return Moments(mean, sd, xx, (square[inner, -1] - n * mean * target) / sd, n)
+
+
+def ridge_weights(m: Moments, alphas: tuple[float, ...] = ALPHAS) -> np.ndarray:
+    """(columns, alphas): one spectral decomposition serves all alphas; directions without spread get no weight."""
+    value, basis = np.linalg.eigh(m.xx)
+    along = basis.T @ m.xy
+    shrunk = np.maximum(value, 0.0)[:, None] + np.asarray(alphas)
+    least = shrunk.max(0) * np.finfo(float).eps * len(value)
+    return basis @ np.where(shrunk > least, along[:, None] / np.where(shrunk > least, shrunk, 1.0), 0.0)
+
+
+def elastic_weights(m: Moments, alpha: float, share: float, rounds: int = 1000, tolerance: float = 1e-8) -> np.ndarray:
+    """Weights that minimise |y - Xw|^2 / 2n + alpha * (share * |w|_1 + (1 - share) / 2 * |w|^2), by coordinate descent on
+    the products alone: the rows are not needed again."""
+    w, pull = np.zeros(len(m.xy)), m.xy / m.n
+    cov = m.xx / m.n
+    for _ in range(rounds):
+        change = 0.0
+        for j in range(len(w)):
+            left = pull[j] - cov[j] @ w + cov[j, j] * w[j]
+            new = np.sign(left) * max(abs(left) - alpha * share, 0.0) / (cov[j, j] + alpha * (1 - share) or 1.0)
+            change, w[j] = max(change, abs(new - w[j])), new
+        if change < tolerance:
+            break
+    return w
+
+
+def with_segment(rows: DataFrame, fold_rows: list) -> DataFrame:
+    """``rows`` (day) with segment: how many folds end their fit before the row's day. The rows of fold k's fit are those
+    of segments 0 to k, as fits only grow."""
+    out = F.lit(0).cast("long")
     for f in fold_rows:
-        fit = rows.where(F.col("day") <= f["fit_end"])
-        path = ridge_path([(r["i"], r["j"], r["value"]) for r in normal_equations(fit, columns, target).collect()], columns, target, alphas)
-        val = rows.where(F.col("day").between(f["val_start"], f["val_end"]))
-        each = val.withColumn("c_", F.explode(F.array(*(F.struct(F.lit(a).alias("alpha"), linear(columns, w).alias("pred")) for a, w in path.items())))).select("date", "instrument", "label_raw", "c_.*")
-        score = daily_ic(each, ("alpha", "date")).groupBy("alpha").agg(F.avg("rank_ic").alias("s")).orderBy(F.col("s").desc(), "alpha").first()
-        best = score["alpha"] if score else alphas[0]
-        test = rows.where(F.col("day").between(f["test_start"], f["test_end"])).select(F.lit(f["test_year"]).cast("long").alias("test_year"), F.lit(float(best)).alias("alpha"), "date", "instrument", linear(columns, path[best]).alias("pred"), "label_raw")
-        out = test if out is None else out.unionByName(test)
-    return out
+        out = out + (F.col("day") > f["fit_end"]).cast("long")
+    return rows.withColumn("segment", out)
 
 
-def epoch_rules(curve: DataFrame, tops: tuple[int, ...] = (3, 5)) -> DataFrame:
-    """(fold, rule, epoch): what each rule chooses from (fold, epoch, val).
+def linear_walk(rows: DataFrame, columns: list[str], target: str, fold_rows: list, weigh=ridge_weights, choices: tuple = ALPHAS) -> DataFrame:
+    """(test_year, choice, date, instrument, pred, label_raw) of every fold: fitted on its fit days, the choice (an alpha)
+    made by mean daily rank correlation on its validation days, predicted on its test days.
 
-    argmax takes the first maximum; plateau the middle epoch of those within z noise levels of it, the noise being the
-    deviation of first differences over sqrt(2); top-k the mean epoch of the k best, weighted by value over the worst.
+    ``rows``: date, day (dense number), instrument, columns, target, label_raw; read twice: once for the sums of all
+    folds, once for the predictions of all choices. ``weigh`` gives (columns, choices) from ``Moments``. Only sums
+    reach the driver. Columns are standardised by the fit's own moments, the target is centred.
     """
+    from .metrics import daily_ic
+
+    fold_rows = sorted(fold_rows, key=lambda f: f["fit_end"])
+    by_segment = squares(gram(with_segment(rows, fold_rows), columns, target, "segment"), "segment")
+    size, total, nets = len(columns) + 2, 0.0, []
+    for k, f in enumerate(fold_rows):
+        total = total + by_segment.get(k, np.zeros((size, size)))
+        m = Moments.of(total)
+        w = weigh(m, choices) / m.sd[:, None]
+        nets.append((int(f["test_year"]), f["val_start"], f["val_end"], f["test_start"], f["test_end"], w, m.mean @ w))
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            day = batch.column(0).to_numpy(zero_copy_only=False)
+            x = np.column_stack([np.nan_to_num(batch.column(4 + i).to_numpy(zero_copy_only=False).astype(float)) for i in range(len(columns))])
+            for year, val_start, val_end, test_start, test_end, w, shift in nets:
+                for part, low, high in (("val", val_start, val_end), ("test", test_start, test_end)):
+                    at = np.flatnonzero((day >= low) & (day <= high))
+                    if len(at):
+                        preds = x[at] @ w - shift
+                        own = batch.select([1, 2, 3]).take(pa.array(at))
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, preds.size + 1, preds.shape[1]), pa.int32()), pa.array(preds.ravel()))
+                        yield pa.record_batch([pa.array([year] * len(at), pa.int64()), pa.array([part] * len(at)), *own.columns, lists], ["test_year", "part", "date", "instrument", "label_raw", "preds"])
+
+    schema = "test_year long, part string, date date, instrument string, label_raw double, preds array<double>"
+    each = rows.select("day", "date", "instrument", "label_raw", *columns).mapInArrow(predict, schema)
+    one = each.select("test_year", "part", "date", "instrument", "label_raw", F.posexplode("preds").alias("c", "pred"))
+    score = daily_ic(one.where("part = 'val'"), ("test_year", "c", "date")).groupBy("test_year", "c").agg(F.avg("rank_ic").alias("s"))
+    first = Window.partitionBy("test_year").orderBy(F.col("s").desc_nulls_last(), "c")
+    best = score.withColumn("k", F.row_number().over(first)).where("k = 1").select("test_year", F.col("c").alias("b"))  # one row per fold
+    choice = F.element_at(F.array(*(F.lit(float(c)) for c in choices)), F.col("b") + 1)
+    test = each.where("part = 'test'").join(F.broadcast(best), "test_year")
+    return test.select("test_year", choice.alias("choice"), "date", "instrument", F.element_at("preds", F.col("b") + 1).alias("pred"), "label_raw")
+
+
+def with_noise(curve: DataFrame) -> DataFrame:
+    """``curve`` (fold, epoch, val) with points, sigma and top per fold: the noise is the deviation of first differences
+    over sqrt(2), of under three points that of the values, of one 0."""
     own, order = Window.partitionBy("fold"), Window.partitionBy("fold").orderBy("epoch")
-    df = curve.withColumn("diff", F.col("val") - F.lag("val").over(order)).withColumn("sigma", F.stddev_samp("diff").over(own) / 2**0.5).withColumn("top", F.max("val").over(own)).withColumn("low", F.min("val").over(own))
-    df = df.withColumn("k", F.row_number().over(own.orderBy(F.col("val").desc(), "epoch")))
-    rules = [df.groupBy("fold").agg(F.min_by("epoch", "k").cast("double").alias("epoch")).select("fold", F.lit("argmax").alias("rule"), "epoch")]
-    for z in (0.5, 1.0, 2.0):
-        near = df.where(F.col("val") >= F.col("top") - z * F.coalesce("sigma", F.lit(0.0)))
-        rules.append(near.groupBy("fold").agg(F.percentile("epoch", F.lit(0.5)).alias("epoch")).select("fold", F.lit(f"plateau_{z:g}").alias("rule"), "epoch"))
-    for k in tops:
-        best = df.where(F.col("k") <= k).withColumn("w", F.col("val") - F.col("low") + 1e-9)
-        rules.append(best.groupBy("fold").agg((F.sum(F.col("w") * F.col("epoch")) / F.sum("w")).alias("epoch")).select("fold", F.lit(f"top_{k}").alias("rule"), "epoch"))
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
+    df = curve.withColumn("diff_", F.col("val") - F.lag("val").over(order)).withColumn("points", F.count(F.lit(1)).over(own))
+    sigma = F.when(F.col("points") < 3, F.stddev_pop("val").over(own)).otherwise(F.stddev_samp("diff_").over(own) / 2**0.5)
+    return df.withColumn("sigma", sigma).withColumn("top", F.max("val").over(own)).drop("diff_")
+
+
+def epoch_rules(curve: DataFrame, ks: tuple[int, ...] = (3, 5, 10), zs: tuple[float, ...] = (0.5, 1.0, 2.0)) -> DataFrame:
+    """(fold, rule, mode, epochs): the epochs that each rule chooses from (fold, epoch, val), epochs from 1 without gaps.
+
+    argmax is the first maximum; plateau_med_z the middle of the epochs within z noise levels of the maximum (between
+    two, the lower integer); wavg_best_k the k epochs up to the first maximum, wavg_run_k the last k, wavg_top_k the k
+    best, the earlier of equals. mode says whether one epoch is used or the mean of the weights of all.
+    """
+    own = Window.partitionBy("fold")
+    df = with_noise(curve).withColumn("place", F.row_number().over(own.orderBy(F.col("val").desc(), "epoch")))
+    df = df.withColumn("best", F.min(F.when(F.col("place") == 1, F.col("epoch"))).over(own)).withColumn("last", F.max("epoch").over(own))
+    e = F.col("epoch")
+    chosen = {"argmax": e == F.col("best")}
+    for k in ks:
+        chosen |= {f"wavg_best_k{k}": (e <= F.col("best")) & (e > F.col("best") - k), f"wavg_run_k{k}": e > F.col("last") - k, f"wavg_top_k{k}": F.col("place") <= k}
+    within = {f"plateau_med_z{z:g}": F.col("val") >= F.col("top") - z * F.col("sigma") for z in zs}
+    sets = [F.array_sort(F.collect_list(F.when(c, e))).alias(n) for n, c in chosen.items()]
+    middles = [F.array(F.floor(F.percentile(F.when(c, e), F.lit(0.5)))).alias(n) for n, c in within.items()]
+    fold = df.groupBy("fold").agg(*sets, *middles)
+    rules = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit("wavg" if n.startswith("wavg") else "single").alias("mode"), F.col(f"`{n}`").alias("epochs")) for n in [*chosen, *within]))
+    return fold.select("fold", F.explode(rules).alias("r")).select("fold", "r.*")
+
+
+def curve_shape(curve: DataFrame) -> DataFrame:
+    """(fold, points, argmax, sigma, top, middle, peak_z): how far a curve's maximum stands out of its noise."""
+    df = with_noise(curve).groupBy("fold").agg(F.first("points").alias("points"), F.min_by("epoch", F.struct(-F.col("val"), "epoch")).alias("argmax"), F.first("sigma").alias("sigma"), F.first("top").alias("top"), F.median("val").alias("middle"))
+    return df.withColumn("peak_z", F.when(F.col("sigma") > 0, (F.col("top") - F.col("middle")) / F.col("sigma")))
+
+
+def smoothed_stop(curve: DataFrame, patience: int = 3, least: float = 1e-5) -> DataFrame:
+    """(fold, epoch, val, sma, best, stopped): mean of the latest three values, its best so far, and whether training
+    would have stopped by then: ``patience`` epochs in a row without a value above the best before by ``least``."""
+    order = Window.partitionBy("fold").orderBy("epoch")
+    df = curve.withColumn("sma", F.avg("val").over(order.rowsBetween(-2, 0)))
+    # the best before an epoch only moves by more than ``least``: the recursion runs over one fold's few epochs
+    step = lambda s, x: F.when(x["sma"] > s["best"] + least, F.struct(x["sma"].alias("best"), F.lit(0).alias("bad"), s["at"].alias("at"))).otherwise(F.struct(s["best"].alias("best"), (s["bad"] + 1).alias("bad"), F.when(s["at"].isNull() & (s["bad"] + 1 >= patience), x["epoch"]).otherwise(s["at"]).alias("at")))
+    start = F.struct(F.lit(float("-inf")).alias("best"), F.lit(0).alias("bad"), F.lit(None).cast("long").alias("at"))
+    stop = df.groupBy("fold").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("epoch", "sma"))), start, step)["at"].alias("stop"))
+    return df.join(stop, "fold").select("fold", "epoch", "val", "sma", F.max("sma").over(order).alias("best"), F.coalesce(F.col("epoch") >= F.col("stop"), F.lit(False)).alias("stopped"))
+
+
+def seed_spread(scores: DataFrame) -> DataFrame:
+    """(model, seeds, mean, seed_sd, fold_sd): over (model, seed, fold, x) the deviation of the seeds' means, and the
+    deviation between seeds within a fold, pooled over folds."""
+    seed = scores.groupBy("model", "seed").agg(F.avg("x").alias("m")).groupBy("model").agg(F.count(F.lit(1)).alias("seeds"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("seed_sd"))
+    within = scores.groupBy("model", "fold").agg(F.var_samp("x").alias("v")).groupBy("model").agg(F.sqrt(F.avg("v")).alias("fold_sd"))
+    return seed.join(within, "model")
+
+
+def model_difference(spread: DataFrame, one: str, two: str) -> DataFrame:
+    """One row: difference of the means of two models of ``seed_spread`` in units of its standard error."""
+    a, b = (spread.where(F.col("model") == m).select(*(F.col(c).alias(f"{c}_{k}") for c in ("mean", "seed_sd", "seeds"))) for k, m in enumerate((one, two)))
+    se = F.sqrt(F.col("seed_sd_0") ** 2 / F.col("seeds_0") + F.col("seed_sd_1") ** 2 / F.col("seeds_1"))
+    return a.crossJoin(b).select((F.col("mean_0") - F.col("mean_1")).alias("difference"), se.alias("se"), F.try_divide(F.col("mean_0") - F.col("mean_1"), se).alias("z"))  # one row each
+
+
+def segment_losses(preds: DataFrame, fold_rows: list) -> DataFrame:
+    """(segment, days, soft_ic, mse): mean over days of the plain correlation of pred and label, and of the mean squared
+    difference of pred and label, per fit, validation and test segment of the first fold."""
+    f = fold_rows[0]
+    part = F.when(F.col("day") <= f["fit_end"], "fit").when(F.col("day").between(f["val_start"], f["val_end"]), "val").when(F.col("day").between(f["test_start"], f["test_end"]), "test")
+    from .metrics import pearson
+
+    day = preds.withColumn("segment", part).where("segment IS NOT NULL AND pred IS NOT NULL AND label IS NOT NULL").groupBy("segment", "date").agg(pearson("pred", "label").alias("ic"), F.avg((F.col("pred") - F.col("label")) ** 2).alias("mse"))
+    return day.groupBy("segment").agg(F.count(F.lit(1)).alias("days"), F.avg("ic").alias("soft_ic"), F.avg("mse").alias("mse"))
+
+
+#: Parameters of the boosted trees; ``overridden`` replaces some by name.
+BOOSTED = {"trees": 50, "depth": 4, "seed": 0}
+
+
+def overridden(known: dict, given: list[str]) -> dict:
+    """``known`` with the values of ``given`` ("name=value"), each of the kind that it replaces; other names are errors."""
+    out = dict(known)
+    for pair in given:
+        name, _, value = pair.partition("=")
+        if name not in known:
+            raise KeyError(f"no parameter {name}; known are {', '.join(known)}")
+        out[name] = type(known[name])(value)
     return out
 
 
-def boosted_walk(rows: DataFrame, columns: list[str], target: str, fold_rows: list, trees: int = 50, depth: int = 4, seed: int = 0) -> DataFrame:
+def boosted_walk(rows: DataFrame, columns: list[str], target: str, fold_rows: list, trees: int = BOOSTED["trees"], depth: int = BOOSTED["depth"], seed: int = BOOSTED["seed"]) -> DataFrame:
     """(test_year, date, instrument, pred, label_raw) of gradient-boosted trees, one model per fold.
 
     Spark ML grows the trees on the executors; it stops early on the squared error of the validation days, not on their

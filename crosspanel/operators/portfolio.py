@@ -5,30 +5,52 @@ Every function takes ``keys``: columns such as a variant or a permutation that a
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import divide, first_rank
 
 COSTS = (0, 5, 10, 20)
+#: The grids that are searched: spans and exit bands of the long-short and of the long-only portfolios.
+SPANS, EXITS = (1, 2, 3, 5, 10, 20), (0.1, 0.2, 0.3, 0.4)
+LONG_SPANS, LONG_EXITS = (1, 3, 5, 10), (0.1, 0.2, 0.3)
 DAYS = 252
 
 
-def ema(preds: DataFrame, span: int, column: str = "pred") -> DataFrame:
-    """Exponential mean of each instrument's stored rows (alpha = 2 / (span + 1), first value as it is).
-
-    The recursion runs over one instrument's own history in an array, so a group is as long as its calendar.
-    """
-    if span <= 1:
-        return preds
+def _smooth(x: np.ndarray, span: int, block: int = 128) -> np.ndarray:
+    """y[0] = x[0], y[t] = a x[t] + (1 - a) y[t - 1], in blocks: each is one product with the recursion's powers."""
+    if span <= 1 or not len(x):
+        return x
     a = 2.0 / (span + 1)
-    rest = [c for c in preds.columns if c != "instrument"]
-    rows = preds.groupBy("instrument").agg(F.array_sort(F.collect_list(F.struct("date", *(c for c in rest if c != "date")))).alias("r"))
-    step = lambda s, x: F.struct(F.when(s["n"] == 0, x[column]).otherwise(a * x[column] + (1 - a) * s["y"]).alias("y"), (s["n"] + 1).alias("n"), F.concat(s["all"], F.array(F.when(s["n"] == 0, x[column]).otherwise(a * x[column] + (1 - a) * s["y"]))).alias("all"))
-    start = F.struct(F.lit(0.0).alias("y"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("all"))
-    both = rows.withColumn("y", F.aggregate("r", start, step, lambda s: s["all"]))
-    out = both.select("instrument", F.posexplode(F.arrays_zip("r", "y")).alias("i_", "z"))
-    return out.select("instrument", *(F.col("z.y").alias(column) if c == column else F.col(f"z.r.{c}").alias(c) for c in rest))
+    lag = np.arange(block)[:, None] - np.arange(block)
+    weight = np.where(lag >= 0, a * (1 - a) ** np.maximum(lag, 0), 0.0)
+    out, before = np.empty(len(x)), x[0]
+    for at in range(0, len(x), block):
+        n = min(block, len(x) - at)
+        out[at : at + n] = weight[:n, :n] @ x[at : at + n] + before * (1 - a) ** np.arange(1, n + 1)
+        before = out[at + n - 1]
+    return out
+
+
+def smoothed(preds: DataFrame, spans: tuple[int, ...], column: str = "pred") -> DataFrame:
+    """``preds`` once per span, with the column span: exponential means of each instrument's stored rows (alpha =
+    2 / (span + 1), first value as it is). One grouping by instrument serves all spans."""
+
+    def per(table: pa.Table) -> pa.Table:
+        table = table.sort_by("date")
+        x, at = table[column].to_numpy().astype(float), table.schema.get_field_index(column)
+        each = [table.set_column(at, table.schema.field(at), pa.array(_smooth(x, s))).append_column("span", pa.array(np.full(len(x), s))) for s in spans]
+        return pa.concat_tables(each)
+
+    return preds.groupBy("instrument").applyInArrow(per, T.StructType([*preds.schema.fields, T.StructField("span", T.LongType())]))
+
+
+def ema(preds: DataFrame, span: int, column: str = "pred") -> DataFrame:
+    """The exponential mean of one span; see ``smoothed``."""
+    return preds if span <= 1 else smoothed(preds, (span,), column).drop("span")
 
 
 def dense_days(preds: DataFrame, least: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -95,10 +117,15 @@ def deciles_held(ranked: DataFrame, n: int = 10) -> DataFrame:
     return df.select("date", "day_idx", "instrument", F.when(F.col("decile") == n - 1, "long").otherwise("short").alias("side"), "label_raw")
 
 
-def variants(preds: DataFrame, spans: tuple[int, ...] = (1, 3, 5, 10), exits: tuple[float, ...] = (0.1, 0.2, 0.3)) -> DataFrame:
-    """Ranked rows of every smoothing and exit band side by side: the score is smoothed once per span."""
-    out = None
-    for s in spans:
-        one = dense_days(ema(preds, s)).withColumn("span", F.lit(s).cast("long"))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("q_exit", F.explode(F.array(*(F.lit(q) for q in exits))))
+def variants(preds: DataFrame, spans: tuple[int, ...] = SPANS, exits: tuple[float, ...] = EXITS) -> DataFrame:
+    """Ranked rows of every smoothing and exit band side by side; all spans have the same days and names."""
+    ranked = dense_days(smoothed(preds, spans), keys=("span",))
+    return ranked.withColumn("q_exit", F.explode(F.array(*(F.lit(q) for q in exits))))
+
+
+def with_equal_days(curve: DataFrame) -> DataFrame:
+    """``curve`` of all variants; variants with different numbers of days cannot be compared and are an error."""
+    days = curve.agg(F.min("days").alias("least_"), F.max("days").alias("most_"))
+    bad = F.raise_error(F.concat_ws(" ", F.lit("variants differ in days:"), F.col("least_").cast("string"), F.col("most_").cast("string"))).cast("long")
+    checked = F.when(F.col("least_") == F.col("most_"), F.col("days")).otherwise(bad)
+    return curve.crossJoin(F.broadcast(days)).withColumn("days", checked).drop("least_", "most_")  # one row on the right

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import panel, scores, studies
+from . import audits, panel, scores, studies
 
-QUERIES = {**panel.QUERIES, **scores.QUERIES, **studies.QUERIES}
-ORACLE_SQL = {**panel.ORACLE_SQL, **scores.ORACLE_SQL, **studies.ORACLE_SQL}
+QUERIES = {**panel.QUERIES, **scores.QUERIES, **studies.QUERIES, **audits.QUERIES}
+ORACLE_SQL = {**panel.ORACLE_SQL, **scores.ORACLE_SQL, **studies.ORACLE_SQL, **audits.ORACLE_SQL}

@@ -140,12 +140,22 @@ for _name, _args in {"label_close": ("close", "full"), "label_vwap_entry": ("vwa
     register(_name, f"WITH {BARS_SQL}, {FLAGS_SQL}, {labels_sql(*_args)} SELECT instrument, {D}, {_r(['label_raw', 'label'])} FROM lab")(_label_query(*_args))
 
 
-@register("label_verify", f"WITH {BARS_SQL} SELECT count(*) AS n_left, count(*) AS n_right, CAST(0 AS BIGINT) AS n_missing_differs, CAST(0 AS DOUBLE) AS max_difference FROM bars")
+def named_labels_sql(kind: str, gated: str, tag: str) -> str:
+    """``labels_sql`` with its tables named after ``tag``."""
+    part = labels_sql(kind, gated)
+    for name in ("rtn", "raw", "lab"):
+        part = part.replace(f"{name} AS (", f"{name}_{tag} AS (").replace(f"FROM {name})", f"FROM {name}_{tag})")
+    return part
+
+
+VERIFY = f"WITH {BARS_SQL}, {FLAGS_SQL}, {named_labels_sql('close', 'full', 'a')}, {named_labels_sql('hlc3', 'none', 'b')}, ab AS (SELECT a.label_raw AS a, b.label_raw AS b FROM lab_a a JOIN lab_b b ON a.instrument = b.instrument AND a.date = b.date)"
+
+
+@register("label_verify", f"{VERIFY} SELECT count(*) AS n_left, count(*) AS n_right, count(*) FILTER (WHERE (a IS NULL) <> (b IS NULL)) AS n_missing_differs, {R6.format('max(abs(a - b))')} AS max_difference FROM ab")
 def label_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two ways to the same label: adjusted close through the panel, and raw close times factor through renamed bars."""
-    p = panel(spark, sf_dir)
-    again = p.drop("close").withColumn("close", F.col("raw_close") * F.col("factor"))
-    one, two = lab.labels(lab.with_flags(p), "close", "full"), lab.labels(lab.with_flags(again), "close", "full")
+    """Labels of two prices and gates held against each other: where only one is missing, and how far they differ."""
+    flagged = lab.with_flags(panel(spark, sf_dir))
+    one, two = lab.labels(flagged, "close", "full"), lab.labels(flagged, "hlc3", "none")
     return lab.verify(one, two).select("n_left", "n_right", "n_missing_differs", r6(F.col("max_difference")).alias("max_difference"))
 
 
@@ -177,9 +187,9 @@ def ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.ic_summary(metrics.daily_ic(predictions(spark, sf_dir))), ["days"], SUMMARY)
 
 
-@register("period_breakdown", f"{PREDS_SQL}, {IC_SQL}, e AS (SELECT rank_ic AS x, 'Y' || year(date) AS period FROM daily WHERE rank_ic IS NOT NULL UNION ALL SELECT rank_ic, year(date) || 'Q' || quarter(date) FROM daily WHERE rank_ic IS NOT NULL), s AS (SELECT period, {SUMMARY_SQL} FROM e GROUP BY period HAVING count(x) >= 12) SELECT period, days, {_r(SUMMARY)} FROM s")
+@register("period_breakdown", f"{PREDS_SQL}, {IC_SQL}, e AS (SELECT rank_ic AS x, 'Y' || year(date) AS period FROM daily WHERE rank_ic IS NOT NULL UNION ALL SELECT rank_ic, year(date) || 'Q' || quarter(date) FROM daily WHERE rank_ic IS NOT NULL), s AS (SELECT period, {SUMMARY_SQL} FROM e GROUP BY period HAVING count(x) >= 20) SELECT period, days, {_r(SUMMARY)} FROM s")
 def period_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.period_breakdown(metrics.daily_ic(predictions(spark, sf_dir)), 12), ["period", "days"], SUMMARY)
+    return _rounded(metrics.period_breakdown(metrics.daily_ic(predictions(spark, sf_dir))), ["period", "days"], SUMMARY)
 
 
 @register("deciles", f"{PREDS_SQL}, {DECILE_SQL} SELECT decile, count(*) AS days, {R6.format('avg(r) * 1e4')} AS bps FROM (SELECT date, decile, avg(label_raw) AS r FROM dec GROUP BY ALL) GROUP BY decile")
@@ -240,17 +250,37 @@ def cost_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 KEYS = ("span", "q_exit")
-GRID_SPANS = (1, 3, 5, 10)
-_spans = ", ".join(ema_sql(s, f"ema{s}") for s in GRID_SPANS if s > 1)
-_dense = " UNION ALL ".join(f"SELECT CAST({s} AS BIGINT) AS span, * FROM (SELECT *, CAST(dense_rank() OVER (ORDER BY date) AS BIGINT) AS day_idx FROM (SELECT *, count(*) OVER (PARTITION BY date) AS names FROM {'preds' if s == 1 else f'ema{s}'}) WHERE names >= 10)" for s in GRID_SPANS)
-GRID_SQL = f"{PREDS_SQL}, {_spans}, grid AS (SELECT *, CAST(unnest([0.1, 0.2, 0.3]) AS DOUBLE) AS q_exit FROM ({_dense})), {held_sql('q_exit', 'span, q_exit,', 'grid')}, {LEGS_SQL.format(k='span, q_exit,')}, {SERIES_SQL['ls'].format(k='span, q_exit,')}"
+GRID_SPANS, GRID_EXITS = portfolio.SPANS, portfolio.EXITS
+
+
+def grid_sql(spans: tuple[int, ...], exits: tuple[float, ...], sides: tuple[str, ...], kind: str) -> str:
+    smooth = ", ".join(ema_sql(s, f"ema{s}") for s in spans if s > 1)
+    dense = " UNION ALL ".join(f"SELECT CAST({s} AS BIGINT) AS span, * FROM (SELECT *, CAST(dense_rank() OVER (ORDER BY date) AS BIGINT) AS day_idx FROM (SELECT *, count(*) OVER (PARTITION BY date) AS names FROM {'preds' if s == 1 else f'ema{s}'}) WHERE names >= 10)" for s in spans)
+    return f"{PREDS_SQL}, {smooth}, grid AS (SELECT *, CAST(unnest({list(exits)}) AS DOUBLE) AS q_exit FROM ({dense})), {held_sql('q_exit', 'span, q_exit,', 'grid', sides)}, {LEGS_SQL.format(k='span, q_exit,')}, {SERIES_SQL[kind].format(k='span, q_exit,', src='grid')}"
+
+
+GRID_SQL = grid_sql(GRID_SPANS, GRID_EXITS, ("long", "short"), "ls")
 
 
 def grid_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # every span reads the same predictions: kept in executors' memory or on their disks, rebuilt if one is lost
-    return portfolio.long_short(portfolio.hysteresis(portfolio.variants(predictions(spark, sf_dir).persist(), GRID_SPANS), 0.1, "q_exit", KEYS), KEYS)
+    return portfolio.long_short(portfolio.hysteresis(portfolio.variants(predictions(spark, sf_dir)), 0.1, "q_exit", KEYS), KEYS)
 
 
 @register("variant_grid", f"{GRID_SQL}, {CURVE_SQL.format(k='span, q_exit,')} SELECT span, q_exit, cost, days, {_r(CURVE)} FROM curve")
 def variant_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(portfolio.cost_curve(grid_series(spark, sf_dir), KEYS), [*KEYS, "cost", "days"], CURVE)
+    """24 long-short variants; an error if they differ in days."""
+    return _rounded(portfolio.with_equal_days(portfolio.cost_curve(grid_series(spark, sf_dir), KEYS)), [*KEYS, "cost", "days"], CURVE)
+
+
+@register("variant_grid_lo", f"{grid_sql(portfolio.LONG_SPANS, portfolio.LONG_EXITS, ('long',), 'lo')}, {CURVE_SQL.format(k='span, q_exit,')} SELECT span, q_exit, cost, days, {_r(CURVE)} FROM curve")
+def variant_grid_lo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """12 long-only variants, each against the equal-weighted universe."""
+    ranked = portfolio.variants(predictions(spark, sf_dir), portfolio.LONG_SPANS, portfolio.LONG_EXITS)
+    series = portfolio.long_only(ranked, portfolio.hysteresis(ranked, 0.1, "q_exit", KEYS, ("long",)), KEYS)
+    return _rounded(portfolio.with_equal_days(portfolio.cost_curve(series, KEYS)), [*KEYS, "cost", "days"], CURVE)
+
+
+@register("decile_pivot", f"{PREDS_SQL}, {DECILE_SQL} SELECT {D}, {', '.join(f'round(avg(label_raw) FILTER (WHERE decile = {k}), 6) + 0.0 AS d{k}' for k in range(10))} FROM dec GROUP BY date")
+def decile_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's mean return by decile, one column per decile."""
+    return _rounded(metrics.decile_table(predictions(spark, sf_dir)), ["date"], [f"d{k}" for k in range(10)])

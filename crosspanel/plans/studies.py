@@ -1,4 +1,4 @@
-"""Queries over nulls, bootstraps, audits, folds, ridge, epoch rules, manifests and ledgers."""
+"""Queries over nulls, bootstraps, audits, folds, manifests and ledgers."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import sources
-from ..functions import day, r6
+from ..functions import day, finished, r6
 from ..operators import audit, features as feat, labels as lab, metrics, models, portfolio, resample
 from .panel import BARS_SQL, FRAMES, PREP_SQL, R6, panel, rolling_sql
-from .scores import BASE_SQL, D, DECILE_SQL, FLAGS_SQL, GRID_SPANS, GRID_SQL, HELD5, IC_SQL, KEYS, LEGS_SQL, PREDS_SQL, SERIES_SQL, _r, _rounded, grid_series, predictions, preds_sql
+from .scores import BASE_SQL, D, DECILE_SQL, FLAGS_SQL, GRID_EXITS, GRID_SPANS, GRID_SQL, HELD5, IC_SQL, KEYS, LEGS_SQL, PREDS_SQL, SERIES_SQL, _r, _rounded, grid_series, predictions, preds_sql
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -25,6 +25,13 @@ def register(name: str, sql: str | None):
     return keep
 
 
+def member_table(spark: SparkSession, sf_dir: str, members: list[str]) -> DataFrame:
+    """(instrument, date, label_raw, label, one column per member): several scores of one panel, made once."""
+    keep = ["open", "high", "low", "close", "vwap", "raw_close", "volume", "amount", "factor"]
+    df = lab.labels(lab.with_flags(feat.features(panel(spark, sf_dir), members, keep)))
+    return df.where("label_raw IS NOT NULL").select("instrument", "date", "label_raw", "label", *members)
+
+
 YEARS_SQL = """
 net AS (SELECT *, CAST(year(date) AS BIGINT) AS test_year, gross * 1e4 - 10 * coalesce(turnover, 0) AS net FROM series),
 yr AS (SELECT {k} test_year, sum(net) AS s, count(*) AS days FROM net GROUP BY ALL),
@@ -37,105 +44,133 @@ def nested_reselection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shuffled_sql(src: str, reps: int) -> str:
+    """The draws of ``resample.draws``, in SQL."""
     return f"""
-pm AS (SELECT *, row_number() OVER (PARTITION BY rep, date ORDER BY md5('0|' || rep || '|' || date || '|' || instrument), instrument) AS k1, row_number() OVER (PARTITION BY rep, date ORDER BY instrument) AS k2
-  FROM (SELECT date, instrument, label_raw, unnest(range(1, {reps + 1})) AS rep FROM {src})),
-shuf AS (SELECT a.rep, a.date, a.instrument, b.label_raw FROM pm a JOIN pm b ON a.rep = b.rep AND a.date = b.date AND a.k1 = b.k2)"""
+pm0 AS (SELECT date, instrument, label_raw, row_number() OVER (PARTITION BY date ORDER BY instrument) AS k, CAST(date - DATE '1970-01-01' AS BIGINT) AS d FROM {src}),
+pl AS (SELECT date, list(label_raw ORDER BY k) AS labels FROM pm0 GROUP BY date),
+pm1 AS (SELECT rep, date, instrument, k, ((((rep * 1000003 + d) % 4294967296) * 69069 + k) % 4294967296 * 1103515245 + 12345) % 4294967296 AS h FROM pm0, (SELECT unnest(range(1, {reps + 1})) AS rep)),
+pm2 AS (SELECT rep, date, instrument, k, (xor(h, h >> 16) * 1103515245 + 12345) % 4294967296 AS h FROM pm1),
+pm3 AS (SELECT rep, date, instrument, row_number() OVER (PARTITION BY rep, date ORDER BY xor(h, h >> 15), k) AS k FROM pm2),
+shuf AS (SELECT rep, date, instrument, labels[k] AS label_raw FROM pm3 JOIN pl USING (date))"""
+
+
+def null_sql(src: str, reps: int, k: str = "", using: str = "") -> str:
+    return f"""{shuffled_sql(src, reps)},
+gr AS (SELECT s.rep, {k} h.date, avg(s.label_raw) FILTER (WHERE side = 'long') - avg(s.label_raw) FILTER (WHERE side = 'short') AS g FROM held h JOIN shuf s USING (date, instrument) GROUP BY ALL),
+nets0 AS (SELECT rep, {k} avg(g * 1e4 - 10 * coalesce(turnover, 0)) AS net_bps FROM gr JOIN series USING ({using} date) GROUP BY ALL),
+nets AS (SELECT rep, max(net_bps) AS net_bps FROM nets0 GROUP BY rep),
+obs AS (SELECT max(x) AS net_bps FROM (SELECT {k} avg(gross * 1e4 - 10 * coalesce(turnover, 0)) AS x FROM series GROUP BY ALL)),
+res AS (SELECT o.net_bps AS observed, count(*) AS reps, avg(n.net_bps) AS null_mean, quantile_cont(n.net_bps, 0.95) AS null_95, (1 + sum(CASE WHEN n.net_bps >= o.net_bps THEN 1 ELSE 0 END)) / CAST(1 + count(*) AS DOUBLE) AS p FROM nets n, obs o GROUP BY o.net_bps)"""
 
 
-PERM_REPS = 20
-PERM_SQL = f"""{HELD5}, held0 AS (SELECT date, day_idx, instrument, side, label_raw FROM held), {shuffled_sql('dense', PERM_REPS)},
-hp AS (SELECT CAST(0 AS BIGINT) AS rep, * FROM held0 UNION ALL SELECT s.rep, h.date, h.day_idx, h.instrument, h.side, s.label_raw FROM held0 h JOIN shuf s ON h.date = s.date AND h.instrument = s.instrument),
-{LEGS_SQL.format(k='rep,').replace('FROM held)', 'FROM hp)')}, {SERIES_SQL['ls'].format(k='rep,')},
-nets AS (SELECT rep, avg(gross * 1e4 - 10 * coalesce(turnover, 0)) AS net_bps FROM series GROUP BY rep),
-res AS (SELECT o.net_bps AS observed, count(*) AS reps, avg(n.net_bps) AS null_mean, quantile_cont(n.net_bps, 0.95) AS null_95, (1 + sum(CASE WHEN n.net_bps >= o.net_bps THEN 1 ELSE 0 END)) / CAST(1 + count(*) AS DOUBLE) AS p FROM nets n, nets o WHERE n.rep > 0 AND o.rep = 0 GROUP BY o.net_bps)"""
+PERM_REPS = 2000
 NULL = ["observed", "null_mean", "null_95", "p"]
 
 
-@register("perm_null", f"{PERM_SQL} SELECT reps, {_r(NULL)} FROM res")
+@register("perm_null", f"{HELD5}, {LEGS_SQL.format(k='')}, {SERIES_SQL['ls'].format(k='')}, {null_sql('dense', PERM_REPS)} SELECT reps, {_r(NULL)} FROM res")
 def perm_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = portfolio.dense_days(portfolio.ema(predictions(spark, sf_dir), 5)).persist()
     held = portfolio.hysteresis(ranked, 0.1, 0.2)
     seen = resample.net_of(portfolio.long_short(held)).agg(F.avg("net").alias("net_bps"))
-    null = resample.null_of_holdings(held, resample.permuted(ranked, PERM_REPS))
-    return _rounded(resample.p_value(null, seen), ["reps"], NULL)
+    null = resample.null_of_holdings(held, ranked, PERM_REPS)
+    return finished(_rounded(resample.p_value(null, seen), ["reps"], NULL), ranked)
 
 
-SEL_REPS = 5
+SEL_REPS = 200
 
 
-@register(
-    "selection_null",
-    f"""{GRID_SQL}, {shuffled_sql('(SELECT DISTINCT date, instrument, label_raw FROM grid)', SEL_REPS)},
-hp AS (SELECT CAST(0 AS BIGINT) AS rep, span, q_exit, date, day_idx, instrument, side, label_raw FROM held UNION ALL SELECT s.rep, span, q_exit, h.date, h.day_idx, h.instrument, h.side, s.label_raw FROM held h JOIN shuf s ON h.date = s.date AND h.instrument = s.instrument),
-{LEGS_SQL.format(k='rep, span, q_exit,').replace('FROM held)', 'FROM hp)').replace('stay AS', 'stay2 AS').replace('FROM stay ', 'FROM stay2 ').replace('leg0', 'leg02').replace('leg1', 'leg12').replace('leg AS', 'leg2 AS')},
-{SERIES_SQL['ls'].format(k='rep, span, q_exit,').replace('series AS', 'series2 AS').replace('FROM leg a JOIN leg b', 'FROM leg2 a JOIN leg2 b')},
-nets AS (SELECT rep, max(x) AS net_bps FROM (SELECT rep, span, q_exit, avg(gross * 1e4 - 10 * coalesce(turnover, 0)) AS x FROM series2 GROUP BY ALL) GROUP BY rep),
-res AS (SELECT o.net_bps AS observed, count(*) AS reps, avg(n.net_bps) AS null_mean, quantile_cont(n.net_bps, 0.95) AS null_95, (1 + sum(CASE WHEN n.net_bps >= o.net_bps THEN 1 ELSE 0 END)) / CAST(1 + count(*) AS DOUBLE) AS p FROM nets n, nets o WHERE n.rep > 0 AND o.rep = 0 GROUP BY o.net_bps)
-SELECT reps, {_r(NULL)} FROM res""",
-)
+@register("selection_null", f"{GRID_SQL}, {null_sql('(SELECT DISTINCT date, instrument, label_raw FROM grid)', SEL_REPS, 'span, q_exit,', 'span, q_exit,')} SELECT reps, {_r(NULL)} FROM res")
 def selection_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best of the grid per permutation; all variants of a permutation share it."""
-    grid = portfolio.variants(predictions(spark, sf_dir).persist(), GRID_SPANS)
+    grid = portfolio.variants(predictions(spark, sf_dir))
     held = portfolio.hysteresis(grid, 0.1, "q_exit", KEYS).persist()
     seen = resample.net_of(portfolio.long_short(held, KEYS)).groupBy(*KEYS).agg(F.avg("net").alias("net_bps")).agg(F.max("net_bps").alias("net_bps"))
-    shuffled = resample.permuted(grid.select("date", "instrument", "label_raw").distinct(), SEL_REPS)
-    null = resample.null_of_holdings(held, shuffled, KEYS).groupBy("rep").agg(F.max("net_bps").alias("net_bps"))
-    return _rounded(resample.p_value(null, seen), ["reps"], NULL)
+    names = grid.where((F.col("span") == GRID_SPANS[0]) & (F.col("q_exit") == GRID_EXITS[0]))
+    null = resample.null_of_holdings(held, names, SEL_REPS, KEYS).groupBy("rep").agg(F.max("net_bps").alias("net_bps"))
+    return finished(_rounded(resample.p_value(null, seen), ["reps"], NULL), held)
 
 
-BOOT_REPS, BLOCKS = 100, (5, 20)
+BOOT_REPS, BLOCKS = 2000, (5, 10, 20, 40)
 
 
 def index_sql(reps: int = BOOT_REPS, blocks: tuple[int, ...] = BLOCKS) -> str:
     return f"""
-ics AS (SELECT date, rank_ic, CAST(row_number() OVER (ORDER BY date) AS BIGINT) AS day_idx FROM daily WHERE rank_ic IS NOT NULL),
-nn AS (SELECT count(*) AS n FROM ics),
+nn AS (SELECT count(*) AS n FROM days),
 bl AS (SELECT n, block, rep, unnest(range(0, CAST(ceil(n / CAST(block AS DOUBLE)) AS BIGINT))) AS number FROM nn, (SELECT CAST(unnest({list(blocks)}) AS BIGINT) AS block), (SELECT unnest(range(0, {reps + 1})) AS rep)),
 idx0 AS (SELECT block, rep, n, number * block + off AS pos, CASE WHEN rep = 0 THEN number * block + off ELSE (((1103515245 * (1000 * rep + number) + 12345) % 2147483648) % n + off) % n END + 1 AS day_idx FROM (SELECT *, unnest(range(0, block)) AS off FROM bl)),
 idx AS (SELECT block, rep, pos, day_idx FROM idx0 WHERE pos < n)"""
 
 
-def _daily(preds: DataFrame) -> DataFrame:
+def _numbered(daily: DataFrame) -> DataFrame:
+    """One row per day, numbered from 1."""
     from pyspark.sql import Window
 
-    ic = metrics.daily_ic(preds).where("rank_ic IS NOT NULL")
-    return ic.select("date", "rank_ic", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")).cast("long").alias("day_idx"))  # one row per day
+    return daily.withColumn("day_idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")).cast("long"))
 
 
-@register("bootstrap_idx", f"{PREDS_SQL}, {IC_SQL}, {index_sql(10)} SELECT block, rep, pos, day_idx FROM idx")
+def _index(spark: SparkSession, daily: DataFrame, reps: int = BOOT_REPS) -> DataFrame:
+    return resample.block_index(spark, daily.agg(F.count(F.lit(1)).alias("n")), reps, BLOCKS)
+
+
+IC_DAYS = "days AS (SELECT date, rank_ic, CAST(row_number() OVER (ORDER BY date) AS BIGINT) AS day_idx FROM daily WHERE rank_ic IS NOT NULL)"
+
+
+@register("bootstrap_idx", f"{PREDS_SQL}, {IC_SQL}, {IC_DAYS}, {index_sql(10)} SELECT block, rep, pos, day_idx FROM idx")
 def bootstrap_idx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = _daily(predictions(spark, sf_dir))
-    return resample.block_index(spark, daily.agg(F.count(F.lit(1)).alias("n")), 10, BLOCKS)
+    return _index(spark, metrics.daily_ic(predictions(spark, sf_dir)).where("rank_ic IS NOT NULL"), 10)
 
 
 CI = ["point", "low", "high", "se", "bias", "sign_flips"]
-CI_SQL = """
-boot AS (SELECT block, rep, avg({x}) AS x FROM idx JOIN {src} USING (day_idx) GROUP BY ALL),
-ci AS (SELECT b.block, p.x AS point, quantile_cont(b.x, 0.025) AS low, quantile_cont(b.x, 0.975) AS high, stddev_samp(b.x) AS se, avg(b.x) - p.x AS bias, avg(CASE WHEN sign(b.x) <> sign(p.x) THEN 1.0 ELSE 0.0 END) AS sign_flips
-  FROM boot b JOIN boot p ON b.block = p.block AND p.rep = 0 WHERE b.rep > 0 GROUP BY b.block, p.x)"""
 
 
-@register("bootstrap_ci", f"{PREDS_SQL}, {IC_SQL}, {index_sql()}, {CI_SQL.format(x='rank_ic', src='ics')} SELECT block, {_r(CI)} FROM ci")
+def ci_sql(statistics: tuple[str, ...]) -> str:
+    long = " UNION ALL ".join(f"SELECT block, rep, '{x}' AS statistic, {x} AS x FROM boot" for x in statistics)
+    return f"""
+bs AS ({long}),
+ci AS (SELECT b.block, b.statistic, p.x AS point, quantile_cont(b.x, 0.025) AS low, quantile_cont(b.x, 0.975) AS high, stddev_samp(b.x) AS se, avg(b.x) - p.x AS bias, avg(CASE WHEN sign(b.x) <> sign(p.x) THEN 1.0 ELSE 0.0 END) AS sign_flips
+  FROM bs b JOIN bs p ON b.block = p.block AND b.statistic = p.statistic AND p.rep = 0 WHERE b.rep > 0 GROUP BY b.block, b.statistic, p.x)"""
+
+
+_ratio = lambda x, y: f"avg({x}) / nullif(stddev_samp({x}), 0) * {y}"
+BOOT_SQL = f"""
+sd1 AS (SELECT day_idx, rank_ic AS ic, ls_gross * 1e4 - 10 * ls_turnover AS ls, lo_gross * 1e4 - 10 * lo_turnover AS lo FROM days),
+boot AS (SELECT block, rep, avg(ic) AS rank_ic, {_ratio('ic', '1.0')} AS icir, avg(ls) AS ls_net, {_ratio('ls', 'sqrt(252)')} AS ls_ir, avg(lo) AS lo_net, {_ratio('lo', 'sqrt(252)')} AS lo_ir FROM idx JOIN sd1 USING (day_idx) GROUP BY ALL)"""
+BOTH_SERIES_SQL = f"""{HELD5}, {IC_SQL}, {LEGS_SQL.format(k='')}, {SERIES_SQL['ls'].format(k='').replace('series AS', 'ser_ls AS')}, {SERIES_SQL['lo'].format(k='', src='dense').replace('series AS', 'ser_lo AS')},
+days AS (SELECT *, CAST(row_number() OVER (ORDER BY date) AS BIGINT) AS day_idx FROM (SELECT d.date, d.rank_ic, a.gross AS ls_gross, a.turnover AS ls_turnover, b.gross AS lo_gross, b.turnover AS lo_turnover
+  FROM daily d JOIN ser_ls a ON d.date = a.date JOIN ser_lo b ON d.date = b.date WHERE d.rank_ic IS NOT NULL AND a.turnover IS NOT NULL AND b.turnover IS NOT NULL))"""
+
+
+def daily_series(preds: DataFrame) -> DataFrame:
+    """(date, rank_ic, ls and lo gross and turnover): the days that the correlation and both portfolios have."""
+    ranked = portfolio.dense_days(portfolio.ema(preds, 5))
+    held = portfolio.hysteresis(ranked, 0.1, 0.2)
+    sides = {"ls": portfolio.long_short(held), "lo": portfolio.long_only(ranked, held)}
+    out = metrics.daily_ic(preds).where("rank_ic IS NOT NULL").select("date", "rank_ic")
+    for k, series in sides.items():
+        out = out.join(series.where("turnover IS NOT NULL").select("date", F.col("gross").alias(f"{k}_gross"), F.col("turnover").alias(f"{k}_turnover")), "date")
+    return out
+
+
+@register("bootstrap_ci", f"{BOTH_SERIES_SQL}, {index_sql()}, {BOOT_SQL}, {ci_sql(resample.STATISTICS)} SELECT block, statistic, {_r(CI)} FROM ci")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = _daily(predictions(spark, sf_dir))
-    index = resample.block_index(spark, daily.agg(F.count(F.lit(1)).alias("n")), BOOT_REPS, BLOCKS)
-    return _rounded(resample.intervals(resample.bootstrap(daily, index, ["rank_ic"]), "rank_ic"), ["block"], CI)
+    """Six statistics, four block lengths, 2000 repetitions; one index for all."""
+    daily = _numbered(daily_series(predictions(spark, sf_dir))).withColumnRenamed("rank_ic", "ic").persist()  # a row per day
+    boot = resample.statistics(_index(spark, daily), daily)
+    return finished(_rounded(resample.intervals(boot), ["block", "statistic"], CI), daily)
 
 
 IC2_SQL = IC_SQL.replace("ranked AS", "ranked2 AS").replace("FROM ranked", "FROM ranked2").replace("daily AS", "daily2 AS").replace("FROM preds", "FROM preds2")
 
 
-@register("bootstrap_paired", f"{PREDS_SQL}, {preds_sql('RSV10', 'preds2')}, {IC_SQL.replace('daily AS', 'daily1 AS')}, {IC2_SQL}, daily AS (SELECT a.date, a.rank_ic - b.rank_ic AS rank_ic FROM daily1 a JOIN daily2 b USING (date)), {index_sql()}, {CI_SQL.format(x='rank_ic', src='ics')} SELECT block, {_r(CI)} FROM ci")
+@register("bootstrap_paired", f"{PREDS_SQL}, {preds_sql('RSV10', 'preds2')}, {IC_SQL.replace('daily AS', 'daily1 AS')}, {IC2_SQL}, daily AS (SELECT a.date, a.rank_ic - b.rank_ic AS rank_ic FROM daily1 a JOIN daily2 b USING (date)), {IC_DAYS}, {index_sql()}, boot AS (SELECT block, rep, avg(rank_ic) AS rank_ic FROM idx JOIN days USING (day_idx) GROUP BY ALL), {ci_sql(('rank_ic',))} SELECT block, statistic, {_r(CI)} FROM ci")
 def bootstrap_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of two scores on the days that both have, resampled by one index."""
-    from pyspark.sql import Window
-
-    one, two = metrics.daily_ic(predictions(spark, sf_dir)), metrics.daily_ic(predictions(spark, sf_dir, "RSV10"))
+    wide = member_table(spark, sf_dir, ["ROC5", "RSV10"])
+    one, two = (metrics.daily_ic(wide.withColumn("pred", F.col(m))) for m in ("ROC5", "RSV10"))
     both = one.select("date", F.col("rank_ic").alias("x")).join(two.select("date", F.col("rank_ic").alias("y")), "date").withColumn("rank_ic", F.col("x") - F.col("y")).where("rank_ic IS NOT NULL")
-    daily = both.select("date", "rank_ic", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")).cast("long").alias("day_idx"))
-    index = resample.block_index(spark, daily.agg(F.count(F.lit(1)).alias("n")), BOOT_REPS, BLOCKS)
-    return _rounded(resample.intervals(resample.bootstrap(daily, index, ["rank_ic"]), "rank_ic"), ["block"], CI)
+    daily = _numbered(both.select("date", "rank_ic")).persist()  # a row per day
+    boot = _index(spark, daily).join(daily, "day_idx").groupBy("block", "rep").agg(F.avg("rank_ic").alias("rank_ic"))
+    return finished(_rounded(resample.intervals(boot, ("rank_ic",)), ["block", "statistic"], CI), daily)
 
 
 SHARES = ["up_t1", "dn_t2", "up_t2", "oneword"]
@@ -183,7 +218,7 @@ _pairs = [(a, b) for i, a in enumerate(MEMBERS) for b in MEMBERS[i + 1 :]]
 
 @register("pool_corr", f"{POOL_SQL}, rk AS (SELECT *, " + ", ".join(f"{_avg_rank(m)} AS r_{m}" for m in MEMBERS) + " FROM (SELECT *, count(*) OVER (PARTITION BY date) AS nn FROM wide) WHERE nn >= 20), " + "pd AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, date, corr(r_{a}, r_{b}) AS x FROM rk GROUP BY date" for a, b in _pairs) + f") SELECT a, b, count(x) AS days, {R6.format('avg(x)')} AS rho FROM pd GROUP BY a, b")
 def pool_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = audit.aligned({m: predictions(spark, sf_dir, m) for m in MEMBERS})
+    wide = member_table(spark, sf_dir, MEMBERS).dropna(subset=MEMBERS)
     return _rounded(audit.pool_correlation(wide, MEMBERS), ["a", "b", "days"], ["rho"])
 
 
@@ -193,15 +228,16 @@ def _strength_sql(src: str, pred: str, m: str, kind: str) -> str:
 
 @register("pool_own_vs_common", f"{POOL_SQL} " + " UNION ALL ".join(_strength_sql(s, p, m, k) for m in MEMBERS for s, p, k in ((f"p_{m}", "pred", "own"), ("wide", m, "common"))))
 def pool_own_vs_common(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strength of each member on its own rows and on the rows that all have."""
-    pool = {m: predictions(spark, sf_dir, m) for m in MEMBERS}
-    common = audit.aligned(pool).join(pool[MEMBERS[0]].select("date", "instrument", "label_raw"), ["date", "instrument"])
-    out = None
+    """Strength of each member on its own rows and on the rows that all have: one panel, both sets side by side."""
+    wide = member_table(spark, sf_dir, MEMBERS)
+    every = F.lit(True)
     for m in MEMBERS:
-        for kind, rows in (("own", pool[m]), ("common", common.withColumn("pred", F.col(m)))):
-            one = metrics.daily_ic(rows).agg(F.sum("n").alias("n"), F.avg("rank_ic").alias("mean")).select(F.lit(m).alias("member"), F.lit(kind).alias("row_set"), "n", r6(F.col("mean")).alias("mean"))
-            out = one if out is None else out.unionByName(one)
-    return out
+        every = every & F.col(m).isNotNull()
+    member = F.explode(F.array(*(F.struct(F.lit(m).alias("member"), F.col(m).alias("pred")) for m in MEMBERS)))
+    kinds = F.explode(F.when(F.col("every"), F.array(F.lit("own"), F.lit("common"))).otherwise(F.array(F.lit("own")))).alias("row_set")
+    rows = wide.withColumn("every", every).select("instrument", "date", "label_raw", "every", member.alias("m")).select("instrument", "date", "label_raw", "m.*", kinds)
+    daily = metrics.daily_ic(rows, ("member", "row_set", "date"))
+    return _rounded(daily.groupBy("member", "row_set").agg(F.sum("n").alias("n"), F.avg("rank_ic").alias("mean")), ["member", "row_set", "n"], ["mean"])
 
 
 FOLD_ARGS = {"val_days": 20, "embargo": 2, "min_history_years": 2, "min_train_days": 40, "min_test_days": 20}
@@ -217,44 +253,6 @@ def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.folds(sources.weekly_bars(spark, sf_dir).select("date").distinct(), **FOLD_ARGS)
 
 
-RIDGE = ["ROC5", "RSV10", "STD20", "VMA10"]
-
-
-@register("ridge_normal_eq", f"{POOL_SQL}, " + "c AS (SELECT * FROM wide) " + " UNION ALL ".join(f"SELECT '{a}' AS i, '{b}' AS j, round(sum({a} * {b}), 4) + 0.0 AS value FROM c" for k, a in enumerate([*RIDGE, "label_raw"]) for b in [*RIDGE, "label_raw"][k:]))
-def ridge_normal_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audit.aligned({m: predictions(spark, sf_dir, m) for m in RIDGE}).join(predictions(spark, sf_dir).select("date", "instrument", "label_raw"), ["date", "instrument"])
-    return models.normal_equations(rows, RIDGE, "label_raw").select("i", "j", r6(F.col("value"), 4).alias("value"))
-
-
-@register("ridge_select", None)
-def ridge_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge walk-forward: mean daily rank correlation of each test year, with the alpha that validation chose."""
-    from pyspark.sql import Window
-
-    from ..operators.normalize import robust_z
-
-    panel_rows = feat.features(panel(spark, sf_dir), RIDGE, ["open", "high", "low", "close", "vwap", "raw_close", "volume", "amount", "factor"])
-    rows = robust_z(lab.labels(lab.with_flags(panel_rows)), {m: m for m in RIDGE}, fill=0.0).where("label_raw IS NOT NULL")
-    calendar = rows.select("date").distinct().withColumn("day", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")).cast("long"))
-    rows = rows.join(calendar, "date").select("date", "day", "instrument", *RIDGE, "label", "label_raw").persist()  # read twice per fold
-    plan = models.folds(calendar, **FOLD_ARGS).orderBy("test_year").collect()  # one row per year
-    preds = models.ridge_walk(rows, RIDGE, "label", plan)
-    return _rounded(metrics.daily_ic(preds, ("test_year", "alpha", "date")).groupBy("test_year", "alpha").agg(F.count(F.lit(1)).alias("days"), F.avg("rank_ic").alias("mean")), ["test_year", "alpha", "days"], ["mean"])
-
-
-CURVE_FROM = "vc AS (SELECT CAST(year(date) AS BIGINT) AS fold, CAST(month(date) AS BIGINT) AS epoch, avg(rank_ic) AS val FROM daily GROUP BY ALL)"
-
-
-@register("epoch_rules", f"""{PREDS_SQL}, {IC_SQL}, {CURVE_FROM}, e0 AS (SELECT *, val - lag(val) OVER (PARTITION BY fold ORDER BY epoch) AS diff FROM vc),
-  e AS (SELECT *, stddev_samp(diff) OVER f / sqrt(2) AS sigma, max(val) OVER f AS top, min(val) OVER f AS low, row_number() OVER (PARTITION BY fold ORDER BY val DESC, epoch) AS k FROM e0 WINDOW f AS (PARTITION BY fold)),
-  r AS (SELECT fold, 'argmax' AS rule, CAST(epoch AS DOUBLE) AS epoch FROM e WHERE k = 1 """ + "".join(f"UNION ALL SELECT fold, 'plateau_{z:g}', quantile_cont(CAST(epoch AS DOUBLE), 0.5) FROM e WHERE val >= top - {z} * coalesce(sigma, 0) GROUP BY fold " for z in (0.5, 1.0, 2.0)) + "".join(f"UNION ALL SELECT fold, 'top_{k}', sum((val - low + 1e-9) * epoch) / sum(val - low + 1e-9) FROM e WHERE k <= {k} GROUP BY fold " for k in (3, 5)) + f") SELECT fold, rule, {_r(['epoch'])} FROM r")
-def epoch_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules on a curve derived from the panel: mean rank correlation by year (fold) and month (epoch)."""
-    daily = metrics.daily_ic(predictions(spark, sf_dir))
-    curve = daily.groupBy(F.year("date").cast("long").alias("fold"), F.month("date").cast("long").alias("epoch")).agg(F.avg("rank_ic").alias("val"))
-    return _rounded(models.epoch_rules(curve), ["fold", "rule"], ["epoch"])
-
-
 @register("manifest_resume", "WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) SELECT CAST(c_custkey AS VARCHAR) AS ticker FROM customer LEFT JOIN o ON c_custkey = o_custkey WHERE NOT coalesce(n >= 10, false)")
 def manifest_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as a universe, their orders as what was fetched: who is still to do."""
@@ -307,12 +305,12 @@ def _horizon_sql() -> str:
 def horizon_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of one score with labels of several horizons; the panel is made once."""
     keep = ["open", "high", "low", "close", "vwap", "raw_close", "volume", "amount", "factor"]
-    flagged = lab.with_flags(feat.features(panel(spark, sf_dir), ["ROC5"], keep)).persist()
+    flagged = lab.with_flags(feat.features(panel(spark, sf_dir), ["ROC5"], keep)).persist()  # read once per horizon
     out = None
     for h in HORIZONS:
         one = lab.labels(flagged, "vwap", "entry", h).select("instrument", "date", F.col("ROC5").alias("pred"), "label_raw", F.lit(h).cast("long").alias("horizon"))
         out = one if out is None else out.unionByName(one)
-    return _rounded(metrics.daily_ic(out, ("horizon", "date")).groupBy("horizon").agg(F.count("rank_ic").alias("days"), F.avg("rank_ic").alias("mean")), ["horizon", "days"], ["mean"])
+    return finished(_rounded(metrics.daily_ic(out, ("horizon", "date")).groupBy("horizon").agg(F.count("rank_ic").alias("days"), F.avg("rank_ic").alias("mean")), ["horizon", "days"], ["mean"]), flagged)
 
 
 @register("random_baseline", f"{PREDS_SQL.replace('f.pred, l.label_raw', 'CAST(md5(f.instrument || CAST(f.date AS VARCHAR)) AS VARCHAR) AS pred, l.label_raw')}, rr AS (SELECT date, row_number() OVER (PARTITION BY date ORDER BY pred, instrument) AS rp, row_number() OVER (PARTITION BY date ORDER BY label_raw, instrument) AS rl FROM preds), dd AS (SELECT date, corr(rp, rl) AS x FROM rr GROUP BY date HAVING count(*) >= 5) SELECT count(x) AS days, {R6.format('avg(x)')} AS mean FROM dd")
@@ -333,7 +331,8 @@ def meta_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from ..functions import average_rank
 
-    both = audit.aligned({"a": predictions(spark, sf_dir), "b": predictions(spark, sf_dir, "RSV10")})
+    wide = member_table(spark, sf_dir, ["ROC5", "RSV10"]).dropna(subset=["ROC5", "RSV10"])
+    both = wide.select("instrument", "date", F.col("ROC5").alias("a"), F.col("RSV10").alias("b"))
     n = F.count(F.lit(1)).over(Window.partitionBy("date"))
     return both.select("instrument", day().alias("date"), *(r6(average_rank(c, "date") / n - 0.5).alias(c) for c in ("a", "b")))
 
@@ -346,12 +345,19 @@ def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(agg, ["folds", "positive"], ["mean", "median", "low", "high"])
 
 
-@register("self_check", f"{PREDS_SQL}, {IC_SQL} SELECT CAST(year(date) AS BIGINT) AS test_year, true AS agrees FROM daily GROUP BY ALL")
+SELF_SQL = f"{PREDS_SQL}, {preds_sql('RSV10', 'preds2')}, {IC_SQL.replace('daily AS', 'daily1 AS')}, {IC2_SQL}, y AS (SELECT CAST(year(date) AS BIGINT) AS test_year, avg(rank_ic) AS x FROM daily1 GROUP BY ALL), z AS (SELECT CAST(year(date) AS BIGINT) AS test_year, avg(rank_ic) AS x FROM daily2 GROUP BY ALL)"
+
+
+@register("self_check", f"{SELF_SQL} SELECT y.test_year, coalesce(abs(round(y.x, 12) - y.x) <= 1e-9, false) AS agrees, coalesce(abs(z.x - y.x) <= 1e-9, false) AS old_agrees FROM y LEFT JOIN z ON y.test_year = z.test_year")
 def self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yearly rank correlation from a logged ledger against the same number made anew, within 1e-9."""
-    preds = predictions(spark, sf_dir).persist()
-    log = metrics.daily_ic(preds).groupBy(F.year("date").cast("long").alias("test_year")).agg(F.avg("rank_ic").alias("logged"))
-    line = log.select(F.to_json(F.struct("test_year", "logged")).alias("j"))
-    logged = line.select(F.from_json("j", "test_year long, logged double").alias("l")).select("l.*")
-    again = metrics.daily_ic(preds, ("test_year", "date")).groupBy("test_year").agg(F.avg("rank_ic").alias("now"))
-    return logged.join(again, "test_year", "left").select("test_year", F.coalesce(F.abs(F.col("logged") - F.col("now")) <= 1e-9, F.lit(False)).alias("agrees"))
+    """Yearly rank correlation made anew against the latest matching record of a ledger, within 1e-9.
+
+    The ledger has two records per year: an older one of another score and a newer one of this score.
+    """
+    wide = member_table(spark, sf_dir, ["ROC5", "RSV10"])
+    year = lambda m: metrics.daily_ic(wide.withColumn("pred", F.col(m))).groupBy(F.year("date").cast("long").alias("test_year")).agg(F.avg("rank_ic").alias("x"))
+    record = lambda m, at: year(m).select(F.to_json(F.struct("test_year", F.lit(at).alias("at"), F.round("x", 12).alias("logged"))).alias("j"))
+    ledger = record("RSV10", 1).union(record("ROC5", 2)).select(F.from_json("j", "test_year long, at long, logged double").alias("l")).select("l.*")
+    latest = ledger.groupBy("test_year").agg(F.max_by("logged", "at").alias("logged"), F.max_by(F.when(F.col("at") == 1, F.col("logged")), F.when(F.col("at") == 1, 1)).alias("old"))
+    agrees = lambda c: F.coalesce(F.abs(F.col(c) - F.col("x")) <= 1e-9, F.lit(False))
+    return year("ROC5").join(latest, "test_year", "left").select("test_year", agrees("logged").alias("agrees"), agrees("old").alias("old_agrees"))

@@ -66,6 +66,71 @@ def read_bars(spark: SparkSession, path: str, instrument: str | None = None, col
     return first_of(df, ["instrument", "date"], [c for c in df.columns if c not in ("instrument", "date")])
 
 
+def first_files(spark: SparkSession, path: str, most: int, prefer: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of at most ``most`` instruments of a directory of parquet files: the preferred names first, then by name."""
+    df = spark.read.parquet(path)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.parquet$", 1)
+    df = df.withColumn("instrument", name)
+    liked = F.when(F.col("instrument").isin(*prefer), 0).otherwise(1) if prefer else F.lit(1)
+    chosen = df.select("instrument").distinct().orderBy(liked, "instrument").limit(most)
+    return df.join(F.broadcast(chosen), "instrument", "left_semi")
+
+
+def read_members(spark: SparkSession, paths: dict[str, str], value: str = "pred") -> DataFrame:
+    """(date, instrument, one column per member) of the prediction files that are there: the rows that any member has,
+    NULL where a member lacks one. Members without a file are left out, names and kinds are made equal."""
+    from pyspark.errors import AnalysisException
+
+    out = None
+    for name, path in paths.items():
+        try:
+            df = spark.read.parquet(path)
+        except AnalysisException:
+            continue
+        one = df.select(F.to_date("date").alias("date"), F.col("instrument").cast("string").alias("instrument"), F.col(value).cast("double").alias(name))
+        out = one if out is None else out.join(one, ["date", "instrument"], "full")
+    return out if out is not None else spark.createDataFrame([], "date date, instrument string")
+
+
+def salvaged(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``first``, and those of ``second`` for keys that it lacks; status says ok or partial."""
+    rest = second.join(first.select(*keys).distinct(), keys, "left_anti")
+    return first.withColumn("status", F.lit("ok")).unionByName(rest.withColumn("status", F.lit("partial")))
+
+
+def universe_by_quarter(members: DataFrame, start: str, end: str) -> DataFrame:
+    """(quarter, ticker): who was listed (ticker, since, until; until may be missing) at the start of each quarter from
+    ``start`` to ``end``; the universe is their distinct union."""
+    grid = members.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr("interval 3 months"))).alias("quarter"))
+    listed = (F.col("since") <= F.col("quarter")) & (F.col("until").isNull() | (F.col("until") >= F.col("quarter")))
+    return members.join(F.broadcast(grid), listed).select("quarter", "ticker").distinct()  # a row per quarter
+
+
+def parsed_number(text: Column) -> Column:
+    """A number from a text with thousands separators, a sign, %, K, M or B; NULL where there is none."""
+    plain = F.upper(F.regexp_replace(F.trim(text), r"[,\s$]", ""))
+    body = F.regexp_extract(plain, r"^([+-]?[0-9]*\.?[0-9]+)([KMB%]?)$", 1)
+    unit = F.regexp_extract(plain, r"^([+-]?[0-9]*\.?[0-9]+)([KMB%]?)$", 2)
+    scale = F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).when(unit == "%", 0.01).otherwise(1.0)
+    return F.when(body != "", body.cast("double") * scale)
+
+
+def run_of(name: Column) -> dict[str, Column]:
+    """Fold and seed of a run from its file's name (..._fold2020_s3...)."""
+    part = lambda p: F.nullif(F.regexp_extract(name, p, 1), F.lit("")).cast("long")
+    return {"fold": part(r"fold(\d{4})"), "seed": part(r"_s(\d+)")}
+
+
+def stamped(rows: DataFrame, **facts: str) -> DataFrame:
+    """``rows`` with where they come from as columns (data, market, tier and the like)."""
+    return rows.withColumns({f"from_{k}": F.lit(v) for k, v in facts.items()})
+
+
+def write_document(rows: DataFrame, path: str) -> None:
+    """One JSON document with all ``rows`` (a summary of a few) as an array, in one file."""
+    rows.agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("rows"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the smallest by ``order``, chosen by a map-side minimum."""
     rest = [c for c in df.columns if c not in keys]
