@@ -65,3 +65,9 @@ def unique_by(df: DataFrame, *keys: str) -> DataFrame:
     one = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"), *(F.first(c).alias(c) for c in rest))
     checked = F.when(F.col("n_") > 1, F.raise_error(F.concat_ws(" ", F.lit("repeated key"), *(F.col(k).cast("string") for k in keys))).cast("long")).otherwise(F.col("n_"))
     return one.withColumn("n_", checked).where("n_ = 1").select(*df.columns)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` to all shuffle partitions: groups are work for processors, so their partitions are not to be
+    coalesced by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import EPS, clip, divide, on_day
+from ..functions import EPS, clip, divide, on_day, spread
 
 MAD_SCALE = 1.4826
 
@@ -45,7 +45,7 @@ def robust_z_all(df: DataFrame, names: list[str], fill: float = 0.0) -> DataFram
             table = table.set_column(table.schema.get_field_index(n), table.schema.field(n), pa.array(np.where(known, x, fill)))
         return table
 
-    return df.groupBy("date").applyInArrow(per, df.schema)
+    return spread(df, "date").groupBy("date").applyInArrow(per, df.schema)
 
 
 def standard(df: DataFrame, column: str, name: str) -> DataFrame:

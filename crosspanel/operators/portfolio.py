@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import divide, first_rank
+from ..functions import divide, first_rank, spread
 
 COSTS = (0, 5, 10, 20)
 #: The grids that are searched: spans and exit bands of the long-short and of the long-only portfolios.
@@ -45,7 +45,7 @@ def smoothed(preds: DataFrame, spans: tuple[int, ...], column: str = "pred") ->
         each = [table.set_column(at, table.schema.field(at), pa.array(_smooth(x, s))).append_column("span", pa.array(np.full(len(x), s))) for s in spans]
         return pa.concat_tables(each)
 
-    return preds.groupBy("instrument").applyInArrow(per, T.StructType([*preds.schema.fields, T.StructField("span", T.LongType())]))
+    return spread(preds, "instrument").groupBy("instrument").applyInArrow(per, T.StructType([*preds.schema.fields, T.StructField("span", T.LongType())]))
 
 
 def ema(preds: DataFrame, span: int, column: str = "pred") -> DataFrame:

@@ -198,7 +198,7 @@ def gram_sql() -> str:
     bars_prep = f"{BARS_SQL}, {PREP_SQL}"
     columns = own[own.rindex("SELECT instrument, CAST(date AS VARCHAR) AS date,") :].replace("CAST(date AS VARCHAR) AS date", "date").replace("round(", "(").replace(", 6) + 0.0 AS", ") AS")
     return f"""WITH {bars_prep}, {FLAGS_SQL}, {labels_sql('vwap', 'entry')}, ft AS ({columns}),
-lg AS (UNPIVOT INCLUDE NULLS ft ON COLUMNS(* EXCLUDE (instrument, date)) INTO NAME name VALUE x),
+lg AS (SELECT * FROM ft UNPIVOT INCLUDE NULLS (x FOR name IN (COLUMNS(* EXCLUDE (instrument, date))))),
 md AS (SELECT *, x - median(x) OVER (PARTITION BY date, name) AS off FROM lg),
 zz AS (SELECT instrument, date, name, CASE WHEN off IS NULL THEN 0 ELSE greatest(-3.0, least(3.0, off / (1.4826 * median(abs(off)) OVER (PARTITION BY date, name) + 1e-12))) END AS x FROM md),
 kp AS (SELECT instrument, date, label FROM lab WHERE label IS NOT NULL),
@@ -211,11 +211,9 @@ def ridge_normal_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean products of all 158 features and the label, every pair once."""
     names = [*feat.FEATURES, "label"]
     rows = model_rows(spark, sf_dir, feat.FEATURES).withColumn("all_", F.lit(0))
-    sums = models.gram(rows, feat.FEATURES, "label", "all_")
-    count = F.element_at(F.first(F.when(F.col("i") == 0, F.col("sums")), ignorenulls=True), 1)
-    listed = F.array(*(F.lit(n) for n in names))
-    each = sums.crossJoin(F.broadcast(sums.agg(count.alias("n")))).where("i > 0").select(F.element_at(listed, F.col("i")).alias("a"), "n", F.posexplode("sums").alias("j", "value")).where("j > 0")
-    return each.withColumn("b", F.element_at(listed, F.col("j"))).where("a <= b").select("a", "b", r6(F.col("value") / F.col("n")).alias("value"))
+    square = models.squares(models.gram(rows, feat.FEATURES, "label", "all_"), "all_").get(0)  # 160 x 160, whatever the rows
+    pairs = [] if square is None else [(a, b, float(square[i + 1, j + 1] / square[0, 0])) for i, a in enumerate(names) for j, b in enumerate(names) if a <= b]
+    return spark.createDataFrame(pairs, "a string, b string, value double").withColumn("value", r6(F.col("value")))
 
 
 def _walk(spark: SparkSession, sf_dir: str, **how) -> DataFrame:

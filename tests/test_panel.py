@@ -13,8 +13,6 @@ from crosspanel.operators import features, labels, metrics, models, normalize, p
 from crosspanel.plans import catalogue, panel, scores
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"features_158", "ridge_select", "selection_null", "nested_reselection", "perm_null", "variant_grid", "pool_own_vs_common"}
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -24,7 +22,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.ORACLE_SQL if n not in SLOW])
+@pytest.mark.parametrize("name", list(catalogue.ORACLE_SQL))
 def test_oracle(spark, duck, name):
     got, want = catalogue.QUERIES[name](spark, SF).toPandas(), duck.sql(catalogue.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
@@ -141,13 +139,106 @@ def test_linear_models(spark):
     import numpy as np
 
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(200, 3))
-    y = x @ [1.0, -2.0, 0.5]
-    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "a double, b double, c double, y double")
-    sums = [tuple(r) for r in models.normal_equations(df, ["a", "b", "c"], "y").collect()]
-    path = models.ridge_path(sums, ["a", "b", "c"], "y", (0.0, 10.0))
-    assert path[0.0] == pytest.approx([1.0, -2.0, 0.5])
-    assert path[10.0] == pytest.approx(np.linalg.solve(x.T @ x + 10 * np.eye(3), x.T @ y))
+    x = rng.normal(size=(200, 3)) * [1, 5, 0.2] + [3, 0, -1]
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(size=200)
+    df = spark.createDataFrame([(int(i % 2), *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))], "k int, a double, b double, c double, y double").repartition(3)
+    both = models.squares(models.gram(df, ["a", "b", "c"], "y", "k"), "k")
+    z = np.column_stack([np.ones(200), x, y])
+    assert both[0] + both[1] == pytest.approx(z.T @ z)
+    m = models.Moments.of(both[0] + both[1])
+    own, centred = (x - x.mean(0)) / x.std(0), y - y.mean()
+    w = models.ridge_weights(m, (0.0, 10.0, 1e4))
+    for k, alpha in enumerate((0.0, 10.0, 1e4)):
+        assert w[:, k] == pytest.approx(np.linalg.solve(own.T @ own + alpha * np.eye(3), own.T @ centred))
+    e = models.elastic_weights(m, 0.1, 0.5)
+    left = own.T @ (centred - own @ e) / 200 - 0.05 * e
+    assert all(abs(g - 0.05 * np.sign(v)) < 1e-6 if v else abs(g) <= 0.05 + 1e-6 for g, v in zip(left, e, strict=True))
+    flat = models.Moments.of(np.array([[4.0, 8.0, 4.0], [8.0, 16.0, 8.0], [4.0, 8.0, 6.0]]))
+    assert models.ridge_weights(flat, (0.0,)) == pytest.approx(0.0)  # a constant column
+
+
+def test_linear_walk_chooses_by_validation(spark):
+    rows = spark.range(4000).selectExpr("CAST(id % 40 AS STRING) AS instrument", "id div 40 + 1 AS day", "date_add(date'2000-01-01', CAST(id div 40 AS INT)) AS date", "CAST((id * 7919) % 101 AS DOUBLE) AS a", "CAST((id * 104729) % 97 AS DOUBLE) AS b")
+    rows = rows.selectExpr("*", "a - 2 * b AS label", "a - 2 * b AS label_raw")
+    fold_rows = [{"test_year": 1, "fit_end": 30, "val_start": 33, "val_end": 40, "test_start": 43, "test_end": 60}, {"test_year": 2, "fit_end": 60, "val_start": 63, "val_end": 70, "test_start": 73, "test_end": 100}]
+    got = models.linear_walk(rows, ["a", "b"], "label", fold_rows).persist()
+    assert got.groupBy("test_year").count().orderBy("test_year").collect() == [(1, 18 * 40), (2, 28 * 40)]
+    assert metrics.daily_ic(got, ("test_year", "date")).agg(F.min("rank_ic")).first()[0] > 0.99
+
+
+def chosen(curve):
+    """The 13 rules by hand."""
+    import numpy as np
+
+    c = np.array(curve)
+    noise = (np.std(c) if len(c) > 1 else 0.0) if len(c) < 3 else np.std(np.diff(c), ddof=1) / 2**0.5
+    best, n = int(np.argmax(c)) + 1, len(c)
+    out = {"argmax": [best]}
+    for k in (3, 5, 10):
+        out[f"wavg_best_k{k}"] = [e for e in range(1, n + 1) if best - k < e <= best]
+        out[f"wavg_run_k{k}"] = [e for e in range(1, n + 1) if e > n - k]
+        out[f"wavg_top_k{k}"] = sorted(e + 1 for e in sorted(range(n), key=lambda e: (-c[e], e))[:k])
+    for z in (0.5, 1, 2):
+        out[f"plateau_med_z{z:g}"] = [int(np.median([e + 1 for e in range(n) if c[e] >= c.max() - z * noise]))]
+    return out
+
+
+def test_epoch_rules(spark):
+    curves = {1: [0.1, 0.3, 0.2, 0.3, 0.25, 0.1], 2: [0.5], 3: [0.1, 0.2], 4: [0.01 * ((i * 7) % 13) for i in range(14)]}
+    df = spark.createDataFrame([(f, e + 1, v) for f, c in curves.items() for e, v in enumerate(c)], "fold long, epoch long, val double")
+    got = {(r.fold, r.rule): list(r.epochs) for r in models.epoch_rules(df).collect()}
+    assert got == {(f, rule): epochs for f, c in curves.items() for rule, epochs in chosen(c).items()}
+    stop = {(r.fold, r.epoch): r.stopped for r in models.smoothed_stop(df).collect()}
+    assert not stop[2, 1] and not stop[4, 1]
+
+
+def test_parameters_by_name():
+    assert models.overridden(models.BOOSTED, ["trees=7"]) == models.BOOSTED | {"trees": 7}
+    with pytest.raises(KeyError):
+        models.overridden(models.BOOSTED, ["leaves=7"])
+
+
+def test_repeated_keys_are_an_error(spark):
+    from crosspanel.functions import unique_by
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string")
+    assert unique_by(df, "k").count() == 2
+    with pytest.raises(Exception, match="repeated key"):
+        unique_by(df.union(df.limit(1)), "k").collect()
+    one = spark.createDataFrame([("2000-01-01", "a", 1.0)], "date string, instrument string, pred double")
+    from crosspanel.operators import audit
+
+    with pytest.raises(Exception, match="rows differ"):
+        audit.checked_pair(one, one.withColumn("instrument", F.lit("b"))).collect()
+
+
+def test_panel_files(spark, tmp_path):
+    for name in ("AAA", "BBB", "CCC"):
+        spark.createDataFrame([("2000-01-03", 1.0), (None, 2.0), ("2000-01-03", 3.0), ("2000-01-04", float("nan"))], "day string, close double").coalesce(1).write.parquet(str(tmp_path / "raw" / name))
+        next((tmp_path / "raw" / name).glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+    files = str(tmp_path / "*.parquet")
+    bars = sources.read_bars(spark, files, columns={"day": "date"}).collect()
+    assert sorted((r.instrument, str(r.date), r.close) for r in bars) == [(n, "2000-01-03", 1.0) for n in ("AAA", "BBB", "CCC")]
+    assert {r.instrument for r in sources.first_files(spark, files, 2, ("CCC",)).collect()} == {"AAA", "CCC"}
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "DDD.parquet").write_bytes(b"not parquet")
+    for f in tmp_path.glob("*.parquet"):
+        (tmp_path / "bad" / f.name).write_bytes(f.read_bytes())
+    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
+    try:
+        assert spark.read.schema("day string, close double").parquet(str(tmp_path / "bad")).count() == 12
+    finally:
+        spark.conf.unset("spark.sql.files.ignoreCorruptFiles")
+    sources.write_panel(spark.createDataFrame(bars), str(tmp_path / "panel"), "instrument")
+    sources.write_panel(spark.createDataFrame(bars[:1]), str(tmp_path / "panel"), "instrument")
+    assert spark.read.parquet(str(tmp_path / "panel")).count() == 1
+    preds = spark.createDataFrame([("2000-01-03", "AAA", 1)], "date string, instrument string, pred int")
+    preds.write.parquet(str(tmp_path / "m1"))
+    preds.withColumn("instrument", F.lit("BBB")).write.parquet(str(tmp_path / "m2"))
+    pool = sources.read_members(spark, {"one": str(tmp_path / "m1"), "two": str(tmp_path / "m2"), "none": str(tmp_path / "m3")})
+    assert sorted((r.instrument, r.one, r.two) for r in pool.collect()) == [("AAA", 1.0, None), ("BBB", None, 1.0)]
+    sources.write_document(preds, str(tmp_path / "doc"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "doc")).collect()] == ['{"rows":[{"date":"2000-01-03","instrument":"AAA","pred":1}]}']
 
 
 def test_boosted_trees_find_a_step(spark):
