@@ -113,10 +113,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     candidate group all texts are compared on full shingle sets, in blocks of ``BLOCK`` texts. Null or empty
     texts have no set and link with nothing; extra columns are ignored; an empty table gives no rows. Rows that share a
     doc_id are told apart by their sets only: equal ones are one text, and others are linked as documents of that id.
+    Rows without doc_id link with nothing and are kept.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = settle(docs.mapInArrow(_digest, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
-    filled = made.where("n_shingles > 0")
+    filled = made.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = filled.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("d1", "d2", "n_shingles", "m.*")
     same = settle(same)
     keyed = same.select("doc_id", F.explode("bands").alias("key"))
@@ -133,8 +134,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     rep = same.select("d1", "d2", "n_shingles", F.col("doc_id").alias("node")).join(component, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("root", "node").alias("component_id"))
     rep = settle(rep)  # both sides of the join are plain tables: a hot group of copies may be split
     linked = filled.select("doc_id", "n_shingles", "d1", "d2").join(rep, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    alone = made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    alone = made.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -284,6 +284,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_spans(docs: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(copies, spans): doc_ids of whole copies of a smaller document, and (doc_id, start, stop) byte spans that
     repeat in the other documents (spans may overlap). ``own``: doc_id, n_bytes, sha256 of ``docs``, settled."""
+    own = own.where("doc_id IS NOT NULL")
     firsts = own.where(f"n_bytes >= {LENGTH}").groupBy("sha256", "n_bytes").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = settle(own.join(small(settle(firsts)), ["sha256", "n_bytes"]).where("doc_id > least").select("doc_id"))
     size = own.agg(F.sum("n_bytes")).first()[0] or 0
@@ -299,16 +300,35 @@ def removed_spans(docs: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame
     return copies, spans
 
 
+def _with_own_ids(docs: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, ids): every different text of a doc_id once, under a number of its own that keeps the order of (doc_id,
+    sha256), and these numbers (uid) by doc_id and sha256."""
+    pairs = own.where("doc_id IS NOT NULL").select("doc_id", "sha256").distinct()
+    ordered = pairs.repartitionByRange("doc_id", "sha256").sortWithinPartitions("doc_id", "sha256")
+    ids = settle(ordered.withColumn("uid", F.monotonically_increasing_id()))  # by partition, then by row: in order
+    named = docs.withColumn("sha256", F.sha2(F.encode("text", "UTF-8"), 256)).join(ids, ["doc_id", "sha256"])
+    return settle(named.groupBy("uid").agg(F.first("text").alias("text")).withColumnRenamed("uid", "doc_id")), ids
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of ``docs`` (doc_id unique integers, text).
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of ``docs`` (integer doc_id, text).
 
     kept is the remaining bytes, null where nothing was removed (then they are the text's) and empty where all was.
     Null and empty texts have no bytes; texts under LENGTH bytes lose nothing; extra columns are ignored; an empty
-    table gives no rows. Matches never cross documents and are judged on the input.
+    table gives no rows. Matches never cross documents and are judged on the input. Rows that share doc_id and text get
+    the same result; different texts of one doc_id are documents in the order of their sha256. Rows without doc_id lose
+    nothing, and nothing is lost because of them.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     raw = F.encode("text", "UTF-8")
     own = settle(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha256")))
+    if own.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        texts, ids = _with_own_ids(docs, own)
+        found = without_repeats(texts).drop("n_bytes").withColumnRenamed("doc_id", "uid")
+        known = own.join(ids, ["doc_id", "sha256"], "left").join(found, "uid", "left")
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+        return known.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "kept")
+    docs = docs.where("doc_id IS NOT NULL")
     copies, spans = removed_spans(docs, own)
     coded = F.shiftleft(F.col("start").cast("long"), 32) + F.col("stop")
     cuts = settle(spans.groupBy("doc_id").agg(F.collect_list(coded).alias("cuts")))

@@ -297,6 +297,20 @@ def test_very_long_texts(spark):
         quality.AT_ONCE = whole
 
 
+def test_repeated_and_missing_ids(spark):
+    one, two = passage(81, 70), passage(82, 70)
+    table = spark.createDataFrame([(5, one), (5, one), (5, two), (6, one + "\n" + two), (None, one), (7, two), (8, None), (8, "")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in repeats.without_repeats(table).collect())
+    size = lambda t: len(t.encode())
+    assert got == sorted([(5, size(one), 0), (5, size(one), 0), (5, size(two), 0), (6, size(one) + size(two) + 1, size(one) + size(two)), (0, size(one), 0), (7, size(two), size(two)), (8, 0, 0), (8, 0, 0)])
+    near = minmax.near_duplicates(table).collect()
+    assert len(near) == 8 and all(r.kept for r in near if r.doc_id in (None, 5, 8)) and not any(r.kept for r in near if r.doc_id == 7)
+    assert packing.pack_documents(table).count() == 8
+    assert len(secrets.secrets(table).collect()) == len(rules.rule_report(table).collect()) == 8
+    items = spark.createDataFrame([(1, two)], "item_id long, text string")
+    assert sorted({r.doc_id for r in contamination.contaminated(table, items).collect()}) == [5, 6, 7]
+
+
 def test_lines_with_repeated_ids(spark):
     one, two = passage(81, 70), passage(82, 70)
     table = spark.createDataFrame([(5, one), (5, one), (5, two), (6, one + "\n" + two), (None, one), (7, two), (8, None)], "doc_id long, text string")
