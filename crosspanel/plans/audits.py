@@ -114,7 +114,7 @@ def reversal_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(audit.yearly_exposure(audit.exposure(_both(spark, sf_dir))), ["year", "days"], ["beta", "r2", "spearman"])
 
 
-@register("reversal_dropped", f"{BOTH_SQL} SELECT CAST(min(year(date)) AS BIGINT) AS year FROM both_ WHERE (SELECT count(*) FROM expo) > 0")
+@register("reversal_dropped", f"{BOTH_SQL}, ey AS (SELECT DISTINCT year(date) AS y FROM expo) SELECT DISTINCT CAST(year(date) AS BIGINT) AS year FROM both_ WHERE year(date) NOT IN (SELECT y FROM ey WHERE y > (SELECT min(y) FROM ey))")
 def reversal_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years that drop out because no earlier one gives a beta."""
     both = _both(spark, sf_dir)
@@ -181,11 +181,13 @@ KEEP = ["open", "high", "low", "close", "vwap", "raw_close", "volume", "amount",
 
 def model_rows(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     """(date, day, instrument, features as daily robust z, label, label_raw): what linear models are fitted on."""
-    rows = lab.labels(lab.with_flags(feat.features(panel(spark, sf_dir), names, KEEP)))
-    rows = normalize.robust_z_all(rows.select("instrument", "date", "label", "label_raw", *names), names).where("label_raw IS NOT NULL")
     from pyspark.sql import Window
 
-    calendar = rows.select("date").distinct().withColumn("day", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")).cast("long"))  # one row per day
+    bars = panel(spark, sf_dir)
+    # labels read their rows three times: they are made from the bars, not from bars with all features
+    labelled = lab.labels(lab.with_flags(bars)).where("label_raw IS NOT NULL").select("instrument", "date", "label", "label_raw")
+    rows = normalize.robust_z_all(feat.features(bars, names), names).join(labelled, ["instrument", "date"])
+    calendar = bars.select("date").distinct().withColumn("day", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")).cast("long"))  # one row per day
     return rows.join(F.broadcast(calendar), "date")
 
 
