@@ -9,7 +9,7 @@ from .. import sources
 from ..functions import day, finished, r6
 from ..operators import audit, features as feat, labels as lab, metrics, models, normalize, portfolio
 from .panel import BARS_SQL, FRAMES, PREP_SQL, R6, features_sql, panel, rolling_sql
-from .scores import BASE_SQL, CURVE, D, DECILE_SQL, FLAGS_SQL, IC_SQL, PREDS_SQL, _r, _rounded, labels_sql, predictions, preds_sql
+from .scores import CURVE, D, DECILE_SQL, FLAGS_SQL, IC_SQL, PREDS_SQL, _r, _rounded, labels_sql, predictions, preds_sql
 from .studies import BOTH_SQL, FOLD_ARGS, FOLD_SQL, MEMBERS, POOL_SQL, _avg_rank, _both, member_table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -122,7 +122,7 @@ def reversal_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _variants_sql() -> str:
-    from .scores import CURVE_SQL, DENSE_SQL, LEGS_SQL, SERIES_SQL, held_sql
+    from .scores import CURVE_SQL, LEGS_SQL, SERIES_SQL, held_sql
 
     a = 2.0 / 6
     kinds = {"raw": "pz", "nested": "pz - eb.beta * fz", "leaky": "pz - ab * fz", "factor": "fz"}
