@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, licences, lines, minmax, packing, pii, quality, repeats, rules, secrets
+from . import audit, codes, contamination, licences, lines, minmax, packing, pii, quality, repeats, rules, secrets, spots
 
 QUERIES = {
     "op1_licence_paragraphs": licences.op1_licence_paragraphs,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_minmax_near_dups": minmax.op8_minmax_near_dups,
     "op9_threshold_rules": rules.op9_threshold_rules,
     "op10_line_winnowing": lines.op10_line_winnowing,
+    "op11_vector_codes": codes.op11_vector_codes,
+    "op12_spot_signatures": spots.op12_spot_signatures,
+    "op13_filter_audit": audit.op13_filter_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op9_threshold_rules": rules.oracle()}
+ORACLE_SQL: dict[str, str] = {"op9_threshold_rules": rules.oracle(), "op11_vector_codes": codes.oracle(), "op13_filter_audit": audit.oracle()}
