@@ -96,9 +96,77 @@ def with_next(docs: DataFrame, columns: list[str], names: list[str]) -> DataFram
     return led.where("NOT ghost_").drop("ghost_")
 
 
+#: Two sets are near from this share on, in percent; rounds of leaders before what is left is compared pairwise.
+PERCENT, LEADERS = 80, 6
+
+
+def _scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, any more columns) with j, their similarity."""
+    one, two = (sets.select(F.col("uid").alias(k), F.col("spots").alias(f"s_{k}")) for k in ("a", "b"))
+    each = settle(pairs.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", likeness("s_a", "s_b").alias("j")))
+    return pairs.join(each, ["a", "b"])
+
+
+def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links that connect just the sets of ``sets`` (uid, spots; distinct, not empty) that pairs of at least
+    ``percent`` connect.
+
+    A set of n spots belongs to the partition of log(n) to the base 100 / percent and looks into the next one too, as no
+    set further off can be near. Near sets share one of the first n - ceil(n * percent / 100) + 1 of their spots in order
+    of rarity, so these make the buckets of a partition. A bucket is not compared pairwise: all its sets meet its leader,
+    the smallest uid. 1 - j is a metric, so of the sets that are not near the leader only those within twice the bound may
+    have a near one among those that are, and only where their distances to the leader differ by the bound at most: only
+    these pairs are compared. What is not near the leader goes on under a new one.
+    """
+    spark, least = sets.sparkSession, percent / 100
+    far = 1 - least + 1e-9
+    one = sets.select("uid", F.size("spots").alias("n"), F.explode("spots").alias("spot"))
+    often = one.groupBy("spot").agg(F.count(F.lit(1)).alias("often")).where("often > 1")  # a spot of one set pairs nothing
+    lone = sets.select("uid", F.size("spots").alias("n"))
+    seen = one.join(often, "spot").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("often", "spot"))).alias("by"))
+    first = f"n - CAST(ceil(n * {percent} / 100.0D - 1e-9) AS INT) + 1"
+    # spots of one set only are the rarest: they fill the first places
+    left = F.expr(f"greatest(0, {first} - (n - size(by)))")
+    put = seen.join(lone, "uid").select("uid", "n", F.explode(F.slice("by", F.lit(1), left)).alias("x")).select("uid", "n", F.col("x.spot").alias("spot"))
+    level = F.floor(F.log("n") / math.log(1 / least) + 1e-9).cast("int")
+    rows = put.select("uid", "spot", level.alias("home")).select("uid", F.explode(F.array("home", F.col("home") + 1)).alias("level"), "spot", "home")
+    found, rest = None, settle(rows.withColumn("bucket", F.xxhash64("spot", "level")).select("bucket", "uid").distinct())
+    for turn in range(LEADERS + 1):
+        lead = rest.groupBy("bucket").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("size_")).where("size_ > 1").select("bucket", "a")
+        if turn < LEADERS:
+            pairs = rest.join(lead, "bucket").where("uid <> a").select("bucket", "a", F.col("uid").alias("b"))
+        else:
+            pairs = rest.select("bucket", F.col("uid").alias("a")).join(rest.select("bucket", F.col("uid").alias("b")), "bucket").where("a < b")
+        scored = settle(_scored(pairs, sets).select("bucket", "a", "b", (1 - F.col("j")).alias("d")))
+        near, off = scored.where(F.col("d") <= far), scored.where(F.col("d") > far)
+        found = near.select("a", "b") if found is None else found.union(near.select("a", "b"))
+        if turn == LEADERS:
+            break
+        edge = off.where(F.col("d") <= 2 * far).select("bucket", F.col("b").alias("a"), F.col("d").alias("d_a"))
+        cross = edge.join(near.select("bucket", "b", F.col("d").alias("d_b")), "bucket").where(F.col("d_a") - F.col("d_b") <= far).select("a", "b").distinct()
+        found = found.union(_scored(cross, sets).where(1 - F.col("j") <= far).select("a", "b"))
+        rest = settle(off.select("bucket", F.col("b").alias("uid")))
+        if rest.isEmpty():
+            break
+    return found.distinct()
+
+
+def class_roots(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, root): for every doc_id of ``sets`` (doc_id, spots) that a near or equal set or a repeated id links, the smallest
+    doc_id it reaches. Equal sets count once, under their smallest id; rows without doc_id or spots are linked with nothing."""
+    full = sets.where("doc_id IS NOT NULL AND size(spots) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "spots", F.md5(as_text("spots").cast("binary")).alias("mark"))
+    ids = settle(full.groupBy("mark").agg(F.min("doc_id").alias("first"), F.first("spots").alias("spots")).withColumn("uid", F.xxhash64("mark")))
+    own = full.select("doc_id", "mark").distinct().join(ids.select("mark", "first"), "mark").where("doc_id <> first").select("doc_id", F.col("first").alias("b"))
+    found = links(ids.select("uid", "spots"), percent)
+    one, two = (ids.select(F.col("uid").alias(k), F.col("first").alias(f"{k}_")) for k in ("a", "b"))
+    near = found.join(one, "a").join(two, "b").select("a_", "b_")
+    return connected_components(near.union(own).toDF("a", "b"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row of ``docs`` (doc_id,
-    text): see the contract of ``op12_spot_signatures``.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id) per row of ``docs``
+    (doc_id, text): see the contract of ``op12_spot_signatures``. class_id is the smallest doc_id that a document reaches
+    through pairs of at least ``PERCENT``; a text without words has its own.
 
     A null text counts as empty. Rows that share a doc_id follow each other by a hash of their text; rows without one
     come after all others. A single row is its own next. Extra columns are ignored; an empty table gives no rows.
@@ -110,7 +178,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     df = df.withColumn("n_chars", F.length("text").cast("long")).withColumn("half", F.expr("CAST(n_chars div 2 AS INT)"))
     df = df.withColumn("edited", F.expr("concat(left(text, CAST(n_chars - half AS INT)), left(next_text, half))"))
     df = with_spots(df, "edited", "edited_spots", words)
-    return df.select(
+    out = df.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -118,7 +186,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         as_text("edited_spots").alias("edited_fingerprint"),
         likeness("spots", "edited_spots").alias("near_edited"),
         likeness("spots", "next_spots").alias("near_next"),
+        "spots",
     )
+    out = settle(out)
+    roots = class_roots(out.select("doc_id", "spots")).withColumnRenamed("node", "doc_id")
+    return out.drop("spots").join(roots, "doc_id", "left").withColumn("class_id", F.coalesce("root", "doc_id")).drop("root")
 
 
 def op12_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:

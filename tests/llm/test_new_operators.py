@@ -227,3 +227,55 @@ def test_edges_of_fingerprints(spark, spot_docs):
     assert one.edited_sha256 == hashlib.sha256((t[: len(t) - len(t) // 2] + t[: len(t) // 2]).encode()).hexdigest() and one.near_next == 1.0
     none = spark.createDataFrame([(None, "a b"), (None, None), (4, "c d")], "doc_id long, text string")
     assert len(spots.fingerprints(none).collect()) == 3
+
+
+def classes_by_hand(rows, words):
+    """Smallest doc_id reached through all pairs."""
+    own = [(i, spots_by_hand(t, words)) for i, t in rows if i is not None]
+    root = {i: i for i, _ in own}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, s), (b, t) in itertools.combinations(own, 2):
+        if a == b or (s and t and len(s & t) * 100 >= 80 * len(s | t)):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: find(i) for i in root}
+
+
+def chained():
+    """A chain of neighbours, a hot group around several centres, sets at the bound, and spots that all share."""
+    r = random.Random(9)
+    common = [f"c{i}" for i in range(40)]
+    out, words = [], [f"v{i}" for i in range(60)]
+    for i in range(25):
+        out.append((i, " the ".join(words)))
+        words = [*words[2:], f"n{i}a", f"n{i}b"]
+    for g in range(4):
+        centre = [w if r.random() < 0.75 else f"g{g}{w}" for w in common]
+        for i in range(45):
+            out.append((100 + 50 * g + i, " the ".join(w if r.random() < 0.98 else f"{w}x{r.randrange(10**6)}" for w in centre)))
+    out += [(400, " the ".join(f"b{i}" for i in range(10))), (401, " the ".join(f"b{i}" for i in range(8))), (402, "the x"), (403, "the x")]
+    return out
+
+
+@pytest.mark.parametrize("turns", [0, 1, 6])
+def test_near_classes_against_all_pairs(spark, monkeypatch, turns):
+    monkeypatch.setattr(spots, "LEADERS", turns)
+    docs = spark.createDataFrame(chained(), "doc_id long, text string").repartition(3)
+    words = spots.anchors(docs)
+    found = spots.class_roots(spots.with_spots(docs, "text", "spots", words).select("doc_id", "spots"))
+    want = classes_by_hand(chained(), words)
+    got = {r.node: r.root for r in found.collect()}
+    assert {i: got.get(i, i) for i in want} == want
+    assert sorted(collections.Counter(want.values()).values())[-3] > 5
+
+
+def test_classes_of_documents(spark, spot_docs):
+    rows = [(i, t or "") for i, t in spotted_docs()]
+    want = classes_by_hand(rows, spots.anchors(spot_docs.select("doc_id", "text")))
+    found = {(r.doc_id, r.class_id) for r in spots.fingerprints(spot_docs).collect()}
+    assert found == set(want.items()) and want[201] == 200 and want[110] == 14
