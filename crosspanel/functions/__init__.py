@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-12
@@ -71,3 +73,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` dealt by ``key`` to all shuffle partitions: groups are work for processors, so their partitions are not to be
     coalesced by their bytes."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where none is set and all runs in one process one is made; on a cluster a folder of
+    one machine would not do, so that is an error."""
+    sc = spark.sparkContext
+    known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="crosspanel-"))
+        known = sc.getCheckpointDir()
+    return known.rstrip("/")

@@ -236,6 +236,15 @@ def segment_losses(preds: DataFrame, fold_rows: list) -> DataFrame:
     return day.groupBy("segment").agg(F.count(F.lit(1)).alias("days"), F.avg("ic").alias("soft_ic"), F.avg("mse").alias("mse"))
 
 
+def tuned(scores: DataFrame) -> DataFrame:
+    """(market, setting, folds, positive, val, test, chosen) from (setting, market, test_year, val, test): means over folds, folds
+    with a positive test score, and whether the mean validation score chooses the setting in its market (ties by name).
+    The test score takes no part in the choice."""
+    each = scores.groupBy("market", "setting").agg(F.count(F.lit(1)).alias("folds"), F.count_if(F.col("test") > 0).alias("positive"), F.avg("val").alias("val"), F.avg("test").alias("test"))
+    first = Window.partitionBy("market").orderBy(F.col("val").desc_nulls_last(), "setting")  # a row per setting
+    return each.withColumn("chosen", F.row_number().over(first) == 1)
+
+
 #: Parameters of the boosted trees; ``overridden`` replaces some by name.
 BOOSTED = {"trees": 50, "depth": 4, "seed": 0}
 

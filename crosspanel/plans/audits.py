@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..functions import day, finished, r6
+from ..functions import day, r6
 from ..operators import audit, features as feat, labels as lab, metrics, models, normalize, portfolio
+from ..sources.store import load_years, stored
 from .panel import BARS_SQL, FRAMES, PREP_SQL, R6, features_sql, panel, rolling_sql
 from .scores import CURVE, D, DECILE_SQL, FLAGS_SQL, IC_SQL, PREDS_SQL, _r, _rounded, labels_sql, predictions, preds_sql
 from .studies import BOTH_SQL, FOLD_ARGS, FOLD_SQL, MEMBERS, POOL_SQL, _avg_rank, _both, member_table
@@ -176,19 +177,20 @@ def folds_purged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.folds(sources.weekly_bars(spark, sf_dir).select("date").distinct(), **(FOLD_ARGS | {"embargo": 5}))
 
 
-KEEP = ["open", "high", "low", "close", "vwap", "raw_close", "volume", "amount", "factor"]
-
-
 def model_rows(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
-    """(date, day, instrument, features as daily robust z, label, label_raw): what linear models are fitted on."""
+    """(date, day, instrument, features as daily robust z, label, label_raw): what the learners are fitted on, stored once
+    per session and input."""
     from pyspark.sql import Window
 
-    bars = panel(spark, sf_dir)
-    # labels read their rows three times: they are made from the bars, not from bars with all features
-    labelled = lab.labels(lab.with_flags(bars)).where("label_raw IS NOT NULL").select("instrument", "date", "label", "label_raw")
-    rows = normalize.robust_z_all(feat.features(bars, names), names).join(labelled, ["instrument", "date"])
-    calendar = bars.select("date").distinct().withColumn("day", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")).cast("long"))  # one row per day
-    return rows.join(F.broadcast(calendar), "date")
+    def build() -> DataFrame:
+        bars = panel(spark, sf_dir)
+        # labels read their rows three times: they are made from the bars, not from bars with all features
+        labelled = lab.labels(lab.with_flags(bars)).where("label_raw IS NOT NULL").select("instrument", "date", "label", "label_raw")
+        rows = normalize.robust_z_all(feat.features(bars), feat.FEATURES).join(labelled, ["instrument", "date"])
+        calendar = bars.select("date").distinct().withColumn("day", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")).cast("long"))  # one row per day
+        return rows.join(F.broadcast(calendar), "date")
+
+    return load_years(spark, stored(spark, sf_dir, "lineitem", "model", build), columns=["date", "day", "instrument", *names, "label", "label_raw"])
 
 
 def _fold_rows(spark: SparkSession, sf_dir: str) -> list:
@@ -219,10 +221,10 @@ def ridge_normal_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _walk(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    rows = model_rows(spark, sf_dir, feat.FEATURES).persist()  # read for the sums and for the predictions
+    rows = model_rows(spark, sf_dir, feat.FEATURES)
     preds = models.linear_walk(rows, feat.FEATURES, "label", _fold_rows(spark, sf_dir), **how)
     year = metrics.daily_ic(preds, ("test_year", "choice", "date")).groupBy("test_year", "choice").agg(F.count(F.lit(1)).alias("days"), F.avg("rank_ic").alias("mean"))
-    return finished(_rounded(year, ["test_year", "choice", "days"], ["mean"]), rows)
+    return _rounded(year, ["test_year", "choice", "days"], ["mean"])
 
 
 @register("ridge_select", None)
@@ -240,15 +242,6 @@ def elastic_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk(spark, sf_dir, weigh=lambda m, alphas: np.stack([models.elastic_weights(m, a, 0.5) for a in alphas], 1), choices=choices)
 
 
-@register("boosted_select", None)
-def boosted_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees walk-forward on four features, parameters by name."""
-    rows = model_rows(spark, sf_dir, MEMBERS).persist()  # read once per fold
-    preds = models.boosted_walk(rows, MEMBERS, "label", _fold_rows(spark, sf_dir), **models.overridden(models.BOOSTED, ["trees=10", "depth=3"]))
-    year = metrics.daily_ic(preds, ("test_year", "date")).groupBy("test_year").agg(F.count(F.lit(1)).alias("days"), F.avg("rank_ic").alias("mean"))
-    return finished(_rounded(year, ["test_year", "days"], ["mean"]), rows)
-
-
 @register("segment_loss", f"{PREDS_SQL}, {FOLD_SQL}, f AS (SELECT * FROM folds ORDER BY test_year LIMIT 1), q AS (SELECT p.date, p.pred, p.label, CASE WHEN c.d <= f.fit_end THEN 'fit' WHEN c.d BETWEEN f.val_start AND f.val_end THEN 'val' WHEN c.d BETWEEN f.test_start AND f.test_end THEN 'test' END AS segment FROM preds p JOIN cal c ON p.date = c.date, f), dd AS (SELECT segment, date, CASE WHEN stddev_pop(pred) > 1e-12 AND stddev_pop(label) > 1e-12 THEN covar_pop(pred, label) / (stddev_pop(pred) * stddev_pop(label)) END AS ic, avg((pred - label) ^ 2) AS mse FROM q WHERE segment IS NOT NULL GROUP BY ALL) SELECT segment, count(*) AS days, {R6.format('avg(ic)')} AS soft_ic, {R6.format('avg(mse)')} AS mse FROM dd GROUP BY segment")
 def segment_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Losses of one score on the fit, validation and test days of the first fold."""

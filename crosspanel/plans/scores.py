@@ -9,6 +9,7 @@ from ..functions import day, r6
 from ..operators import features as feat
 from ..operators import labels as lab
 from ..operators import metrics, normalize, portfolio
+from ..sources.store import load_years, stored
 from .panel import BARS_SQL, PREP_SQL, R6, panel
 
 FLAGS_SQL = """
@@ -81,10 +82,25 @@ def ema_sql(span: int, name: str, src: str = "preds") -> str:
 {name} AS (SELECT n.instrument, n.date, r.y AS pred, n.label_raw, n.label, n.test_year FROM {name}_n n JOIN {name}_r r ON n.instrument = r.instrument AND n.k = r.k)"""
 
 
+#: Features that the registered queries use as scores.
+SCORES = ["ROC5", "RSV10", "STD20", "VMA10"]
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(instrument, date, scores, label_raw, label): entry-gated vwap labels, stored once per session and input."""
+
+    def build() -> DataFrame:
+        bars = panel(spark, sf_dir)
+        keep = ["open", "high", "low", "close", "vwap", "raw_close", "volume", "amount", "factor"]
+        return lab.labels(lab.with_flags(feat.features(bars, SCORES, keep))).select("instrument", "date", *SCORES, "label_raw", "label")
+
+    return load_years(spark, stored(spark, sf_dir, "lineitem", "scored", build))
+
+
 def predictions(spark: SparkSession, sf_dir: str, member: str = "ROC5") -> DataFrame:
-    """(instrument, date, pred, label_raw, label, test_year): a feature as the score, entry-gated vwap labels."""
-    df = lab.labels(lab.with_flags(feat.features(panel(spark, sf_dir), [member], ["open", "high", "low", "close", "vwap", "raw_close", "volume", "amount", "factor"])))
-    return df.where(F.col(member).isNotNull() & F.col("label_raw").isNotNull()).select("instrument", "date", F.col(member).alias("pred"), "label_raw", "label", F.year("date").cast("long").alias("test_year"))
+    """(instrument, date, pred, label_raw, label, test_year): one of ``SCORES`` as the score."""
+    df = scored(spark, sf_dir).where(F.col(member).isNotNull() & F.col("label_raw").isNotNull())
+    return df.select("instrument", "date", F.col(member).alias("pred"), "label_raw", "label", F.year("date").cast("long").alias("test_year"))
 
 
 def _rounded(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from .. import sources
 from ..functions import day, finished, r6
 from ..operators import audit, features as feat, labels as lab, metrics, models, portfolio, resample
 from .panel import BARS_SQL, FRAMES, PREP_SQL, R6, panel, rolling_sql
-from .scores import BASE_SQL, D, DECILE_SQL, FLAGS_SQL, GRID_EXITS, GRID_SPANS, GRID_SQL, HELD5, IC_SQL, KEYS, LEGS_SQL, PREDS_SQL, SERIES_SQL, _r, _rounded, grid_series, predictions, preds_sql
+from .scores import BASE_SQL, D, DECILE_SQL, FLAGS_SQL, GRID_EXITS, GRID_SPANS, GRID_SQL, HELD5, IC_SQL, KEYS, LEGS_SQL, PREDS_SQL, SERIES_SQL, _r, _rounded, grid_series, predictions, preds_sql, scored
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -26,10 +26,8 @@ def register(name: str, sql: str | None):
 
 
 def member_table(spark: SparkSession, sf_dir: str, members: list[str]) -> DataFrame:
-    """(instrument, date, label_raw, label, one column per member): several scores of one panel, made once."""
-    keep = ["open", "high", "low", "close", "vwap", "raw_close", "volume", "amount", "factor"]
-    df = lab.labels(lab.with_flags(feat.features(panel(spark, sf_dir), members, keep)))
-    return df.where("label_raw IS NOT NULL").select("instrument", "date", "label_raw", "label", *members)
+    """(instrument, date, label_raw, label, one column per member): several scores of one panel."""
+    return scored(spark, sf_dir).where("label_raw IS NOT NULL").select("instrument", "date", "label_raw", "label", *members)
 
 
 YEARS_SQL = """
@@ -195,7 +193,7 @@ EXPO = ["beta", "r2", "spearman"]
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    factor = feat.features(panel(spark, sf_dir), ["ROC5"]).select("instrument", "date", F.col("ROC5").alias("factor")).where("factor IS NOT NULL")
+    factor = scored(spark, sf_dir).select("instrument", "date", F.col("ROC5").alias("factor")).where("factor IS NOT NULL")
     return predictions(spark, sf_dir, "RSV10").join(factor, ["instrument", "date"])
 
 
