@@ -4,7 +4,7 @@ The most common words of the corpus are anchors. A spot is an anchor (or the sta
 ``CHAIN`` content words, those that are no anchors; the set of a text's hashed spots is its fingerprint. Sets are
 compared by their Jaccard similarity. Two sets can only be as similar as their sizes allow, so sets are partitioned by
 the logarithm of their size, and a set meets its own and the next partition only; within them sets meet that share one
-of their rarest spots, and an intersection is counted only where the sizes allow the bound to be reached.
+of their first spots, and most pairs of a group of near copies follow from their distances to a leader.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import connected_components, documents, fresh, settle
+from .shared import connected_components, documents, fresh, settle, small
 
 #: Words that open spots; content words of a chain; words after an anchor among which they are looked for.
 ANCHORS, CHAIN, REACH = 96, 2, 10
@@ -98,6 +98,8 @@ def with_next(docs: DataFrame, columns: list[str], names: list[str]) -> DataFram
 
 #: Two sets are near from this share on, in percent; rounds of leaders before what is left is compared pairwise.
 PERCENT, LEADERS = 80, 6
+#: Spots that stand among the first of at least ``OFTEN`` sets are put last, at most ``LATE`` of them (more only cost time).
+OFTEN, LATE = 20, 1000
 
 
 def _scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -118,19 +120,19 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     have a near one among those that are, and only where their distances to the leader differ by the bound at most: only
     these pairs are compared. What is not near the leader goes on under a new one.
     """
-    spark, least = sets.sparkSession, percent / 100
+    least = percent / 100
     far = 1 - least + 1e-9
-    one = sets.select("uid", F.size("spots").alias("n"), F.explode("spots").alias("spot"))
-    often = one.groupBy("spot").agg(F.count(F.lit(1)).alias("often")).where("often > 1")  # a spot of one set pairs nothing
-    lone = sets.select("uid", F.size("spots").alias("n"))
-    seen = one.join(often, "spot").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("often", "spot"))).alias("by"))
-    first = f"n - CAST(ceil(n * {percent} / 100.0D - 1e-9) AS INT) + 1"
-    # spots of one set only are the rarest: they fill the first places
-    left = F.expr(f"greatest(0, {first} - (n - size(by)))")
-    put = seen.join(lone, "uid").select("uid", "n", F.explode(F.slice("by", F.lit(1), left)).alias("x")).select("uid", "n", F.col("x.spot").alias("spot"))
-    level = F.floor(F.log("n") / math.log(1 / least) + 1e-9).cast("int")
-    rows = put.select("uid", "spot", level.alias("home")).select("uid", F.explode(F.array("home", F.col("home") + 1)).alias("level"), "spot", "home")
-    found, rest = None, settle(rows.withColumn("bucket", F.xxhash64("spot", "level")).select("bucket", "uid").distinct())
+    first = F.expr(f"size(spots) - CAST(ceil(size(spots) * {percent} / 100.0D - 1e-9) AS INT) + 1")
+    counted = sets.select(F.explode(F.slice("spots", F.lit(1), first)).alias("spot")).groupBy("spot").count()
+    often = [r["spot"] for r in counted.where(F.col("count") >= OFTEN).orderBy(F.col("count").desc(), "spot").limit(LATE).collect()]
+    late = lambda x: x.isin(often) if often else F.lit(False)
+    order = F.concat(F.filter("spots", lambda x: ~late(x)), F.filter("spots", late)) if often else F.col("spots")
+    level = F.floor(F.log(F.size("spots")) / math.log(1 / least) + 1e-9).cast("int")
+    put = sets.select("uid", level.alias("home"), F.slice(order, F.lit(1), first).alias("first"))
+    rows = put.select("uid", F.explode(F.array("home", F.col("home") + 1)).alias("level"), "first").select("uid", "level", F.explode("first").alias("spot"))
+    rows = rows.select(F.xxhash64("spot", "level").alias("bucket"), "uid")
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size_")).where("size_ > 1").select("bucket")
+    found, rest = None, settle(rows.join(small(settle(shared)), "bucket"))
     for turn in range(LEADERS + 1):
         lead = rest.groupBy("bucket").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("size_")).where("size_ > 1").select("bucket", "a")
         if turn < LEADERS:
@@ -174,6 +176,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = anchors(rows)
     spotted = with_spots(rows, "text", "spots", words)
+    roots = small(class_roots(settle(spotted.select("doc_id", "spots"))).withColumnRenamed("node", "doc_id"))
     df = with_next(spotted, ["text", "spots"], ["next_text", "next_spots"])
     df = df.withColumn("n_chars", F.length("text").cast("long")).withColumn("half", F.expr("CAST(n_chars div 2 AS INT)"))
     df = df.withColumn("edited", F.expr("concat(left(text, CAST(n_chars - half AS INT)), left(next_text, half))"))
@@ -186,11 +189,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         as_text("edited_spots").alias("edited_fingerprint"),
         likeness("spots", "edited_spots").alias("near_edited"),
         likeness("spots", "next_spots").alias("near_next"),
-        "spots",
     )
-    out = settle(out)
-    roots = class_roots(out.select("doc_id", "spots")).withColumnRenamed("node", "doc_id")
-    return out.drop("spots").join(roots, "doc_id", "left").withColumn("class_id", F.coalesce("root", "doc_id")).drop("root")
+    return out.join(roots, "doc_id", "left").withColumn("class_id", F.coalesce("root", "doc_id")).drop("root")
 
 
 def op12_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
