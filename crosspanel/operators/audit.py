@@ -111,3 +111,53 @@ def pool_correlation(wide: DataFrame, members: list[str]) -> DataFrame:
     day = ranked.groupBy("date").agg(*(pearson(f"r_{a}", f"r_{b}").alias(f"{a}|{b}") for a, b in pairs))
     long = day.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("x")) for a, b in pairs))).alias("p")).select("p.*")
     return long.groupBy("a", "b").agg(F.count("x").alias("days"), F.avg("x").alias("rho"))
+
+
+def pool_betas(wide: DataFrame, members: list[str], factor: str) -> DataFrame:
+    """(member, date, beta) of every member on the factor for days of at least 20 names where both vary: all members are
+    aggregates of one grouping by date."""
+    n = F.count(F.lit(1))
+    day = wide.groupBy("date").agg(n.alias("n"), F.stddev_pop(factor).alias("sf"), *(x for m in members for x in (F.stddev_pop(m).alias(f"s_{m}"), F.covar_pop(m, factor).alias(f"c_{m}"))))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("member"), F.col(f"s_{m}").alias("s"), F.col(f"c_{m}").alias("c")) for m in members)))
+    ok = day.where((F.col("n") >= LEAST) & (F.col("sf") > 1e-12)).select("date", "sf", each.alias("x")).select("date", "sf", "x.*").where("s > 1e-12")
+    return ok.select("member", "date", (F.col("c") / (F.col("s") * F.col("sf"))).alias("beta"))
+
+
+def pool_orthogonal(wide: DataFrame, members: list[str], factor: str) -> DataFrame:
+    """``wide`` (date, instrument, members, factor) with every member as its day's z less the factor's z times the member's
+    mean beta of earlier years; rows of years that have no earlier one go."""
+    year = pool_betas(wide, members, factor).groupBy("member", F.year("date").cast("long").alias("year")).agg(F.sum("beta").alias("s"), F.count("beta").alias("n"))
+    before = Window.partitionBy("member").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)  # a row per member and year
+    past = year.select("member", "year", (F.sum("s").over(before) / F.sum("n").over(before)).alias("beta"))
+    betas = past.groupBy("year").pivot("member", members).agg(F.first("beta")).select("year", *(F.col(m).alias(f"b_{m}") for m in members)).dropna()
+    z = wide
+    for c in (*members, factor):
+        z = standard(z, c, f"z_{c}")
+    z = z.withColumn("year", F.year("date").cast("long")).join(F.broadcast(betas), "year")  # a row per year
+    return z.withColumns({m: F.col(f"z_{m}") - F.col(f"b_{m}") * F.col(f"z_{factor}") for m in members}).drop("year", *(f"z_{c}" for c in (*members, factor)), *(f"b_{m}" for m in members))
+
+
+def pool_matrices(wide: DataFrame, members: list[str], factor: str) -> DataFrame:
+    """(kind, a, b, days, rho) for all pairs: of the scores on all days (raw), on the days that the orthogonalised ones have
+    (raw_same), and of the scores without the factor (orthogonal)."""
+    left = pool_orthogonal(wide, members, factor)
+    same = wide.join(left.select("date").distinct(), "date", "left_semi")
+    kinds = {"raw": wide, "raw_same": same, "orthogonal": left}
+    each = [pool_correlation(df.select("date", "instrument", *members), members).withColumn("kind", F.lit(k)) for k, df in kinds.items()]
+    return reduce(lambda a, b: a.unionByName(b), each).select("kind", "a", "b", "days", "rho")
+
+
+def sign_test(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, n, wins, p) from (keys, one, two), a row per fold: folds that differ, those in which the first is larger, and
+    the two-sided exact probability of so uneven a count: 2 * P(X <= min(wins, n - wins)) for n fair tosses, at most 1."""
+    folds = pairs.where("one <> two").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("one") > F.col("two")).alias("wins"))
+    few = F.least("wins", F.col("n") - F.col("wins"))
+    # the terms C(n, i) / 2^n follow from each other: no factorial grows
+    start = F.struct(F.pow(F.lit(0.5), F.col("n")).alias("term"), F.pow(F.lit(0.5), F.col("n")).alias("total"))
+
+    def step(s, i):
+        term = s["term"] * (F.col("n") - i + 1) / i
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    tail = F.aggregate(F.when(few > 0, F.sequence(F.lit(1).cast("long"), few)).otherwise(F.array().cast("array<bigint>")), start, step)["total"]
+    return folds.select(*keys, "n", "wins", F.least(F.lit(1.0), 2 * tail).alias("p"))
