@@ -346,20 +346,37 @@ def universe_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.universe_by_quarter(members, "1993-01-01", "1998-01-01").select(day("quarter").alias("quarter"), "ticker")
 
 
-@register("parsed_numbers", "SELECT p_size % 6 AS kind, count(*) AS n, count(v) AS parsed, round(sum(v), 4) + 0.0 AS total FROM (SELECT p_size, CASE p_size % 6 WHEN 0 THEN p_retailprice WHEN 1 THEN p_size * 1000.0 WHEN 2 THEN p_size * 1e6 WHEN 3 THEN p_size * 0.01 WHEN 4 THEN NULL ELSE -p_size * 1e9 END AS v FROM part) GROUP BY ALL")
+NUMBERS = """CASE p_size % 8 WHEN 0 THEN ' ' || CAST(p_size AS VARCHAR) || '.25 ' WHEN 1 THEN CAST(p_size AS VARCHAR) || 'e2' WHEN 2 THEN CAST(p_size AS VARCHAR) || '.' WHEN 3 THEN CAST(p_size AS VARCHAR) || '%'
+  WHEN 4 THEN CAST(p_size AS VARCHAR) || 'K' WHEN 5 THEN '-.5' WHEN 6 THEN '1,' || CAST(p_size AS VARCHAR) ELSE '' END"""
+
+
+@register("parsed_numbers", f"SELECT p_size % 8 AS kind, count(*) AS n, count(v) AS parsed, round(sum(v), 4) + 0.0 AS total FROM (SELECT p_size, try_cast(trim({NUMBERS}) AS DOUBLE) AS v FROM part) GROUP BY ALL")
 def parsed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers from texts with separators, units and signs, or without any number."""
-    kind, size = F.col("p_size") % 6, F.col("p_size").cast("string")
-    text = F.when(kind == 0, F.concat(F.lit(" $"), F.format_number("p_retailprice", 2))).when(kind == 1, F.concat(size, F.lit("k"))).when(kind == 2, F.concat(size, F.lit(" M"))).when(kind == 3, F.concat(size, F.lit("%"))).when(kind == 4, F.lit("n/a")).otherwise(F.concat(F.lit("-"), size, F.lit("B")))
-    rows = sources.table(spark, sf_dir, "part").select(kind.alias("kind"), sources.parsed_number(text).alias("v"))
+    """Numbers from texts: plain ones in any notation; units, separators and empty texts are none."""
+    rows = sources.table(spark, sf_dir, "part").select((F.col("p_size") % 8).alias("kind"), sources.parsed_number(F.expr(NUMBERS.replace("VARCHAR", "STRING"))).alias("v"))
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("parsed"), r6(F.sum("v"), 4).alias("total"))
 
 
-@register("run_names", "SELECT CASE WHEN o_orderkey % 4 > 0 THEN CAST(year(o_orderdate) AS BIGINT) ELSE -1 END AS fold, o_orderkey % 3 AS seed, count(*) AS n, 'orders' AS from_data, 'us' AS from_market FROM orders GROUP BY ALL")
+RUN_NAMES = "CASE WHEN o_orderkey % 4 > 0 THEN 'fold' || CAST(year(o_orderdate) AS VARCHAR) || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '_cn' END || '_seed' || CAST(o_orderkey % 3 AS VARCHAR) || '.pt' ELSE 'all_s' || CAST(o_orderkey % 3 AS VARCHAR) || '.pt' END"
+
+
+@register("run_names", f"SELECT coalesce(fold, -1) AS fold, coalesce(tag, 'none') AS tag, coalesce(seed, -1) AS seed, count(*) AS n, 'orders' AS from_data, 'us' AS from_market FROM (SELECT try_cast(regexp_extract(f, 'fold(\\d+)(.*)_seed(\\d+)\\.pt$', 1) AS BIGINT) AS fold, CASE WHEN regexp_matches(f, 'fold(\\d+)(.*)_seed(\\d+)\\.pt$') THEN regexp_extract(f, 'fold(\\d+)(.*)_seed(\\d+)\\.pt$', 2) END AS tag, try_cast(regexp_extract(f, 'fold(\\d+)(.*)_seed(\\d+)\\.pt$', 3) AS BIGINT) AS seed FROM (SELECT {RUN_NAMES} AS f FROM orders)) GROUP BY ALL")
 def run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fold and seed from runs' names, with where the rows come from as columns."""
-    orders = sources.table(spark, sf_dir, "orders")
-    fold = F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit("_fold"), F.year("o_orderdate").cast("string"))).otherwise(F.lit("_all"))
-    name = F.concat(F.lit("mlp"), fold, F.lit("_s"), (F.col("o_orderkey") % 3).cast("string"), F.lit(".pt"))
-    out = orders.select(*(c.alias(k) for k, c in sources.run_of(name).items())).fillna(-1, subset=["fold"]).groupBy("fold", "seed").agg(F.count(F.lit(1)).alias("n"))
+    """Fold, tag and seed from the names of models' files, with where the rows come from as columns."""
+    names = sources.table(spark, sf_dir, "orders").select(F.expr(RUN_NAMES.replace("VARCHAR", "STRING")).alias("f"))
+    out = names.select(*(c.alias(k) for k, c in sources.run_of(F.col("f")).items())).fillna(-1, subset=["fold", "seed"]).fillna("none", subset=["tag"]).groupBy("fold", "tag", "seed").agg(F.count(F.lit(1)).alias("n"))
     return sources.stamped(out, data="orders", market=metrics.market_of("preds_us.parquet"))
+
+
+@register("file_report", "SELECT name, status, coalesce(CASE name WHEN 'customer' THEN (SELECT count(*) FROM customer) WHEN 'part' THEN (SELECT count(*) FROM part) END, -1) AS rows, CAST(coalesce(CASE name WHEN 'customer' THEN (SELECT sum(c_custkey) FROM customer) WHEN 'part' THEN (SELECT sum(p_partkey) FROM part) END, -1) AS BIGINT) AS total FROM (VALUES ('customer', 'ok'), ('part', 'ok'), ('supplier', 'failed'), ('absent', 'missing')) t(name, status)")
+def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pool of files of which one lacks a column and one is not there: what each gave."""
+    from ..sources import files
+
+    key = {"customer": "c_custkey", "part": "p_partkey", "supplier": "n_regionkey", "absent": "n_regionkey"}
+    out = None
+    for name, column in key.items():
+        read = files.read_pool(spark, {name: f"{sf_dir}/{name}.parquet"}, {column: "long"}).withColumnRenamed(column, "key")
+        one = read.groupBy("name").agg(F.max(F.when(F.col("status") != "row", F.col("status"))).alias("status"), F.max(F.when(F.col("status") == "ok", F.col("place"))).alias("rows"), F.sum("key").alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out.fillna(-1, subset=["rows", "total"])

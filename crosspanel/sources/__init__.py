@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files
+
 #: The schema of a bar panel, whatever it was read from.
 BARS = T.StructType([T.StructField("instrument", T.StringType()), T.StructField("date", T.DateType()), *(T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume", "amount"))])
 
@@ -55,15 +57,17 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_bars(spark: SparkSession, path: str, instrument: str | None = None, columns: dict[str, str] | None = None) -> DataFrame:
     """Bars from a directory of parquet files: the instrument is the column ``instrument`` or else the file's name.
 
-    ``columns`` renames; rows without a date or close go, the first row of a repeated (instrument, date) stays; NaN
-    becomes NULL. Unreadable files are skipped if the session sets ``spark.sql.files.ignoreCorruptFiles``.
+    ``columns`` renames; rows without a date or close go. Of a repeated (instrument, date) the row that stands first stays,
+    by the file's path and the row's place in it. NaN becomes NULL. To have broken files reported and passed over, read
+    them by ``files.read_each``.
     """
-    df = spark.read.parquet(path).withColumnsRenamed(columns or {})
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.parquet$", 1)
+    df = spark.read.parquet(path)
+    df = df.select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("place_")).withColumnsRenamed(columns or {})
+    name = F.regexp_extract("file_", r"([^/]+)\.parquet$", 1)
     df = df.withColumn("instrument", F.col(instrument) if instrument else name)
     doubles = {c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c, k in df.dtypes if k == "double"}
     df = df.withColumns(doubles).withColumn("date", F.to_date("date")).dropna(subset=["date", "close"])
-    return first_of(df, ["instrument", "date"], [c for c in df.columns if c not in ("instrument", "date")])
+    return first_of(df, ["instrument", "date"], ["file_", "place_"]).drop("file_", "place_")
 
 
 def first_files(spark: SparkSession, path: str, most: int, prefer: tuple[str, ...] = ()) -> DataFrame:
@@ -77,18 +81,16 @@ def first_files(spark: SparkSession, path: str, most: int, prefer: tuple[str, ..
 
 
 def read_members(spark: SparkSession, paths: dict[str, str], value: str = "pred") -> DataFrame:
-    """(date, instrument, one column per member) of the prediction files that are there: the rows that any member has,
-    NULL where a member lacks one. Members without a file are left out, names and kinds are made equal."""
-    from pyspark.errors import AnalysisException
-
+    """(date, instrument, one column per member) of the prediction files that can be read: the rows that any member has,
+    NULL where a member lacks one. Members that are missing, broken or lack a column are left out, with all of their files;
+    ``files.read_pool`` says why."""
+    read = files.read_pool(spark, paths, {"date": "date", "instrument": "string", value: "double"})
+    bad = {r["name"] for r in files.report_of(read).where("status <> 'ok'").select("name").distinct().collect()}  # a row per member
     out = None
-    for name, path in paths.items():
-        try:
-            df = spark.read.parquet(path)
-        except AnalysisException:
-            continue
-        one = df.select(F.to_date("date").alias("date"), F.col("instrument").cast("string").alias("instrument"), F.col(value).cast("double").alias(name))
-        out = one if out is None else out.join(one, ["date", "instrument"], "full")
+    for name in paths:
+        if name not in bad:
+            one = files.rows_of(read).where(F.col("name") == name).select("date", "instrument", F.col(value).alias(name))
+            out = one if out is None else out.join(one, ["date", "instrument"], "full")
     return out if out is not None else spark.createDataFrame([], "date date, instrument string")
 
 
@@ -107,6 +109,13 @@ def universe_by_quarter(members: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def parsed_number(text: Column) -> Column:
+    """The number that a text is, white space around it aside; NULL for anything else, units and separators included."""
+    plain = F.trim(text, F.lit(" \t\n\r\f\x0b"))
+    # Java would also take a letter for the kind of number at its end
+    return F.when(~plain.rlike("[dDfFlL]$"), plain.try_cast("double"))
+
+
+def number_with_unit(text: Column) -> Column:
     """A number from a text with thousands separators, a sign, %, K, M or B; NULL where there is none."""
     plain = F.upper(F.regexp_replace(F.trim(text), r"[,\s$]", ""))
     body = F.regexp_extract(plain, r"^([+-]?[0-9]*\.?[0-9]+)([KMB%]?)$", 1)
@@ -115,10 +124,14 @@ def parsed_number(text: Column) -> Column:
     return F.when(body != "", body.cast("double") * scale)
 
 
+#: What the files of a run's models are called: test year, tag and seed.
+RUN = r"fold(\d+)(.*)_seed(\d+)\.pt$"
+
+
 def run_of(name: Column) -> dict[str, Column]:
-    """Fold and seed of a run from its file's name (..._fold2020_s3...)."""
-    part = lambda p: F.nullif(F.regexp_extract(name, p, 1), F.lit("")).cast("long")
-    return {"fold": part(r"fold(\d{4})"), "seed": part(r"_s(\d+)")}
+    """Fold, tag and seed of a run from its file's name (fold2020_cn_seed3.pt); NULL for other names."""
+    part = lambda k: F.when(name.rlike(RUN), F.regexp_extract(name, RUN, k))
+    return {"fold": part(1).cast("long"), "tag": part(2), "seed": part(3).cast("long")}
 
 
 def stamped(rows: DataFrame, **facts: str) -> DataFrame:
@@ -173,7 +186,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    manifest.select(*MANIFEST.fieldNames()).write.mode("overwrite").option("header", True).csv(path)
+    """CSV that takes the place of what is at ``path`` once it is whole; ``manifest`` may read that."""
+    rows = manifest.select(*MANIFEST.fieldNames())
+    files.write_beside(manifest.sparkSession, path, lambda new: rows.write.option("header", True).csv(new))
 
 
 def upsert_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -200,6 +215,7 @@ def append_ledger(rows: DataFrame, keys: list[str], path: str) -> None:
 
 
 def write_panel(panel: DataFrame, path: str, by: str | None = None) -> None:
-    """Parquet, overwritten as a whole by Spark's commit protocol; ``by`` partitions the files."""
-    writer = panel.write.mode("overwrite")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    """Parquet that takes the place of what is at ``path`` once it is whole; where the job fails the old panel stays. ``by``
+    partitions the files."""
+    writer = panel.write.partitionBy(by) if by else panel.write
+    files.write_beside(panel.sparkSession, path, writer.parquet)
