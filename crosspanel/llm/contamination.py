@@ -1,15 +1,17 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact weighted verification.
 
 Words are maximal runs of letters, digits and non-ASCII characters in lower case, shingles have five of them. Every
-run of ``c`` consecutive shingles of a benchmark item has a 64-bit fingerprint, c being the largest window size not
-above ``COVER`` of the item's shingles, so a copy that lost words at its ends still holds whole windows. Every run of
-c shingles in every document has one too. Fingerprints within ``RADIUS`` bits agree in one of RADIUS + 1 blocks
-(pigeonhole), which a table per block finds.
-
-An edit in the middle moves every such window, so windows of one shingle (their SimHash is the shingle's hash) make the
-search complete: similarity >= ``SIMILARITY`` leaves at most 1 - SIMILARITY of the item's weight without a partner, so
-of the rarest shingles that weigh more than that together at least one is in the passage. All stretches of the item's
-length around what was found are compared on full sets, so each pair gets the largest similarity of any stretch.
+run of ``c`` consecutive shingles of a benchmark item has a 64-bit fingerprint, and every run of c shingles in every
+document has one too. Fingerprints within ``RADIUS`` bits agree in one of RADIUS + 1 blocks (pigeonhole), which a table
+per block finds.
+
+The search is complete because c follows from the threshold, per item. Let W be the weight of its shingles and r that of
+the rarest. A place where a copy departs from the item brings at least four shingles that the item lacks, each of weight
+r, so with k such places a similarity of ``SIMILARITY`` means that shingles of weight SIMILARITY * (W + 4kr) at least are
+kept, in k + 1 runs at most: the heaviest run has that much over k + 1. c is the length of the shortest run of the item
+that is so heavy, the least over all k that W allows: about four fifths of a short item, 12 to 16 shingles of a long one.
+Any copy holds such a run whole, and its fingerprint has distance 0. All stretches of the item's length around what was
+found are compared on full sets, so each pair gets the largest similarity of any stretch.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from .blocks import PUNCTUATION, U, shingles, slices
 from .shared import documents, quoted, settle, small
 
-SIMILARITY, COVER, RADIUS = 0.8, 0.8, 3
+SIMILARITY, RADIUS = 0.8, 3
+#: Shingles that a departure from an item brings at least (a word left out; one put in or changed brings five).
+NEW = 4
 #: Rounding of float sums.
 EPSILON = 1e-9
 #: Window sizes in shingles (fixed values; at most 127, as counts share a word by bytes).
@@ -55,6 +59,21 @@ def simhash(sums: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
+def shortest_run(weight: np.ndarray, least: float) -> int:
+    """The smallest number of consecutive entries that sum to ``least`` or more; all of them where even they do not."""
+    total = np.concatenate([[0.0], np.cumsum(weight)])
+    end = np.searchsorted(total, total[:-1] + least - EPSILON * max(1.0, total[-1]))
+    ok = end < len(total)
+    return int((end - np.arange(len(weight)))[ok].min()) if ok.any() else len(weight)
+
+
+def window_of(weight: np.ndarray, total: float, rare: float) -> int:
+    """The window size of an item whose shingles have ``weight`` in order, ``total`` as a set: see above."""
+    most = int(total * (1 - SIMILARITY) / SIMILARITY / (NEW * rare) + EPSILON) if rare > 0 else 0
+    need = min(shortest_run(weight, SIMILARITY * (total + NEW * k * rare) / (k + 1)) for k in range(most + 1))
+    return max(w for w in WINDOWS if w <= max(1, need))
+
+
 @dataclass
 class Items:
     ids: list
@@ -65,8 +84,6 @@ class Items:
     weight: np.ndarray
     rare: float  # weight of shingles that an item does not have
     tables: dict[int, tuple]  # window size -> fingerprints, item, offset, then per block: order and 2**16 + 1 bounds
-    seeds: np.ndarray  # windows of one shingle, sorted, and their items
-    seed_item: np.ndarray
 
     @staticmethod
     def of(ids: list, texts: list[str], total: int, common: dict[int, int]) -> Items:
@@ -81,10 +98,12 @@ class Items:
         holders = np.array([common.get(x, 1) for x in known.view(np.int64).tolist()])
         rare = float(np.log1p(max(1, total)))
         weight = np.log1p(max(1, total) / holders) if len(known) else np.zeros(0)  # rare shingles tell more than those of many items
+        at = [np.searchsorted(known, x) for x in sets]
+        totals = np.array([weight[a].sum() for a in at])
         prints: dict[int, list] = {}
         for i, v in enumerate(parts):
             if len(v):
-                c = max(w for w in WINDOWS if w <= max(1, COVER * len(v)))
+                c = window_of(weight[np.searchsorted(known, v)], float(totals[i]), rare)
                 f = simhash(counters(v), c)
                 prints.setdefault(c, []).append((f, np.full(len(f), i), np.arange(len(f))))
         tables = {}
@@ -96,17 +115,7 @@ class Items:
                 order = np.argsort(key, kind="stable")
                 blocks.append((order, np.searchsorted(key[order], np.arange((1 << 16) + 1))))
             tables[c] = (f, item, offset, blocks)
-        at = [np.searchsorted(known, s) for s in sets]
-        totals = np.array([weight[a].sum() for a in at])
-        seeds, seed_item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for i, (v, a) in enumerate(zip(sets, at, strict=True)):
-            order = np.argsort(-weight[a], kind="stable")  # rarest first
-            enough = np.searchsorted(np.cumsum(weight[a][order]), (1 - SIMILARITY + EPSILON) * totals[i], side="right") + 1
-            seeds.append(v[order[:enough]])
-            seed_item.append(np.full(len(seeds[-1]), i))
-        seed, item = np.concatenate(seeds), np.concatenate(seed_item)
-        order = np.argsort(seed, kind="stable")
-        return Items(ids, sets, [len(v) for v in parts], totals, known, weight, rare, tables, seed[order], item[order])
+        return Items(ids, sets, [len(v) for v in parts], totals, known, weight, rare, tables)
 
     def weights(self, s: np.ndarray, mine: np.ndarray) -> np.ndarray:
         """Weights of shingles; those that are not ``mine`` (the item's) weigh as if no item had them, so that a pair's
@@ -135,15 +144,8 @@ class Items:
                 at, hit = np.repeat(at, many), order[place]
                 near = np.bitwise_count(mine[at] ^ prints[hit]) <= RADIUS
                 at, hit = at[near], hit[near]
-                for r, i, start in zip(row[at].tolist(), item[hit].tolist(), (at - offset[hit]).tolist(), strict=True):
-                    ranges.setdefault((r, i), set()).add((start, start))
-        low = np.searchsorted(self.seeds, value)
-        at = np.flatnonzero(self.seeds[np.minimum(low, len(self.seeds) - 1)] == value)
-        low, many = low[at], np.searchsorted(self.seeds, value[at], side="right") - low[at]
-        place = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        at = np.repeat(at, many)
-        for r, i, p in zip(row[at].tolist(), self.seed_item[place].tolist(), at.tolist(), strict=True):
-            ranges.setdefault((r, i), set()).add((p - self.counts[i] + 1, p))
+                for r, i, p in zip(row[at].tolist(), item[hit].tolist(), at.tolist(), strict=True):
+                    ranges.setdefault((r, i), set()).add((p + c - self.counts[i], p))  # all stretches that hold the window
         for (r, i), found in ranges.items():
             similarity = max(self.closest(value, int(bounds[r]), int(bounds[r + 1]), i, *x) for x in joined(found))
             if similarity >= SIMILARITY - EPSILON:
