@@ -22,7 +22,7 @@ BASE = {
 }
 #: Weak kinds: pattern and least length.
 WEAK = {
-    "identifier": (r"(?i:user(?:name)?|login|client_?id|account_?id|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,64}", 0, 6),
+    "identifier": (r"(?i:user(?:name)?|login|client_?id|account_?id|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}", 0, 6),
     "key": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40,}={0,2}", 0, 40),
     "endpoint": (r"(?i:https?|ftp|jdbc|postgres(?:ql)?|mysql|mongodb|redis)://[^\x09-\x0D\x20\"'<>]+", 0, 10),
 }
