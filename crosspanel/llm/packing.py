@@ -24,6 +24,8 @@ from .shared import documents, settle
 SIZE, END = 4096, 1
 #: Patterns are fitted on lengths rounded up to SIZE / UNITS tokens and have at most DEPTH documents.
 UNITS, DEPTH = 64, 4
+#: Numbers of sequences that are tried when pieces are dealt in turns, and turns that are worth it.
+TRIES, TURNS = 24, 64
 #: Shares of the fitted repeats that are tried.
 SHARES = (1.0, 0.95, 0.8, 0.5, 0.0)
 #: Words whose ids a worker keeps (about 50 bytes each); beyond it the oldest are forgotten.
@@ -174,7 +176,8 @@ def plan(histogram: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
     ``histogram[n]`` is the number of pieces of n tokens; its last index is the sequence's size. Work is on counts:
     the number of steps depends on the number of different lengths, not on the number of pieces. The fit rounds lengths
     up, so with some histograms fewer repeats of the patterns leave better residuals: of ``SHARES`` of the fitted counts
-    the one that needs the fewest sequences is taken.
+    the one that needs the fewest sequences is taken. Where many pieces fit a sequence no pattern of few documents helps;
+    there all pieces are also dealt in turns, which may need fewer still.
     """
     size = len(histogram) - 1
     left = histogram.astype(np.int64)
@@ -188,7 +191,51 @@ def plan(histogram: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
     weight = np.sqrt(np.arange(1, units + 1) / units)[:, None]  # long pieces are the hard ones to place
     fitted = nnls(a * weight, target * weight[:, 0])
     plans = (_place(left, shapes, unit, np.floor(fitted * share + 1e-9).astype(np.int64)) for share in SHARES)
-    return min(plans, key=lambda runs: sum(count for count, _ in runs))
+    best = min(plans, key=sequences)
+    return dealt(left, sequences(best)) or best
+
+
+def sequences(runs: list[tuple[int, tuple[int, ...]]]) -> int:
+    return sum(count for count, _ in runs)
+
+
+def dealt(histogram: np.ndarray, below: int) -> list[tuple[int, tuple[int, ...]]] | None:
+    """Runs that deal all pieces in turns, longest first, the fullest sequence getting the shortest piece of a turn; of about
+    ``TRIES`` numbers of sequences from the least possible to under ``below`` the first that holds them all, None if none
+    does. Sequences that have got the same are one run, so a turn's work depends on the different lengths alone."""
+    size = len(histogram) - 1
+    pieces, total = int(histogram.sum()), int((histogram * np.arange(size + 1)).sum())
+    low = max(1, -(-total // size))
+    if below <= low or pieces > TURNS * low:
+        return None
+    for m in sorted({int(round(low + (below - 1 - low) * k * k / (TRIES - 1) ** 2)) for k in range(TRIES)}):
+        if runs := _turns(histogram, m):
+            return runs
+    return None
+
+
+def _turns(histogram: np.ndarray, m: int) -> list[tuple[int, tuple[int, ...]]] | None:
+    size = len(histogram) - 1
+    queue = [[n, int(histogram[n])] for n in range(1, size + 1) if histogram[n]]  # the longest at the end
+    runs = [(0, m, ())]  # tokens, sequences, lengths: emptiest first
+    while queue:
+        after = []
+        for used, count, lengths in runs:
+            while count:
+                if not queue:
+                    after.append((used, count, lengths))
+                    break
+                length, have = queue[-1]
+                n = min(count, have)
+                if used + length > size:
+                    return None
+                after.append((used + length, n, (*lengths, length)))
+                count -= n
+                queue[-1][1] -= n
+                if not queue[-1][1]:
+                    queue.pop()
+        runs = sorted(after)
+    return [(count, lengths) for _, count, lengths in runs if lengths]
 
 
 def _place(histogram: np.ndarray, shapes: list[tuple[int, ...]], unit: int, repeats: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
