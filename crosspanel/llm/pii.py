@@ -3,8 +3,8 @@
 The network reads overlapping windows of ``WINDOW`` characters and is trained here, on labelled spans: windows of a
 bounded sample of the documents, labelled by the patterns, and generated texts in more ways of writing (addresses that
 are spelled out, numbers without +, kinds that stand side by side so that the patterns take them for one and drop it).
-A window without a digit, @ or the word dot holds no kind in any of these ways and is not decoded. Spans of
-neighbouring windows are reconciled per text: where they overlap, the one farther from its window's edges stays, and a
+Every kind needs a digit, an @, the letters dot, or an at in brackets (``_holds`` admits nothing else), so windows
+without any of these are not decoded: they could not add a span. Spans of neighbouring windows are reconciled per text: where they overlap, the one farther from its window's edges stays, and a
 pattern's span always does. What a kind's own rule refutes (parts over 255, check digit, number of digits) is not added.
 """
 
@@ -29,8 +29,8 @@ WINDOW, STRIDE = 96, 48
 TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_MADE, EPOCHS = 300, 600, 2000, 13
 #: Mean tag probability that a span of the network must reach to be reported.
 SURE = 0.8
-#: Texts that can hold a window worth decoding (for Arrow), and bytes of text decoded together.
-HINT = r"[0-9@]| dot |[\[(]at[\])]"
+#: What every span holds at least one of (in Python and for Arrow), and bytes of text decoded together.
+HINT = r"(?i:[0-9@]|dot|[\[(] ?at ?[\])])"
 TOGETHER = 1 << 18
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,8 +39,10 @@ _DOTTED = re.compile(r"[0-9][0-9.]*\.[0-9.]*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]")
-SPELLED = (" dot ", "(at)", "[at]")
-_SPELLED = re.compile("|".join(map(re.escape, SPELLED)))
+_HINT = re.compile(HINT)
+_AT, _DOT = r"(?: ?@ ?| ?[\[(] ?at ?[\])] ?| at )", r"(?:\.| ?[\[(] ?dot ?[\])] ?| dot )"
+_ADDRESS = re.compile(rf"(?i)[\w.%+-]+{_AT}[\w-]+(?:{_DOT}[\w-]+)+")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2} ?- ?(?:19|20)[0-9]{2}")
 _LONG = re.compile(r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])")
 
 
@@ -84,12 +86,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def windows_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, classes): starts of the windows on the grid of ``STRIDE`` that hold a digit, @ or dot, and the class of
-    every character, with zeros for a window behind the end."""
+    """(starts, classes): starts of the windows on the grid of ``STRIDE`` that touch what ``HINT`` finds, and the class of every
+    character, with zeros for a window behind the end."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    hot = np.flatnonzero((codes >= 48) & (codes <= 57) | (codes == 64))
-    if any(x in text for x in SPELLED):
-        hot = np.concatenate([hot, [m.start() for m in _SPELLED.finditer(text)]])
+    hot = np.array([p for m in _HINT.finditer(text) for p in (m.start(), m.end() - 1)], np.int64)
     first = np.unique(hot // STRIDE)
     grid = np.unique(np.concatenate([first, np.maximum(first - 1, 0)])) if len(hot) else np.zeros(0, np.int64)
     return grid.astype(np.int64) * STRIDE, np.concatenate([classes(codes), np.zeros(WINDOW, np.uint8)])
@@ -117,9 +117,14 @@ def labels_of(text: str) -> list[tuple[int, int, int]]:
     return base + [(2, m.start(), m.end()) for m in _LONG.finditer(text) if all(m.end() <= a or m.start() >= b for _, a, b in base)]
 
 
-def made_examples(words: list[str], n: int, seed: int = 9) -> list[tuple[str, list[tuple[int, int, int]]]]:
+#: Ways of writing at and dot in addresses, and shapes of numbers (9 is any digit), that the network is trained on.
+ADDRESSES = (("@", "."), ("@", "."), (" at ", " dot "), (" AT ", " DOT "), (" (at) ", "."), ("[at]", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" @ ", "."), ("@", " dot "))
+NUMBERS = ("+9 (999) 999-9999", "+9 (999) 999-9999", "+99 999 9999999", "+99999999999", "(999) 999-9999", "999-999-9999", "999.999.9999", "099 9999999", "0999/9999999", "999 999 9999", "09999-999999")
+
+
+def made_examples(words: list[str], n: int, seed: int = 9, ways: tuple = ADDRESSES, numbers: tuple = NUMBERS) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Generated texts with labelled spans, in ways of writing that the patterns know and some that they do not;
-    a third hold look-alikes (hashes, years, amounts, versions, times) that are not personal data."""
+    a third hold look-alikes (hashes, years, dates, amounts, versions, times) that are not personal data."""
     rng = np.random.default_rng(seed)
     num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     word = lambda: words[int(rng.integers(len(words)))]
@@ -128,20 +133,22 @@ def made_examples(words: list[str], n: int, seed: int = 9) -> list[tuple[str, li
     def card() -> str:
         body = num(15)
         body += next(str(d) for d in range(10) if luhn(body + str(d)))
-        return pick(("", "", " ", "-")).join(body[i : i + 4] for i in range(0, 16, 4))
+        return pick(("", "", " ", "-", ".")).join(body[i : i + 4] for i in range(0, 16, 4))
 
     def email() -> str:
         name = f"{re.sub(r'[^A-Za-z]', '', word()) or 'a'}{pick(('.', '_', ''))}{num(int(rng.integers(0, 3)))}".strip("._") or "a"
-        host, end = f"{pick(('mail', 'post', 'example'))}{num(int(rng.integers(0, 2)))}", pick(("com", "org", "net"))
-        return pick((f"{name}@{host}.{end}", f"{name}@{host}.example.{end}", f"{name} at {host} dot {end}", f"{name} (at) {host}.{end}", f"{name}[at]{host}.{end}"))
-
-    phones = (lambda: f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", lambda: f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", lambda: f"+{num(2)} {num(3)} {num(7)}", lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"+{num(11)}")
-    makers = (email, lambda: ".".join(str(int(x)) for x in rng.integers(0, 256, 4)), card, lambda: pick(phones)())
-    fakes = (lambda: "".join("0123456789abcdef"[int(x)] for x in rng.integers(0, 16, 40)), lambda: str(int(rng.integers(1900, 2030))), lambda: f"{num(2)}.{num(2)}", lambda: f"{num(2)}:{num(2)}:{num(2)}", lambda: f"v{num(1)}.{num(1)}.{num(1)}", lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"20{num(2)}-{num(2)}-{num(2)}", lambda: num(int(rng.integers(5, 13))), lambda: f"a dot {word()}", lambda: f"at {word()}")
+        host = pick((f"{pick(('mail', 'post', 'example'))}{num(int(rng.integers(0, 2)))}", re.sub(r"[^A-Za-z]", "", word()) or "a", f"uni-{pick(('north', 'east'))}"))
+        at, dot = pick(ways)
+        text = f"{name}{at}{host}{dot}" + (f"example{dot}" if rng.random() < 0.2 else "") + pick(("com", "org", "net", "de"))
+        return text.upper() if rng.random() < 0.1 else text
+
+    digits = lambda shape: "".join(num(1) if c == "9" else c for c in shape)
+    makers = (email, lambda: pick((".", ".", ".", " dot ")).join(str(int(x)) for x in rng.integers(0, 256, 4)), card, lambda: digits(pick(numbers)))
+    fakes = (lambda: "".join("0123456789abcdef"[int(x)] for x in rng.integers(0, 16, 40)), lambda: str(int(rng.integers(1900, 2030))), lambda: digits(pick(("99.99", "99:99:99", "v9.9.9", "9,999,999", "2099-99-99", "99.99.2099", "1999-2019", "999999.99", "9999-99", "99 999"))), lambda: num(int(rng.integers(5, 13))), lambda: f"a dot {word()}", lambda: f"at {word()}", lambda: f"at the dot {word()} dot", lambda: f"({word()}) {word()}")
     out = []
     for _ in range(n):
         text, spans = "", []
-        for _ in range(int(rng.integers(2, 8))):
+        for _ in range(int(rng.integers(0, 8))):
             text += word() + pick((" ", " ", ". ", "\n"))
         for _ in range(int(rng.integers(1, 3))):
             if rng.random() < 2 / 3:
@@ -155,6 +162,8 @@ def made_examples(words: list[str], n: int, seed: int = 9) -> list[tuple[str, li
                 piece = pick(fakes)()
                 text += pick(('token = "%s"' % piece, piece, f"{piece};"))
             text += pick(("", "", ".", ",", "###", "$$$")) + " " + " ".join(word() for _ in range(int(rng.integers(1, 6)))) + " "
+        if rng.random() < 0.25:  # what ends a text
+            text = text[: spans[-1][2]] if spans else text
         out.append((text, spans))
     return out
 
@@ -194,13 +203,14 @@ def train(docs: DataFrame) -> Tagger:
 def _holds(kind: int, piece: str) -> bool:
     """Whether a span of the network can be of its kind."""
     digits = _DIGITS.sub("", piece)
-    if kind == 0:
-        return bool(re.fullmatch(r"[\w.%+-]+ ?(?:@|\(at\)|\[at\]| at ) ?[\w-]+(?: ?(?:\.| dot ) ?[\w-]+)+", piece))
+    if kind == 0:  # at alone is a word like any other: the dot must be spelled then
+        return bool(_ADDRESS.fullmatch(piece)) and bool(re.search(r"(?i)@|[\[(] ?at ?[\])]|dot", piece))
     if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", piece)) and all(int(x) <= 255 for x in piece.split("."))
+        parts = re.split(_DOT, piece, flags=re.IGNORECASE)
+        return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", p) and int(p) <= 255 for p in parts)
     if kind == 2:
-        return bool(re.fullmatch(r"[0-9](?:[ -]?[0-9])+", piece)) and 16 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"[+(]?[0-9][ ().0-9-]+[0-9]", piece)) and 8 <= len(digits) <= 15 and len(digits) < len(piece)
+        return bool(re.fullmatch(r"[0-9](?:[ .-]?[0-9])+", piece)) and 16 <= len(digits) <= 19 and luhn(digits)
+    return bool(re.fullmatch(r"[+(]?[0-9][ ()./0-9-]+[0-9]", piece)) and 8 <= len(digits) <= 15 and len(digits) < len(piece) and not _DATE.fullmatch(piece) and not re.fullmatch(r"[0-9]+\.[0-9]+", piece)
 
 
 def network_spans(net: Tagger, texts: list[str], bases: list[list]) -> list[list[tuple[int, int, int]]]:
@@ -216,14 +226,16 @@ def network_spans(net: Tagger, texts: list[str], bases: list[list]) -> list[list
             return
         prob = net.marginals(e[:, some])[0]
         for at, i in enumerate(some):
-            y, j = path[i], 0
+            y, j, w = path[i].copy(), 0, int(starts[i])
+            if w == 0 and y[0] and y[0] % 2 == 0:  # nothing stands before a text: inside is begun here
+                prob[0, at, y[0] - 1] += prob[0, at, y[0]]
+                y[0] -= 1
             while j < WINDOW:
                 if y[j] % 2 == 1:  # a begin tag
                     kind, k = (int(y[j]) - 1) // 2, j + 1
                     while k < WINDOW and y[k] == y[j] + 1:
                         k += 1
                     if float(np.mean([prob[t, at, y[t]] for t in range(j, k)])) >= SURE:
-                        w = int(starts[i])
                         out[owner[i]].append((min(j + (w == 0) * WINDOW, WINDOW - k), kind, w + j, w + k))
                     j = k
                 else:

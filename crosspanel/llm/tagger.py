@@ -6,16 +6,20 @@ import numpy as np
 
 #: Characters by class (fixed values): each listed one is a class of its own, the rest share by kind.
 OWN = " \n\t.,:;@+-_%()/\\\"'=#$*|&<>[]{}!?~"
-CLASSES = len(OWN) + 6
+#: Letters that are told apart, whatever their case: those of the words at and dot.
+SPELL = "adot"
+CLASSES = len(OWN) + len(SPELL) + 6
 HIDDEN = 20
 
 
 def classes(codes: np.ndarray) -> np.ndarray:
-    """Class numbers of code points: 0 padding, digits, a-z, A-Z, other non-ASCII, other, then those of OWN."""
+    """Class numbers of code points: 0 padding, digits, a-z, A-Z, other non-ASCII, other, then those of OWN and SPELL."""
     table = np.full(129, 5, np.uint8)
     table[48:58], table[97:123], table[65:91], table[128] = 1, 2, 3, 4
     for i, c in enumerate(OWN):
         table[ord(c)] = 6 + i
+    for i, c in enumerate(SPELL):
+        table[ord(c)] = table[ord(c.upper())] = 6 + len(OWN) + i
     return table[np.minimum(codes, 128)]
 
 
