@@ -166,9 +166,8 @@ def class_roots(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id) per row of ``docs``
-    (doc_id, text): see the contract of ``op12_spot_signatures``. class_id is the smallest doc_id that a document reaches
-    through pairs of at least ``PERCENT``; a text without words has its own.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row of ``docs`` (doc_id,
+    text): see the contract of ``op12_spot_signatures``. ``near_classes`` searches among all documents.
 
     A null text counts as empty. Rows that share a doc_id follow each other by a hash of their text; rows without one
     come after all others. A single row is its own next. Extra columns are ignored; an empty table gives no rows.
@@ -176,12 +175,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = anchors(rows)
     spotted = with_spots(rows, "text", "spots", words)
-    roots = small(class_roots(settle(spotted.select("doc_id", "spots"))).withColumnRenamed("node", "doc_id"))
     df = with_next(spotted, ["text", "spots"], ["next_text", "next_spots"])
     df = df.withColumn("n_chars", F.length("text").cast("long")).withColumn("half", F.expr("CAST(n_chars div 2 AS INT)"))
     df = df.withColumn("edited", F.expr("concat(left(text, CAST(n_chars - half AS INT)), left(next_text, half))"))
     df = with_spots(df, "edited", "edited_spots", words)
-    out = df.select(
+    return df.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -190,7 +188,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         likeness("spots", "edited_spots").alias("near_edited"),
         likeness("spots", "next_spots").alias("near_next"),
     )
-    return out.join(roots, "doc_id", "left").withColumn("class_id", F.coalesce("root", "doc_id")).drop("root")
+
+
+def near_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_spots, class_id) per row of ``docs`` (doc_id integer, text): class_id is the smallest doc_id that a row reaches
+    through spot sets of at least ``percent`` similarity; a text without words has its own, a row without doc_id none. A
+    repeated doc_id is one document. Extra columns are ignored; an empty table gives no rows."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sets = settle(with_spots(rows, "text", "spots", anchors(rows)).select("doc_id", "spots"))
+    roots = class_roots(sets, percent).withColumnRenamed("node", "doc_id")
+    return sets.join(roots, "doc_id", "left").select("doc_id", F.size("spots").cast("long").alias("n_spots"), F.coalesce("root", "doc_id").alias("class_id"))
 
 
 def op12_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:

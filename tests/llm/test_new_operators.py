@@ -277,5 +277,5 @@ def test_near_classes_against_all_pairs(spark, monkeypatch, turns):
 def test_classes_of_documents(spark, spot_docs):
     rows = [(i, t or "") for i, t in spotted_docs()]
     want = classes_by_hand(rows, spots.anchors(spot_docs.select("doc_id", "text")))
-    found = {(r.doc_id, r.class_id) for r in spots.fingerprints(spot_docs).collect()}
+    found = {(r.doc_id, r.class_id) for r in spots.near_classes(spot_docs).collect()}
     assert found == set(want.items()) and want[201] == 200 and want[110] == 14
