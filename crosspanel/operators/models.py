@@ -256,7 +256,8 @@ def overridden(known: dict, given: list[str]) -> dict:
         name, _, value = pair.partition("=")
         if name not in known:
             raise KeyError(f"no parameter {name}; known are {', '.join(known)}")
-        out[name] = type(known[name])(value)
+        kind = type(known[name])
+        out[name] = value.lower() in ("1", "true", "yes") if kind is bool else kind(value)
     return out
 
 
