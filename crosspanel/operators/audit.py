@@ -161,3 +161,9 @@ def sign_test(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
     tail = F.aggregate(F.when(few > 0, F.sequence(F.lit(1).cast("long"), few)).otherwise(F.array().cast("array<bigint>")), start, step)["total"]
     return folds.select(*keys, "n", "wins", F.least(F.lit(1.0), 2 * tail).alias("p"))
+
+
+def self_check(made: DataFrame, logged: DataFrame, keys: list[str], value: str, least: float = 1e-9) -> DataFrame:
+    """(keys, made, logged, agrees): values made anew against those on record; a value on one side only does not agree."""
+    both = made.select(*keys, F.col(value).alias("made")).join(logged.select(*keys, F.col(value).alias("logged")), keys, "full")
+    return both.withColumn("agrees", F.coalesce(F.abs(F.col("made") - F.col("logged")) <= least, F.lit(False)))

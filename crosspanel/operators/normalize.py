@@ -15,14 +15,12 @@ MAD_SCALE = 1.4826
 def robust_z(df: DataFrame, columns: dict[str, str], fill: float | None = None) -> DataFrame:
     """(x - median) / (1.4826 MAD + 1e-12), clipped to +-3, for each column -> new name.
 
-    Two aggregations by date and two joins with one row per date, instead of a window sort per column: medians of any
-    number of columns combine map-side. The calendar is small; Spark broadcasts it by its measured size.
+    Both medians are aggregates over the whole of a day, so one shuffle by date serves all columns and the input is read
+    once. A day is a cross-section; its rows are worked through once per median.
     """
     names = list(columns)
-    middle = df.groupBy("date").agg(*(F.median(c).alias(f"m_{i}") for i, c in enumerate(names)))
-    df = df.join(middle, "date")
-    spread = df.groupBy("date").agg(*(F.median(F.abs(F.col(c) - F.col(f"m_{i}"))).alias(f"d_{i}") for i, c in enumerate(names)))
-    df = df.join(spread, "date")
+    df = df.withColumns({f"m_{i}": F.median(c).over(on_day()) for i, c in enumerate(names)})
+    df = df.withColumns({f"d_{i}": F.median(F.abs(F.col(c) - F.col(f"m_{i}"))).over(on_day()) for i, c in enumerate(names)})
     z = {columns[c]: clip((F.col(c) - F.col(f"m_{i}")) / (MAD_SCALE * F.col(f"d_{i}") + EPS), -3.0, 3.0) for i, c in enumerate(names)}
     if fill is not None:
         z = {k: F.coalesce(v, F.lit(fill)) for k, v in z.items()}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import sources
-from ..functions import day, finished, r6
+from ..functions import day, finished, r6, shared_folder
 from ..operators import audit, features as feat, labels as lab, metrics, models, portfolio, resample
 from .panel import BARS_SQL, FRAMES, PREP_SQL, R6, panel, rolling_sql
 from .scores import BASE_SQL, D, DECILE_SQL, FLAGS_SQL, GRID_EXITS, GRID_SPANS, GRID_SQL, HELD5, IC_SQL, KEYS, LEGS_SQL, PREDS_SQL, SERIES_SQL, _r, _rounded, grid_series, predictions, preds_sql, scored
@@ -348,14 +350,19 @@ SELF_SQL = f"{PREDS_SQL}, {preds_sql('RSV10', 'preds2')}, {IC_SQL.replace('daily
 
 @register("self_check", f"{SELF_SQL} SELECT y.test_year, coalesce(abs(round(y.x, 12) - y.x) <= 1e-9, false) AS agrees, coalesce(abs(z.x - y.x) <= 1e-9, false) AS old_agrees FROM y LEFT JOIN z ON y.test_year = z.test_year")
 def self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yearly rank correlation made anew against the latest matching record of a ledger, within 1e-9.
+    """Yearly rank correlation made anew against the latest matching record of a ledger file, within 1e-9.
 
-    The ledger has two records per year: an older one of another score and a newer one of this score.
+    The ledger has three records: an older one of another score, one of this score, and a newer one of another run, which
+    must not be taken. The first is also held against what is made anew: it must not agree.
     """
     wide = member_table(spark, sf_dir, ["ROC5", "RSV10"])
     year = lambda m: metrics.daily_ic(wide.withColumn("pred", F.col(m))).groupBy(F.year("date").cast("long").alias("test_year")).agg(F.avg("rank_ic").alias("x"))
-    record = lambda m, at: year(m).select(F.to_json(F.struct("test_year", F.lit(at).alias("at"), F.round("x", 12).alias("logged"))).alias("j"))
-    ledger = record("RSV10", 1).union(record("ROC5", 2)).select(F.from_json("j", "test_year long, at long, logged double").alias("l")).select("l.*")
-    latest = ledger.groupBy("test_year").agg(F.max_by("logged", "at").alias("logged"), F.max_by(F.when(F.col("at") == 1, F.col("logged")), F.when(F.col("at") == 1, 1)).alias("old"))
-    agrees = lambda c: F.coalesce(F.abs(F.col(c) - F.col("x")) <= 1e-9, F.lit(False))
-    return year("ROC5").join(latest, "test_year", "left").select("test_year", agrees("logged").alias("agrees"), agrees("old").alias("old_agrees"))
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    for at, tag, member in ((1, "main", "RSV10"), (2, "main", "ROC5"), (3, "other", "RSV10")):
+        record = year(member).select(F.lit(at).cast("long").alias("at"), F.lit(tag).alias("tag"), "test_year", F.round("x", 12).alias("x"))
+        sources.append_ledger(record, ["at", "tag"], path)
+    ledger = sources.read_ledger(spark, path)
+    made = year("ROC5")
+    new = audit.self_check(made, sources.latest_records(ledger, {"tag": "main"}), ["test_year"], "x").select("test_year", "agrees")
+    old = audit.self_check(made, sources.latest_records(ledger, {"tag": "main", "at": 1}), ["test_year"], "x").select("test_year", F.col("agrees").alias("old_agrees"))
+    return new.join(old, "test_year")

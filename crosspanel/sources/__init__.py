@@ -214,6 +214,16 @@ def append_ledger(rows: DataFrame, keys: list[str], path: str) -> None:
     rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("results")).write.mode("append").json(path)
 
 
+def latest_records(ledger: DataFrame, match: dict, at: str = "at") -> DataFrame:
+    """The rows of the newest record (by ``at``) of a ledger whose fields equal ``match``; a field that is missing matches None
+    only. No row where none matches."""
+    rows = ledger
+    for k, v in match.items():
+        rows = rows.where(F.col(k).eqNullSafe(F.lit(v))) if k in ledger.columns else rows.where(F.lit(v is None))
+    newest = rows.agg(F.max(at).alias("newest_"))
+    return rows.join(F.broadcast(newest), F.col(at) == F.col("newest_")).drop("newest_")  # one row on the right
+
+
 def write_panel(panel: DataFrame, path: str, by: str | None = None) -> None:
     """Parquet that takes the place of what is at ``path`` once it is whole; where the job fails the old panel stays. ``by``
     partitions the files."""

@@ -131,6 +131,19 @@ def test_numbers_and_names_of_runs(spark):
     assert [tuple(r) for r in names.collect()] == [(2020, "_epsel_s", 0), (2021, "", 12), (None, None, None)]
 
 
+def test_latest_matching_record(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    for at, tag, x in ((1, "a", 1.0), (3, "a", 3.0), (2, "a", 2.0), (9, "b", 9.0)):
+        sources.append_ledger(spark.createDataFrame([(at, tag, y, x + y) for y in (2001, 2002)], "at long, tag string, test_year long, x double"), ["at", "tag"], path)
+    ledger = sources.read_ledger(spark, path)
+    pick = lambda match: {r.test_year: r.x for r in sources.latest_records(ledger, match).collect()}
+    assert pick({"tag": "a"}) == {2001: 2004.0, 2002: 2005.0} and pick({"tag": "a", "at": 1})[2001] == 2002.0
+    assert pick({"tag": "c"}) == {} and pick({"seed": None})[2001] == 2010.0 and pick({"seed": 1}) == {}
+    made = spark.createDataFrame([(2001, 2004.0), (2003, 1.0)], "test_year long, x double")
+    got = {r.test_year: r.agrees for r in audit.self_check(made, sources.latest_records(ledger, {"tag": "a"}), ["test_year"], "x").collect()}
+    assert got == {2001: True, 2002: False, 2003: False}
+
+
 # ---- features on views
 
 def test_views_equal_window_functions(spark):
