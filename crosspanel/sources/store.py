@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import shared_folder
+from .files import exists
 
 
 def store_panel(panel: DataFrame, table: str, buckets: int | None = None, path: str | None = None) -> None:
@@ -45,14 +46,17 @@ def input_mark(spark: SparkSession, path: str) -> int:
     return zlib.crc32("\n".join([path, *files]).encode())
 
 
-_built: set[tuple[str, str]] = set()
+_built: dict[tuple[str, str], str] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, source: str, name: str, build: Callable[[], DataFrame]) -> str:
-    """The name of the table ``name`` made by ``build`` from ``source`` of ``sf_dir``: written on first use in a session."""
+    """The name of the table ``name`` made by ``build`` from ``source`` of ``sf_dir``: written on first use in a session, and
+    again if its files are gone."""
     table = f"crosspanel_{name}_{input_mark(spark, f'{sf_dir}/{source}.parquet'):08x}"
     known = (spark.sparkContext.applicationId, table)
-    if known not in _built:
-        store_panel(build(), table)
-        _built.add(known)
+    if known not in _built or not exists(spark, _built[known]):
+        path = f"{shared_folder(spark)}/{table}-{uuid.uuid4().hex}"
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        store_panel(build(), table, path=path)
+        _built[known] = path
     return table

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,7 +42,10 @@ def test_stored_follows_its_input(spark, tmp_path):
     one = store.stored(spark, str(tmp_path), "t", "x", build)
     assert store.stored(spark, str(tmp_path), "t", "x", build) == one and len(made) == 1
     spark.range(4).write.mode("append").parquet(str(tmp_path / "t.parquet"))
-    assert store.stored(spark, str(tmp_path), "t", "x", build) != one and len(made) == 2
+    two = store.stored(spark, str(tmp_path), "t", "x", build)
+    assert two != one and len(made) == 2
+    shutil.rmtree(store._built[spark.sparkContext.applicationId, two].removeprefix("file:"))
+    assert store.stored(spark, str(tmp_path), "t", "x", build) == two and len(made) == 3 and store.load_years(spark, two).count() == 1
 
 
 def pool(spark, tmp_path):
