@@ -28,6 +28,8 @@ UNITS, DEPTH = 64, 4
 TRIES, TURNS = 24, 64
 #: Shares of the fitted repeats that are tried.
 SHARES = (1.0, 0.95, 0.8, 0.5, 0.0)
+#: What stands between words that are encoded in one text, and their number.
+SEPARATOR, TOGETHER = " \x01 ", 128
 #: Words whose ids a worker keeps (about 50 bytes each); beyond it the oldest are forgotten.
 CACHE_WORDS = 400_000
 
@@ -43,6 +45,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids[-1]
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted hashes, starts, lengths
         self.ids = np.zeros(0, np.uint32)
         self.used = 0
@@ -55,17 +58,30 @@ class WordIds:
             start[hit], length[hit] = s[at[hit]], n[at[hit]]
         return start, length
 
-    def _add(self, hashes: np.ndarray, texts: list[str]) -> None:
-        ids = []
-        for at in range(0, len(texts), 2048):
-            ids += [x.ids for x in self.tokenizer.encode_batch_fast(texts[at : at + 2048], add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all ``texts``, words, one after another, number of ids of each).
+
+        A call costs much more than a short word, so words are encoded ``TOGETHER``, each followed by a separator that is a
+        word of its own. Its id tells where each word ends; where a word has that id too the count shows it, and the words
+        are encoded one by one."""
+        many = self.tokenizer.encode_batch_fast([SEPARATOR.join((*texts[at : at + TOGETHER], "")) for at in range(0, len(texts), TOGETHER)], add_special_tokens=False)
+        flat = np.concatenate([np.array(x.ids, np.uint32) for x in many])
+        ends = np.flatnonzero(flat == self.separator)
+        if len(ends) == len(texts):
+            return flat[flat != self.separator], np.diff(ends, prepend=-1) - 1
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         length = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(length.sum())
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(length.sum())), length
+
+    def _add(self, hashes: np.ndarray, texts: list[str]) -> None:
+        parts = [self._encode(texts[at : at + 2048]) for at in range(0, len(texts), 2048)]
+        ids, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+        total = len(ids)
         if self.used + total > len(self.ids):
             grown = np.zeros(2 * (self.used + total), np.uint32)
             grown[: self.used] = self.ids[: self.used]
             self.ids = grown
-        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+        self.ids[self.used : self.used + total] = ids
         self.parts.append((hashes, self.used + np.cumsum(length) - length, length))
         self.used += total
         while len(self.parts) > 1 and len(self.parts[-2][0]) < 3 * len(self.parts[-1][0]):

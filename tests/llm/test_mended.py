@@ -131,3 +131,32 @@ def test_search_finds_all_edited_copies():
     want, got = brute(items, texts), found_in(items, texts)
     assert len(want) > 200 and set(got) == set(want)
     assert max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_words_are_encoded_together():
+    """Few calls for many new words, and the ids of each word alone: marks, spaces of other kinds, special tokens, and the
+    separator's own character."""
+    draw = random.Random(3)
+    plain = sorted({"".join(draw.choices("abcdeéßçñ", k=draw.randint(2, 9))) + draw.choice(("", ",", ".", "%%%", "'s", "7")) for _ in range(5000)})
+    odd = ["́e", "é", " ", "a　b", "가", ";", "≮", "it's", "'ll", "1234", "<|endoftext|>", "a<|startoftext|>b", "日本語", "🙂", "q" * 5000, "ͅ", "Σ", "﻿"]
+    sep = ["\x01", "a\x01", "\x01b", "\x01\x01", "x\x01y", "\x01!"]
+    for given, few in ((plain, True), (plain + odd, True), (odd + sep, False), (sep[:1], False), (["a"], True)):
+        known = packing.WordIds(packing.vocabulary_path())
+        known.tokenizer = counted = Counted(known.tokenizer)
+        data = " ".join(given).encode()
+        starts = np.cumsum([0] + [len(w.encode()) + 1 for w in given[:-1]])
+        flat, n = known.of(np.frombuffer(data, np.uint8), starts, starts + [len(w.encode()) for w in given])
+        alone = [counted.tokenizer.encode(w, add_special_tokens=False).ids for w in given]
+        assert n.tolist() == [len(x) for x in alone] and flat.tolist() == sum(alone, [])
+        assert not few or counted.texts <= len(given) / 64 + 3
