@@ -265,3 +265,11 @@ def test_purged_folds_and_their_check(spark):
     with pytest.raises(ValueError, match="fold 2002: the label of fit day 11 reaches"):
         stacking.check_purge(reach(6), folds)
     stacking.check_purge(reach(6), [])
+
+
+def test_features_need_one_shuffle_of_the_trades(spark):
+    """The trades are dealt by instrument once: bars and features find their rows there."""
+    from crosspanel.plans import catalogue
+
+    plan = catalogue.QUERIES["features_158"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1, plan
