@@ -273,3 +273,19 @@ def test_features_need_one_shuffle_of_the_trades(spark):
 
     plan = catalogue.QUERIES["features_158"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1, plan
+
+
+def test_permutations_of_a_wide_day_are_drawn_in_portions(spark):
+    """However many names a day has, a task draws a bounded part of its repetitions at a time; the parts change nothing."""
+    import numpy as np
+
+    from crosspanel.operators import resample
+
+    for names in (10, 50_000, 3_000_000):
+        parts = resample.portions(2000, names)
+        assert np.concatenate(parts).tolist() == list(range(1, 2001)) and all(len(p) == 1 or len(p) * names <= resample.CELLS for p in parts)
+    rows = [(f"2020-01-0{d}", f"{i:03d}", (i * 7919 + d) % 101 / 100.0) for d in (1, 2) for i in range(40)]
+    table = spark.createDataFrame(rows, "date string, instrument string, label_raw double").selectExpr("cast(date as date) as date", "instrument", "label_raw")
+    held = table.where("instrument < '004' OR instrument >= '036'").selectExpr("*", "dayofmonth(date) as day_idx", "if(instrument < '004', 'long', 'short') as side")
+    one, two = ({r.rep: round(r.net_bps, 9) for r in resample.null_of_holdings(held, table, 30, cells=c).collect()} for c in (resample.CELLS, 100))
+    assert one == two and len(one) == 30
